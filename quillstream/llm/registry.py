@@ -6,7 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstream.llm import decontaminate, quality_rules, sharding, token_counts
+from quillstream.llm import (
+    compression_classifier,
+    decontaminate,
+    language_crf,
+    quality_rules,
+    sentencepiece_fst,
+    sharding,
+    token_counts,
+    token_store,
+)
 from quillstream.llm.common import table
 
 SHARDS = 40
@@ -24,12 +33,37 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), SHARDS)
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_crf.identify(docs, language_crf.fit(docs))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_rules.quality_rules(docs, quality_rules.learn(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = compression_classifier.classify(docs, compression_classifier.fit(docs, table(spark, sf_dir, "labels")))
+    return found.drop("difference")
+
+
+def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = token_store.store(table(spark, sf_dir, "documents"))
+    store.verify()
+    return store.digests()
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_fst.encode(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_sharding, op5_quality_rules)
-}
+    f.__name__: f
+    for f in (
+        op1_token_counts, op2_decontamination, op3_sharding, op4_language_id, op5_quality_rules, op7_quality_classifier,
+        op8_token_store, op10_sentencepiece,
+    )
+}
 ORACLE_SQL: dict[str, str] = {}
