@@ -1,8 +1,93 @@
-"""Corpus pipeline (stages are filled in as their operators land)."""
+"""The corpus pipeline: rules, language, near-duplicates, benchmark passages, then ids.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. What a
+stage decides takes effect on the next one's rows. A stage's result is written as Parquet and read again.
+
+* quality rules: rows that the base limits or the learned list reject go;
+* language ID: texts without letters, and texts of no clear language, go;
+* near-duplicates: the row with the smallest id of each group stays, and one of rows that are equal in id and text;
+* decontamination: rows with a window of a benchmark item go;
+* SentencePiece: the rest is encoded.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quillstream.llm import decontaminate, language_crf, near_dedup, quality_rules, sentencepiece_fst
+from quillstream.llm.common import Workspace, table
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: A text whose likeliest language has a smaller mean probability over its words is of no clear language.
+LEAST_LANGUAGE = 0.4
+#: No SQL expresses a learned list, the random field or the encoding.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def _columns(docs: DataFrame) -> list[str]:
+    return [c for c in COLUMNS if c in docs.columns]
+
+
+def _by_row(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Rows of docs whose id is among verdicts' doc_id; ids are small next to texts, which are read once more."""
+    return docs.join(verdicts.select("doc_id").distinct(), "doc_id", "left_semi").select(*_columns(docs))
+
+
+def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps what the base limits and the list learned from the labels accept. Null texts go."""
+    rules = quality_rules.learn(docs, table(spark, sf_dir, "labels"))
+    keep = tuple(c for c in _columns(docs) if c != "doc_id")
+    return quality_rules.quality_rules(docs, rules, keep=keep).where("kept").select(*_columns(docs))
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps texts of a clear language. A row without an id has none to be found by, and goes."""
+    found = language_crf.identify(docs, language_crf.fit(docs))
+    return _by_row(docs, found.where(F.col("score") >= LEAST_LANGUAGE))
+
+
+def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the first row of each group of near-duplicates."""
+    kept = near_dedup.near_duplicates(docs).where("kept")
+    one = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.md5("text")))
+    repeated = docs.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    out = _by_row(docs, kept)
+    # ids that stand for several rows are rare: only these are ranked
+    single = out.join(repeated, "doc_id", "left_anti")
+    several = out.join(repeated, "doc_id", "left_semi").withColumn("_one", one).where("_one = 1").drop("_one")
+    return single.unionByName(several)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps rows without any window of a benchmark item."""
+    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    hit = found.where("contaminated").select("doc_id").distinct()
+    return docs.join(hit, "doc_id", "left_anti").select(*_columns(docs))
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of every text."""
+    return sentencepiece_fst.encode(docs)
+
+
+STAGES = [
+    ("quality_rules", rules_stage),
+    ("language_id", language_stage),
+    ("near_dedup", dedup_stage),
+    ("decontamination", decontamination_stage),
+    ("sentencepiece", encoding_stage),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each held in the shared folder before the next."""
+    space = Workspace(spark, "pipeline")
+    docs = table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = space.hold(docs, name)
+            if i:
+                space.drop(STAGES[i - 1][0])
+    return docs

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import held_out
+from quillstream.llm.common import digest_sample, held_out
 
 BLOCK = 4096
 LEVEL = 9
@@ -108,7 +108,7 @@ def fit(
     marked = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     marked = marked.groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).alias("_label"), F.max(label_col).alias("_high")).where("_label = _high")
     order = (F.md5(F.col("_id").cast("string")), "_id")
-    picked = [marked.where(F.col("_label") == y).orderBy(*order).limit(fit_rows).select("_id", "_label") for y in (0, 1)]
+    picked = [digest_sample(marked.where(F.col("_label") == y), "_id", fit_rows).select("_id", "_label") for y in (0, 1)]
     picked = picked[0].unionAll(picked[1])
     body = F.substring(F.encode(F.coalesce(F.col(text_col), F.lit("")), "utf-8"), 1, FIT_BYTES)
     rows = docs.select(F.col(id_col).alias("_id"), body.alias("_body")).join(F.broadcast(picked), "_id")

@@ -186,9 +186,6 @@ def features(pages: list[Page], lexicon: Lexicon) -> np.ndarray:
         of_parent = np.bincount(safe, minlength=n)[safe].astype(float)
         sibling_text = (np.bincount(safe, text, n)[safe] - text) / np.maximum(1, of_parent - 1)
         sibling_links = (np.bincount(safe, links, n)[safe] - links) / np.maximum(1, np.bincount(safe, text, n)[safe] - text)
-        first = np.full(n, n)
-        np.minimum.at(first, safe, np.arange(n))
-        before = size.cumsum() - size
         some = np.maximum(1, text)
         tag_array = np.array(tag)
         out.append(
@@ -196,8 +193,7 @@ def features(pages: list[Page], lexicon: Lexicon) -> np.ndarray:
                 [
                     tag_array, tag_array[safe], tag_above, np.array(low), np.array(high), np.array(low)[safe], low_above, depth, np.log1p(text),
                     links / some, 100 * tags / some, text / max(1, text[0]), links[safe] / np.maximum(1, text[safe]), stops / some * 100, paragraphs,
-                    headings, controls, np.minimum(of_parent, 50), np.log1p(sibling_text), sibling_links, before / max(1, text[0]),
-                    (np.arange(n) - first[safe]) / np.maximum(1, n), np.log1p(text) - np.log1p(sibling_text), np.log1p(size),
+                    headings, controls, np.minimum(of_parent, 50), np.log1p(sibling_text), sibling_links, np.log1p(text) - np.log1p(sibling_text), np.log1p(size),
                 ],
                 1,
             )
@@ -386,7 +382,7 @@ def _truth(page: Page, main: str) -> np.ndarray:
     return out
 
 
-def train(pages: int = 900, seed: int = 9) -> Model:
+def train(pages: int = 4000, seed: int = 9) -> Model:
     """Trees from invented pages; the same for equal arguments."""
     made = [(Page(source), main) for source, main in synthetic_pages(pages, seed)]
     truth = [_truth(p, main) for p, main in made]

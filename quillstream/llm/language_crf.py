@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import held_out
+from quillstream.llm.common import digest_sample, held_out
 
 UNDETERMINED = "und"
 BUCKETS = 1 << 16
@@ -217,11 +217,10 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_
     Of each, a run of FIT_CHARS characters is read. Without any such row no language is known, and all is undetermined.
     """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col)))
-    digest = F.md5(F.col(id_col).cast("string"))
-    at = F.greatest(F.lit(1), F.pmod(F.crc32(digest), F.greatest(F.lit(1), F.length(text_col) - FIT_CHARS)).cast("int"))
-    body = F.substring(F.col(text_col), at, F.lit(FIT_CHARS))
-    rows = rows.select(digest.alias("_digest"), body.alias("_body"), F.col(lang_col).alias("_lang"))
-    rows = rows.orderBy("_digest", "_lang", "_body").limit(fit_rows).collect()
+    picked = digest_sample(rows.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang")), "_id", fit_rows)
+    at = F.greatest(F.lit(1), F.pmod(F.crc32("_digest"), F.greatest(F.lit(1), F.length("_text") - FIT_CHARS)).cast("int"))
+    rows = picked.select("_digest", "_lang", F.substring("_text", at, F.lit(FIT_CHARS)).alias("_body"))
+    rows = rows.orderBy("_digest", "_lang", "_body").collect()
     return train([(words_of(r["_body"]), r["_lang"]) for r in rows])
 
 

@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from quillstream.llm import (
     compression_classifier,
     decontaminate,
+    html_extract,
     language_crf,
+    near_dedup,
     quality_rules,
     sentencepiece_fst,
     sharding,
@@ -43,6 +45,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(docs, quality_rules.learn(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = compression_classifier.classify(docs, compression_classifier.fit(docs, table(spark, sf_dir, "labels")))
@@ -55,6 +61,10 @@ def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.digests()
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"), html_extract.train())
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_fst.encode(table(spark, sf_dir, "documents"))
 
@@ -62,8 +72,8 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_token_counts, op2_decontamination, op3_sharding, op4_language_id, op5_quality_rules, op7_quality_classifier,
-        op8_token_store, op10_sentencepiece,
+        op1_token_counts, op2_decontamination, op3_sharding, op4_language_id, op5_quality_rules, op6_near_dedup,
+        op7_quality_classifier, op8_token_store, op9_html_extraction, op10_sentencepiece,
     )
 }
 ORACLE_SQL: dict[str, str] = {}
