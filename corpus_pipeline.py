@@ -87,7 +87,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = space.hold(docs, name)
+            docs = space.hold(docs, name, None)
             if i:
                 space.drop(STAGES[i - 1][0])
     return docs

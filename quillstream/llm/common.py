@@ -39,8 +39,14 @@ class Workspace:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def hold(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df and return what was written."""
+    def few(self, df: DataFrame, each: int = 2) -> DataFrame:
+        """df in ``each`` files for each core at most: a shuffle may leave many small partitions, and a file is dear."""
+        return df.coalesce(each * self.spark.sparkContext.defaultParallelism)
+
+    def hold(self, df: DataFrame, name: str, each: int | None = 2) -> DataFrame:
+        """Write df and return what was written; each: files for each core at most, None for one of each partition."""
+        if each:
+            df = self.few(df, each)
         df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 

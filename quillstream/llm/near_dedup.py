@@ -265,11 +265,11 @@ def components(space: Workspace, links: DataFrame, name: str) -> DataFrame:
         moved = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         return moved.unionAll(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
-    edges = space.hold(links.where("a <> b").distinct(), f"{name}-0")
+    edges = space.hold(links.where("a <> b").distinct(), f"{name}-0", 1)
     before, turn = None, 0
     while True:
         turn += 1
-        edges = space.hold(star(star(edges, True), False), f"{name}-{turn}")
+        edges = space.hold(star(star(edges, True), False), f"{name}-{turn}", 1)
         space.drop(f"{name}-{turn - 1}")
         state = edges.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(a, b))")).first()
         if state == before:
@@ -291,7 +291,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     space = Workspace(spark, "near-dedup")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = space.hold(sketches(docs), "sketches")
+    rows = space.hold(sketches(docs), "sketches", None)
     full = rows.where("name is not null and doc_id is not null")
     classes = space.hold(full.groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("tokens").alias("tokens")), "classes")
     nodes = branch(space, classes)
@@ -317,9 +317,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             sides = sides.unionAll(probes.select("*", F.lit(False).alias("base"), F.lit(True).alias("probe")))
         pairs = space.hold(_compared(sides, classes, forest), f"pairs{turn}")
         if not pairs.isEmpty():
-            confirmed = space.hold(confirm(docs, pairs, classes), f"links{turn}")
+            confirmed = space.hold(confirm(docs, pairs, classes), f"links{turn}", 1)
             links = confirmed if links is None else links.unionAll(confirmed)
-            labels = space.hold(components(space, links, f"stars{turn}"), f"labels{turn}")
+            labels = space.hold(components(space, links, f"stars{turn}"), f"labels{turn}", 1)
     of_class = classes.select("name", F.col("doc_id").alias("least"))
     if labels is not None:
         of_class = of_class.join(labels.select(F.col("node").alias("name"), "root"), "name", "left").withColumn("root", F.coalesce("root", "name"))

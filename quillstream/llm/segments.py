@@ -11,9 +11,12 @@ BLOCK_CHARS = 400_000
 
 
 class SegmentCache:
-    """ids of segments, each encoded once while it is held; forgets everything when it holds ``limit`` segments."""
+    """ids of segments, each encoded once while it is held; forgets everything when it holds ``limit`` segments.
 
-    def __init__(self, encode: Callable[[list[str]], list], limit: int = 400_000) -> None:
+    encode gives the ids of a list of segments in order, and how many each has.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 600_000) -> None:
         self.encode, self.limit = encode, limit
         self._clear()
 
@@ -25,19 +28,18 @@ class SegmentCache:
         self.used = 0
 
     def _add(self, segments: list[str]) -> None:
-        found = self.encode(segments)
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        have, need = len(self.places), self.used + int(lengths.sum())
-        while len(self.starts) < have + len(found):
+        found, lengths = self.encode(segments)
+        have, need = len(self.places), self.used + len(found)
+        while len(self.starts) < have + len(segments):
             self.starts, self.lengths = (np.concatenate((x, np.zeros_like(x))) for x in (self.starts, self.lengths))
         while len(self.values) < need:
             self.values = np.concatenate((self.values, np.zeros_like(self.values)))
-        at = slice(have, have + len(found))
+        at = slice(have, have + len(segments))
         self.lengths[at] = lengths
         self.starts[at] = self.used + lengths.cumsum() - lengths
-        self.values[self.used : need] = np.fromiter((i for x in found for i in x), np.int32, need - self.used)
+        self.values[self.used : need] = found
         self.used = need
-        self.places.update(zip(segments, range(have, have + len(found))))
+        self.places.update(zip(segments, range(have, have + len(segments))))
 
     def gather(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all segments in order, how many each has)."""
@@ -55,6 +57,12 @@ class SegmentCache:
         return self.values[index], lengths
 
 
+def flat(found: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(all ids in order, how many each list has)."""
+    lengths = np.fromiter(map(len, found), np.int64, len(found))
+    return np.fromiter((i for x in found for i in x), np.int32, lengths.sum()), lengths
+
+
 def blocks(texts: list[str | None], most: int = BLOCK_CHARS) -> Iterator[list[str]]:
     """Consecutive texts, null as empty, of about ``most`` characters together; a longer text is a block of its own."""
     block: list[str] = []

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.segments import SegmentCache, blocks, encode_block
+from quillstream.llm.segments import SegmentCache, blocks, encode_block, flat
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
@@ -101,7 +101,7 @@ class Transducer:
         run = rf"{SPACE}*[^{SPACE}{breaks}]+|{SPACE}+" + ("|\n" if breaks else "")
         self.split = (lambda text: [text] if text else []) if inner else re.compile(run).findall
         self.pairs: dict[int, bool] = {}
-        self.cache = SegmentCache(lambda segments: list(map(self.path, segments)))
+        self.cache = SegmentCache(lambda segments: flat(list(map(self.path, segments))))
         self.raw = [b"" if k in (CONTROL, UNKNOWN) else bytes([int(p[3:-1], 16)]) if k == BYTE else p.encode() for p, k in zip(self.pieces, self.kinds)]
 
     def normalise(self, text: str) -> str:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstream.llm.common import Workspace
-from quillstream.llm.segments import SegmentCache, blocks, encode_block
+from quillstream.llm.segments import SegmentCache, blocks, encode_block, flat
 
 END_ID = 2
 WINDOW = 8
@@ -38,6 +38,8 @@ STAGED = "kind string, key binary, doc_id long, n long, width int, payload binar
 _loaded: dict = {}
 _gear = np.random.default_rng(20).integers(0, 1 << 63, 1 << 16, dtype=np.uint64)
 
+#: Marks a segment that is a whole text.
+WHOLE = "\0"
 #: The tokenizer's pre-tokens for lower-cased text of the characters in PLAIN, where normalising changes nothing else.
 _LETTERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-ſ"
 _NUMBERS = "0-9\xb2\xb3\xb9\xbc-\xbe"
@@ -58,16 +60,28 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a pre-token
+        self.last[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
         self.cache = SegmentCache(self._ask)
 
-    def _ask(self, segments: list[str]) -> list:
-        return [x.ids for x in self.tokenizer.encode_batch_fast(segments, add_special_tokens=False)]
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _ask(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if not any(s[0] == WHOLE for s in segments):
+            # between blanks a pre-token is encoded as it is alone, and its last id shows where it ends
+            ids = np.array(self._ids(" ".join(segments)), np.int32)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(segments):
+                return ids, np.diff(ends, prepend=0)
+        return flat([self._ids(s[1:] if s[0] == WHOLE else s) for s in segments])
 
     @staticmethod
     def split(text: str) -> list[str]:
         if "<|" not in text and _PLAIN.fullmatch(text):
             return _PRETOKEN.findall(text.lower())
-        return [text] if text else []
+        return [WHOLE + text]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         return encode_block(self.cache, texts, self.split)
@@ -217,7 +231,7 @@ class TokenStore:
     def write(self, docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> TokenStore:
         """Encode every text of docs and write store, recipes and manifest."""
         staged = _staged(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col), tokenizer or default_tokenizer(), end_id)
-        staged.dropDuplicates(["kind", "key"]).write.partitionBy("kind").option("compression", "none").parquet(self.space.path("store"))
+        self.space.few(staged.dropDuplicates(["kind", "key"])).write.partitionBy("kind").option("compression", "none").parquet(self.space.path("store"))
         found = self._read("store").where("kind = 'recipe'").select("doc_id", F.col("n").alias("n_tokens"), F.col("payload").alias("digests"))
         parts = max(1, found.count() // PART_DOCS)
         ordered = found.repartitionByRange(parts, "doc_id", "digests").sortWithinPartitions("doc_id", "digests")
