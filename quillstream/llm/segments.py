@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 
@@ -16,7 +17,7 @@ class SegmentCache:
     encode gives the ids of a list of segments in order, and how many each has.
     """
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 600_000) -> None:
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 800_000) -> None:
         self.encode, self.limit = encode, limit
         self._clear()
 
@@ -41,16 +42,18 @@ class SegmentCache:
         self.used = need
         self.places.update(zip(segments, range(have, have + len(segments))))
 
+    def _places(self, segments: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.places.get, segments, repeat(-1)), np.int64, len(segments))
+
     def gather(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all segments in order, how many each has)."""
         if len(self.places) > self.limit:
             self._clear()
-        get = self.places.get
-        places = list(map(get, segments))
-        if None in places:
-            self._add(list(dict.fromkeys(s for s, p in zip(segments, places) if p is None)))
-            places = list(map(get, segments))
-        at = np.array(places, np.int64)
+        at = self._places(segments)
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            self._add(list(dict.fromkeys(map(segments.__getitem__, missing.tolist()))))
+            at = self._places(segments)
         lengths = self.lengths[at]
         ends = lengths.cumsum()
         index = np.repeat(self.starts[at] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)

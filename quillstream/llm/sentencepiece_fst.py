@@ -92,33 +92,59 @@ class Transducer:
             raise ValueError("only the identity normaliser that keeps white space, without user symbols, is compiled")
         self.prefix = bool(normaliser.get(3, 1))
         self.ids = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k == NORMAL}
+        self.rank = {p: self.scores[i] for p, i in self.ids.items()}
         self.bytes = {int(p[3:-1], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k == BYTE}
         self.unknown = self.kinds.index(UNKNOWN)
         self.letters = {c for p in self.ids for c in p}
-        self.longest = max(map(len, self.ids))
-        inner = any(SPACE in p.lstrip(SPACE) for p in self.ids)
-        breaks = "\n" if "\n" not in self.letters else ""
-        run = rf"{SPACE}*[^{SPACE}{breaks}]+|{SPACE}+" + ("|\n" if breaks else "")
-        self.split = (lambda text: [text] if text else []) if inner else re.compile(run).findall
+        self.trie = self._trie()
+        self.split = self._splitter()
         self.pairs: dict[int, bool] = {}
         self.cache = SegmentCache(lambda segments: flat(list(map(self.path, segments))))
         self.raw = [b"" if k in (CONTROL, UNKNOWN) else bytes([int(p[3:-1], 16)]) if k == BYTE else p.encode() for p, k in zip(self.pieces, self.kinds)]
 
+    def _trie(self) -> dict:
+        """The lexicon read backwards: a node's children by character, and at '' the piece that begins there."""
+        root: dict = {}
+        for piece, i in self.ids.items():
+            node = root
+            for c in reversed(piece):
+                node = node.setdefault(c, {})
+            node[""] = i
+        return root
+
+    def _splitter(self):
+        """Cuts normalised text where no piece can cross: before U+2581 and signs that never follow another character
+        inside a piece, and around a newline if no piece has one."""
+        if any(SPACE in p.lstrip(SPACE) for p in self.ids):
+            return lambda text: [text] if text else []
+        follows: dict[str, set[str]] = {}
+        for p in self.ids:
+            for x, c in zip(p, p[1:]):
+                follows.setdefault(c, set()).add(x)
+        # no letters of a script; superscripts and the like count as signs where pieces allow it
+        signs = {c for c in self.letters if not c.isalpha() and not c.isdecimal() and c not in (SPACE, "\n")}
+        while wrong := {c for c in signs if follows.get(c, set()) - signs - {SPACE}}:
+            signs -= wrong
+        sign = re.escape("".join(sorted(c for c in signs if c < "\x80")))  # a short class is matched faster
+        rest = "" if "\n" in self.letters else "\n"
+        some = f"[{sign}]++[^{SPACE}{sign}{rest}]*+|" if sign else ""
+        return re.compile(f"{SPACE}*+(?:{some}[^{SPACE}{sign}{rest}]++)|{SPACE}++" + (f"|{rest}" if rest else "")).findall
+
     def normalise(self, text: str) -> str:
         return (SPACE if self.prefix and text else "") + text.replace(" ", SPACE)
 
     def merged(self, text: str) -> list[str]:
         """What the model's merges leave of a short text: best score first, the leftmost on a tie."""
-        parts = list(text)
-        while len(parts) > 1:
-            best, where = -float("inf"), -1
-            for i in range(len(parts) - 1):
-                piece = self.ids.get(parts[i] + parts[i + 1])
-                if piece is not None and self.scores[piece] > best:
-                    best, where = self.scores[piece], i
-            if where < 0:
-                break
-            parts[where : where + 2] = [parts[where] + parts[where + 1]]
+        parts, rank, never = list(text), self.rank.get, -float("inf")
+        scores = [rank(a + b, never) for a, b in zip(parts, parts[1:])]
+        while scores and (best := max(scores)) > never:
+            i = scores.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del scores[i]
+            if i:
+                scores[i - 1] = rank(parts[i - 1] + parts[i], never)
+            if i < len(scores):
+                scores[i] = rank(parts[i] + parts[i + 1], never)
         return parts
 
     def adjacent(self, before: int, after: int) -> bool:
@@ -134,19 +160,26 @@ class Transducer:
 
     def path(self, segment: str) -> list[int]:
         """Ids on the shortest path over a segment of normalised text."""
-        n, ids, pairs, longest = len(segment), self.ids.get, self.pairs.get, self.longest
+        n, trie, pairs = len(segment), self.trie, self.pairs.get
         # state of each position: its last piece (-1 at the start and after bytes), the position before; None: infinity
         state: list = [None] * (n + 1)
         state[0] = (-1, 0)
         for end in range(1, n + 1):
-            for start in range(max(0, end - longest), end):
-                piece = ids(segment[start:end])
-                if piece is None or state[start] is None:
+            node, start, arcs = trie, end, []
+            while start:
+                node = node.get(segment[start - 1])
+                if node is None:
+                    break
+                start -= 1
+                if "" in node:
+                    arcs.append((node[""], start))
+            for arc in reversed(arcs):
+                before = state[arc[1]]
+                if before is None:
                     continue
-                before = state[start][0]
-                fits = pairs((before + 1) << 32 | piece)
-                if fits or fits is None and self.adjacent(before, piece):
-                    state[end] = (piece, start)
+                fits = pairs((before[0] + 1) << 32 | arc[0])
+                if fits or fits is None and self.adjacent(before[0], arc[0]):
+                    state[end] = arc
                     break
             else:
                 if segment[end - 1] not in self.letters and state[end - 1] is not None:
