@@ -52,8 +52,9 @@ class SegmentCache:
         at = self._places(segments)
         missing = np.flatnonzero(at < 0)
         if len(missing):
-            self._add(list(dict.fromkeys(map(segments.__getitem__, missing.tolist()))))
-            at = self._places(segments)
+            new = list(map(segments.__getitem__, missing.tolist()))
+            self._add(list(dict.fromkeys(new)))
+            at[missing] = self._places(new)
         lengths = self.lengths[at]
         ends = lengths.cumsum()
         index = np.repeat(self.starts[at] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
