@@ -10,8 +10,10 @@ What is still large after the last level is a dense node, of near copies. Its pa
 it is never expanded: it is dealt into blocks of LEAF classes, at random, and what these link is contracted first. Then
 only classes outside a node's largest component are compared with all of the node, block by block.
 
-A comparison estimates similarity from the minwise tokens of all trees, and passes pairs from ESTIMATE on. Passed pairs
-are confirmed on the full sets, which are made anew for their classes only. Links, classes and components stay in
+Two rounds link by estimates from the minwise tokens of all trees, a spanning forest of each block at most. The last
+round goes over every node that still has several components: members whose estimate with another is ESTIMATE or more
+are compared by prints of their whole sets, block by block, and again only a spanning forest leaves the block. All links
+are confirmed on full sets, which are made anew for the classes in question only. Links, classes and components stay in
 tables in the shared folder; components are found by alternating star steps.
 """
 
@@ -34,6 +36,8 @@ PERCENT = 75
 TREES, LEVELS, LEAF = 20, 5, 48
 #: Estimates have a standard error of 0.043 at 0.75, so that this is nearly six errors below.
 ESTIMATE = 0.5
+#: Shingles by which prints of 32 bits may be off before full sets must decide.
+SLACK = 2
 #: Trees of the first round, whose links contract most copies before all trees are compared.
 FIRST_TREES = 3
 #: Ids of documents to be confirmed that are broadcast at most (64 MB); beyond that, texts are joined by a shuffle.
@@ -173,65 +177,156 @@ def branch(space: Workspace, classes: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionAll, done)
 
 
-def _compared(rows: DataFrame, classes: DataFrame, forest: bool) -> DataFrame:
-    """Distinct pairs (a, b) that pass the estimate, from rows (node, block, name, label, base, probe).
+def _roots(n: int):
+    """(find, join) of a union-find over n labels."""
+    root = list(range(n))
 
-    Within a block each probe is compared with each base of another label. forest: only a spanning forest of a block's
-    passing pairs, the most similar first; what an unconfirmed link leaves apart is met in a later round.
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    def join(a: int, b: int) -> bool:
+        a, b = find(a), find(b)
+        root[a] = b
+        return a != b
+
+    return find, join
+
+
+def _passing(members: list[dict], one_way: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(i, those that pass the estimate with i, all estimates with i) for members of other labels.
+
+    one_way: i is a probe and its partners are bases; otherwise partners come after i.
+    """
+    tokens = np.stack([np.frombuffer(x["tokens"], np.uint32) for x in members])
+    n = np.array([x["n_shingles"] for x in members])
+    labels = np.unique([x["label"] for x in members], return_inverse=True)[1]
+    base = np.array([x["base"] for x in members])
+    for i, member in enumerate(members):
+        if one_way and not member["probe"]:
+            continue
+        alike = (tokens == tokens[i]).mean(1)
+        fits = (alike >= ESTIMATE) & (labels != labels[i]) & (100 * np.minimum(n, n[i]) >= PERCENT * np.maximum(n, n[i]))
+        if one_way:
+            fits &= base
+        else:
+            fits[: i + 1] = False
+        yield i, np.flatnonzero(fits), alike
+
+
+def _blocks(rows: DataFrame, more: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """(node, block, members) from rows (node, block, name, label, base, probe) and what more has by name."""
+    member = F.struct("name", "label", "base", "probe", *columns)
+    return rows.join(more.select("name", *columns), "name").groupBy("node", "block").agg(F.collect_list(member).alias("members"))
+
+
+def _likely(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) by the estimate: of each block a spanning forest, the most similar pairs first.
+
+    What an unconfirmed pair leaves apart is met in a later round.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = set()
             for members in batch.column(0).to_pylist():
-                tokens = np.stack([np.frombuffer(x["tokens"], np.uint32) for x in members])
-                n = np.array([x["n_shingles"] for x in members])
+                edges = [(-alike[j], i, int(j)) for i, found, alike in _passing(members, False) for j in found]
+                labels = np.unique([x["label"] for x in members], return_inverse=True)[1]
+                _, join = _roots(len(members))
+                out |= {tuple(sorted((members[i]["name"], members[j]["name"]))) for _, i, j in sorted(edges) if join(int(labels[i]), int(labels[j]))}
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+    blocks = _blocks(rows, classes, ("n_shingles", "tokens")).select("members")
+    return blocks.mapInArrow(run, "a binary, b binary").distinct()
+
+
+def _near(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """(node, block, name): members that pass the estimate with any other; as many rows as members at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for node, block, members in zip(*(c.to_pylist() for c in batch.columns)):
+                some = set()
+                for i, found, _ in _passing(members, True):
+                    if len(found):
+                        some |= {i, *found.tolist()}
+                out += [(node, block, name) for name in {members[i]["name"] for i in some}]
+            kinds = (pa.int64(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], ["node", "block", "name"])
+
+    blocks = _blocks(rows, classes, ("n_shingles", "tokens"))
+    return blocks.mapInArrow(run, "node long, block int, name binary")
+
+
+def shared(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections, from incidence matrices of some columns at a time."""
+    m = len(sets)
+    columns = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    owners = np.repeat(np.arange(m), [len(x) for x in sets])
+    order = columns.argsort(kind="stable")
+    columns, owners = columns[order], owners[order]
+    out, width = np.zeros((m, m), np.float32), max(1, (1 << 21) // m)
+    for first in range(0, int(columns[-1]) + 1, width):
+        a, b = columns.searchsorted((first, first + width))
+        part = np.zeros((m, width), np.float32)
+        part[owners[a:b], columns[a:b] - first] = 1
+        out += part @ part.T
+    return out.astype(np.int64)
+
+
+def _linked(rows: DataFrame, prints: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) by the 32-bit prints of whole sets: a spanning forest of each block's links.
+
+    Two shingles with one print can move a count by one. Pairs so near the limit that SLACK of them would decide are
+    passed on as well and join nothing; the confirmation on full sets decides.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = set()
+            for members in batch.column(0).to_pylist():
+                sets = [np.frombuffer(x["prints"], np.uint32) for x in members]
+                both = shared(sets)
+                n = np.array(list(map(len, sets)))
+                union = n[:, None] + n - both
                 labels = np.unique([x["label"] for x in members], return_inverse=True)[1]
                 base, probe = (np.array([x[k] for x in members]) for k in ("base", "probe"))
-                for i in np.flatnonzero(probe) if not forest else ():
-                    alike = (tokens == tokens[i]).mean(1)
-                    fits = (alike >= ESTIMATE) & (labels != labels[i]) & base & (100 * np.minimum(n, n[i]) >= PERCENT * np.maximum(n, n[i]))
-                    out |= {tuple(sorted((members[i]["name"], members[j]["name"]))) for j in np.flatnonzero(fits)}
-                if forest:
-                    edges = []
-                    for i in range(len(members) - 1):
-                        alike = (tokens[i + 1 :] == tokens[i]).mean(1)
-                        m = n[i + 1 :]
-                        fits = (alike >= ESTIMATE) & (labels[i + 1 :] != labels[i]) & (100 * np.minimum(m, n[i]) >= PERCENT * np.maximum(m, n[i]))
-                        edges += [(-alike[j], i, i + 1 + int(j)) for j in np.flatnonzero(fits)]
-                    root = list(range(labels.max() + 1))
-
-                    def find(x: int, root: list = root) -> int:
-                        while root[x] != x:
-                            root[x] = x = root[root[x]]
-                        return x
-
-                    for _, i, j in sorted(edges):
-                        a, b = find(labels[i]), find(labels[j])
-                        if a != b:
-                            root[a] = b
-                            out.add(tuple(sorted((members[i]["name"], members[j]["name"]))))
+                asked = (probe[:, None] & base) & (labels[:, None] != labels)
+                # a probe may stand in a block twice, as probe and as base; its two rows have one label
+                near = asked & (100 * (both + SLACK) >= PERCENT * (union - SLACK))
+                _, join = _roots(len(members))
+                for i, j in sorted(np.argwhere(near).tolist(), key=lambda p: -both[p[0], p[1]] / union[p[0], p[1]]):
+                    sure = 100 * (both[i, j] - SLACK) >= PERCENT * (union[i, j] + SLACK)
+                    if not sure or join(int(labels[i]), int(labels[j])):
+                        out.add(tuple(sorted((members[i]["name"], members[j]["name"]))))
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.binary()) for k in (0, 1)], ["a", "b"])
 
-    full = rows.join(classes.select("name", "n_shingles", "tokens"), "name")
-    member = F.struct("name", "label", "base", "probe", "n_shingles", "tokens")
-    groups = full.groupBy("node", "block").agg(F.collect_list(member).alias("members")).select("members")
-    return groups.mapInArrow(run, "a binary, b binary").distinct()
+    blocks = _blocks(rows, prints, ("prints",)).select("members")
+    return blocks.mapInArrow(run, "a binary, b binary").distinct()
 
 
-def confirm(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough. docs has doc_id and text."""
-    names = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
-    wanted = names.join(classes.select("name", "doc_id"), "name")
-    ids = wanted.select("doc_id").distinct()
+def full_sets(docs: DataFrame, names: DataFrame, classes: DataFrame, prints: bool = False) -> DataFrame:
+    """(name, members), or (name, prints), of the classes in names, made anew from one of each class's texts."""
+    ids = names.join(classes.select("name", "doc_id"), "name").select("doc_id").distinct()
     small = ids.count() <= BROADCAST_IDS
     texts = docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
+    column = "prints" if prints else "members"
+    as_bytes = (lambda x: np.unique((x >> np.uint64(32)).astype(np.uint32)).tobytes()) if prints else np.ndarray.tobytes
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first in range(0, batch.num_rows, 500):
                 found = list(shingle_sets(_texts(batch.slice(first, 500).column(0))))
-                yield pa.RecordBatch.from_arrays([pa.array(list(map(f, found)), pa.binary()) for f in (set_name, np.ndarray.tobytes)], ["name", "members"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(map(f, found)), pa.binary()) for f in (set_name, as_bytes)], ["name", column])
+
+    found = texts.select("text").mapInArrow(run, f"name binary, {column} binary")
+    return found.join(names, "name", "left_semi").dropDuplicates(["name"])
+
+
+def confirm(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough. docs has doc_id and text."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -243,7 +338,7 @@ def confirm(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
             kept = batch.filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays(kept.columns[:2], ["a", "b"])
 
-    found = texts.select("text").mapInArrow(sets, "name binary, members binary").join(names, "name", "left_semi").dropDuplicates(["name"])
+    found = full_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct(), classes)
     one = pairs.join(found.select(F.col("name").alias("a"), F.col("members").alias("of_a")), "a")
     two = one.join(found.select(F.col("name").alias("b"), F.col("members").alias("of_b")), "b")
     return two.select("a", "b", "of_a", "of_b").mapInArrow(check, "a binary, b binary")
@@ -315,7 +410,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             apart = own.where("dense").join(most, "node").where("label <> _most")
             probes = apart.select("node", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), "name", "label")
             sides = sides.unionAll(probes.select("*", F.lit(False).alias("base"), F.lit(True).alias("probe")))
-        pairs = space.hold(_compared(sides, classes, forest), f"pairs{turn}")
+        if forest:
+            pairs = _likely(sides, classes)
+        else:
+            near = space.hold(_near(sides, classes), "near")
+            prints = full_sets(docs, near.select("name").distinct(), classes, prints=True)
+            pairs = _linked(sides.join(near, ["node", "block", "name"], "left_semi"), prints)
+        pairs = space.hold(pairs, f"pairs{turn}")
         if not pairs.isEmpty():
             confirmed = space.hold(confirm(docs, pairs, classes), f"links{turn}", 1)
             links = confirmed if links is None else links.unionAll(confirmed)
