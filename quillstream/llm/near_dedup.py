@@ -267,8 +267,9 @@ def shared(sets: list[np.ndarray]) -> np.ndarray:
     owners = np.repeat(np.arange(m), [len(x) for x in sets])
     order = columns.argsort(kind="stable")
     columns, owners = columns[order], owners[order]
-    out, width = np.zeros((m, m), np.float32), max(1, (1 << 21) // m)
-    for first in range(0, int(columns[-1]) + 1, width):
+    total = int(columns[-1]) + 1
+    out, width = np.zeros((m, m), np.float32), min(total, max(1, (1 << 21) // m))
+    for first in range(0, total, width):
         a, b = columns.searchsorted((first, first + width))
         part = np.zeros((m, width), np.float32)
         part[owners[a:b], columns[a:b] - first] = 1
