@@ -21,6 +21,8 @@ from quillstream.llm.common import Workspace, table
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A text whose likeliest language has a smaller mean probability over its words is of no clear language.
 LEAST_LANGUAGE = 0.4
+#: Ids of rows that go, broadcast at most (64 MB).
+BROADCAST_IDS = 8_000_000
 #: No SQL expresses a learned list, the random field or the encoding.
 ORACLE_SQL = None
 
@@ -29,9 +31,11 @@ def _columns(docs: DataFrame) -> list[str]:
     return [c for c in COLUMNS if c in docs.columns]
 
 
-def _by_row(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Rows of docs whose id is among verdicts' doc_id; ids are small next to texts, which are read once more."""
-    return docs.join(verdicts.select("doc_id").distinct(), "doc_id", "left_semi").select(*_columns(docs))
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of docs whose doc_id is not among ids. Up to BROADCAST_IDS ids are broadcast, so that no text is moved."""
+    ids = ids.select("doc_id").distinct()
+    small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_anti").select(*_columns(docs))
 
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,28 +46,31 @@ def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps texts of a clear language. A row without an id has none to be found by, and goes."""
-    found = language_crf.identify(docs, language_crf.fit(docs))
-    return _by_row(docs, found.where(F.col("score") >= LEAST_LANGUAGE))
+    """Keeps texts of a clear language."""
+    keep = tuple(c for c in _columns(docs) if c != "doc_id")
+    found = language_crf.identify(docs, language_crf.fit(docs), keep=keep, least=LEAST_LANGUAGE)
+    return found.select(*_columns(docs))
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the first row of each group of near-duplicates."""
-    kept = near_dedup.near_duplicates(docs).where("kept")
+    """Keeps the first row of each group of near-duplicates; of rows that share an id, one."""
+    space = Workspace(spark, "dedup-stage")
+    found = space.hold(near_dedup.near_duplicates(docs), "found")
+    out = _without(docs, found.where("not kept"))
+    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    # ids that stand for several rows are rare: only these are ranked, by text
     one = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.md5("text")))
-    repeated = docs.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    out = _by_row(docs, kept)
-    # ids that stand for several rows are rare: only these are ranked
-    single = out.join(repeated, "doc_id", "left_anti")
+    if repeated.isEmpty():
+        return out
     several = out.join(repeated, "doc_id", "left_semi").withColumn("_one", one).where("_one = 1").drop("_one")
-    return single.unionByName(several)
+    return _without(out, repeated).unionByName(several)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps rows without any window of a benchmark item."""
-    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    hit = found.where("contaminated").select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(*_columns(docs))
+    space = Workspace(spark, "decontamination-stage")
+    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated")
+    return _without(docs, space.hold(found.select("doc_id"), "hit", 1))
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ FIT_SEQUENCES, FIT_STEPS, RATE, DECAY = 1_200, 60, 0.08, 1e-6
 #: Cells (words times documents, with padding) that forward-backward holds at once.
 CELLS = 300_000
 #: Words that a worker remembers the emissions of.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, n_words long, n_runs long"
 
@@ -247,8 +247,8 @@ def _blocks(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[list
         yield first, texts
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """SCHEMA for each row of docs, from its whole text.
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), least: float | None = None) -> DataFrame:
+    """SCHEMA, and the columns in keep, for each row of docs, from its whole text; least: only rows of such a score.
 
     score is the mean probability of lang_pred over the words; n_runs counts runs of words of one language. Null, empty
     and letterless texts are 'und' with score 0, as are all texts if the model knows no language. A null id stays null
@@ -272,10 +272,14 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                     else:
                         out.append((UNDETERMINED, 0.0, len(words), 0))
                 columns = [pa.array(x, k) for x, k in zip(zip(*out), (pa.string(), pa.float64(), pa.int64(), pa.int64()))]
-                ids = [c[first : first + len(texts)] for c in batch.columns[:2]]
-                yield pa.RecordBatch.from_arrays([*ids, *columns], [x.split()[0] for x in SCHEMA.split(", ")])
-
-    return docs.select(F.col(id_col).cast("long"), held_out(F.col(id_col)), text_col).mapInArrow(run, SCHEMA)
+                given = [c.slice(first, len(texts)) for c in batch.columns]
+                found = pa.RecordBatch.from_arrays([*given[:2], *columns, *given[3:]], names)
+                yield found if least is None else found.filter(pa.array([x[1] >= least for x in out], pa.bool_()))
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("_text"), *keep)
+    names = [x.split()[0] for x in SCHEMA.split(", ")] + list(keep)
+    schema = ", ".join([SCHEMA, *(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)])
+    return rows.mapInArrow(run, schema)
 
 
 def label_words(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -17,7 +17,7 @@ class SegmentCache:
     encode gives the ids of a list of segments in order, and how many each has.
     """
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 800_000) -> None:
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 300_000) -> None:
         self.encode, self.limit = encode, limit
         self._clear()
 

@@ -63,7 +63,7 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a pre-token
         self.last[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
-        self.cache = SegmentCache(self._ask)
+        self.cache = SegmentCache(self._ask, 800_000)
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
