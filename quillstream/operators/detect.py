@@ -117,8 +117,8 @@ def suppressed(df: DataFrame, settings: Detection) -> DataFrame:
 
 
 def numbered(df: DataFrame) -> DataFrame:
-    """Candidates numbered from 1 by (y, x) in their page."""
-    come = Window.partitionBy(*PAGE).orderBy(F.col("box")["y"], F.col("box")["x"])
+    """Candidates numbered from 1 by (y, x) in their page, ties by candidate_pos."""
+    come = Window.partitionBy(*PAGE).orderBy(F.col("box")["y"], F.col("box")["x"], "candidate_pos")
     return df.withColumn("number", F.row_number().over(come))
 
 

@@ -481,7 +481,7 @@ def j06_suppression(spark, sf_dir):
     return detect.suppressed(adapters.boxes(spark, sf_dir), Detection()).select("script_id", "page_index", "candidate_pos")
 
 
-@query(f"WITH {LINES} SELECT script_id, page_index, candidate_pos, row_number() OVER (PARTITION BY script_id, page_index ORDER BY y, x) AS number FROM lines")
+@query(f"WITH {LINES} SELECT script_id, page_index, candidate_pos, row_number() OVER (PARTITION BY script_id, page_index ORDER BY y, x, candidate_pos) AS number FROM lines")
 def w05_candidate_numbers(spark, sf_dir):
     return detect.numbered(adapters.lines(spark, sf_dir)).select("script_id", "page_index", "candidate_pos", "number")
 
