@@ -76,4 +76,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_quality_classifier, op8_token_store, op9_html_extraction, op10_sentencepiece,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_decontamination": f"""
+WITH docs AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_WORD}') AS words FROM documents),
+items AS (SELECT item_id, regexp_extract_all({_LOWER}, '{_WORD}') AS words FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, n, words[s + 1:s + n] AS win FROM (SELECT *, least(10, len(words))::BIGINT AS n FROM items WHERE len(words) > 0), unnest(range(len(words)::BIGINT - n + 1)) AS r(s)),
+places AS (SELECT doc_id, n, s, words[s + 1:s + n] AS win FROM docs, (SELECT DISTINCT n FROM windows), unnest(range(len(words)::BIGINT - n + 1)) AS r(s)),
+hits AS (SELECT doc_id, s, n, item_id FROM places JOIN windows USING (n, win)),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM hits) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS names FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM hits) GROUP BY doc_id)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)""",
+    "op3_sharding": f"""
+WITH RECURSIVE steps(i, k, c) AS (
+  SELECT i, 0, i FROM range(256) AS r(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM steps WHERE k < 8),
+crcs AS (SELECT list(c ORDER BY i) AS t FROM steps WHERE k = 8),
+bytes AS (SELECT doc_id, source, coalesce(text, '') AS body, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT) AS b FROM documents),
+sized AS (SELECT doc_id, source, strlen(body) + 16 AS size, xor(list_reduce(list_prepend(4294967295, b), lambda a, x: xor(t[(xor(a, x) & 255) + 1], a >> 8)), 4294967295) AS text_crc32, md5('17|' || doc_id) AS key FROM bytes, crcs),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY key, doc_id, size, text_crc32) - 1 AS r, count(*) OVER (PARTITION BY source) AS n, count(*) OVER () AS total FROM sized),
+placed AS (SELECT *, row_number() OVER (ORDER BY (2 * r + 1) / (2.0::DOUBLE * n), source, r) - 1 AS pos FROM ranked)
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, source, 'rows' AS law, (pos * {SHARDS} // total)::INT AS shard,
+  (pos - (pos * {SHARDS} // total * total + {SHARDS} - 1) // {SHARDS})::BIGINT AS slot, NULL::INT AS grown_shard FROM placed""",
+}

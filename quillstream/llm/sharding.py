@@ -52,8 +52,8 @@ def shard(
     total = rows.count()
     bits = max(8, (max(1, total // BUCKET_ROWS) - 1).bit_length())
     source = ["_source", "_sourceless"]
-    rows = rows.withColumn("_bucket", F.conv(F.substring("_key", 1, 8), 16, 10).cast("long").bitwiseAND((1 << bits) - 1))
-    # the order inside a source: bucket, then the whole digest, then what tells repeated ids apart
+    # the digest's first bits, so that buckets follow the order of digests and their number changes no rank
+    rows = rows.withColumn("_bucket", F.shiftright(F.conv(F.substring("_key", 1, 8), 16, 10).cast("long"), 32 - min(bits, 32)))
     ranked = _ranked(rows, source, "_bucket", ["_key", "doc_id", "size", "text_crc32"], "_rank")
     sizes = rows.groupBy(*source).agg(F.count(F.lit(1)).alias("_of"))
     ranked = ranked.join(sizes, source).withColumn("_fraction", (2 * F.col("_rank") + 1) / (2.0 * F.col("_of")))
