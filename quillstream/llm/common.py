@@ -29,6 +29,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Rows go to Python a thousand at a time: batches are held several times over, off the heap and in the worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 class Workspace:
     """Tables written in the shared folder: they cut lineage, survive lost executors and can be dropped again."""
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import digest_sample, held_out
+from quillstream.llm.common import digest_sample, held_out, small_batches
 
 BLOCK = 4096
 LEVEL = 9
@@ -144,4 +144,5 @@ def classify(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_col
                 [x.split()[0] for x in SCHEMA.split(", ")],
             )
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long"), held_out(F.col(id_col)), text_col).mapInArrow(run, SCHEMA)

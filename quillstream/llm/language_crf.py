@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import digest_sample, held_out
+from quillstream.llm.common import digest_sample, held_out, small_batches
 
 UNDETERMINED = "und"
 BUCKETS = 1 << 16
@@ -95,7 +95,7 @@ class Tagger:
 
     def __init__(self, model: Model) -> None:
         self.model = model
-        moves = model.moves - model.moves.max()
+        moves = model.moves - model.moves.max() if model.labels else model.moves
         self.moves = np.exp(moves)
         self._clear()
 
@@ -273,12 +273,15 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
                         out.append((UNDETERMINED, 0.0, len(words), 0))
                 columns = [pa.array(x, k) for x, k in zip(zip(*out), (pa.string(), pa.float64(), pa.int64(), pa.int64()))]
                 given = [c.slice(first, len(texts)) for c in batch.columns]
-                found = pa.RecordBatch.from_arrays([*given[:2], *columns, *given[3:]], names)
+                found = pa.RecordBatch.from_arrays([*given[:2], *columns, *(given[i] for i in places)], names)
                 yield found if least is None else found.filter(pa.array([x[1] >= least for x in out], pa.bool_()))
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("_text"), *keep)
+    small_batches(docs.sparkSession)
+    others = [c for c in keep if c != text_col]  # the text goes to Python once
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("_text"), *others)
+    places = [2 if c == text_col else 3 + others.index(c) for c in keep]
     names = [x.split()[0] for x in SCHEMA.split(", ")] + list(keep)
-    schema = ", ".join([SCHEMA, *(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)])
+    schema = ", ".join([SCHEMA, *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)])
     return rows.mapInArrow(run, schema)
 
 
@@ -295,4 +298,5 @@ def label_words(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
                 columns = [pa.array([x[c] for x in found], k) for c, k in ((1, pa.int64()), (2, pa.int64()), (3, pa.string()))]
                 yield pa.RecordBatch.from_arrays([ids, *columns], ["doc_id", "first", "end", "lang"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "doc_id long, first long, end long, lang string")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import Workspace
+from quillstream.llm.common import Workspace, small_batches
 
 SHINGLE = 5
 #: Links have 100 * intersection >= PERCENT * union.
@@ -385,6 +385,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     an id are told apart by their sets. An empty table gives an empty result; other columns are not read.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     space = Workspace(spark, "near-dedup")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = space.hold(sketches(docs), "sketches", None)

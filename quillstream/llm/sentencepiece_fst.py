@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillstream.llm.common import small_batches
 from quillstream.llm.segments import SegmentCache, blocks, encode_block, flat
 
 SPACE = "▁"
@@ -125,7 +126,11 @@ class Transducer:
         signs = {c for c in self.letters if not c.isalpha() and not c.isdecimal() and c not in (SPACE, "\n")}
         while wrong := {c for c in signs if follows.get(c, set()) - signs - {SPACE}}:
             signs -= wrong
-        sign = re.escape("".join(sorted(c for c in signs if c < "\x80")))  # a short class is matched faster
+        # a short class is matched faster: ASCII signs, and those that stand before them in pieces
+        few = {c for c in signs if c < "\x80"}
+        while more := {x for c in few for x in follows.get(c, ()) if x != SPACE} - few:
+            few |= more
+        sign = re.escape("".join(sorted(few)))
         rest = "" if "\n" in self.letters else "\n"
         some = f"[{sign}]++[^{SPACE}{sign}{rest}]*+|" if sign else ""
         return re.compile(f"{SPACE}*+(?:{some}[^{SPACE}{sign}{rest}]++)|{SPACE}++" + (f"|{rest}" if rest else "")).findall
@@ -242,6 +247,7 @@ def encode(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", te
                 )
                 done += len(texts)
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, SCHEMA)
 
 

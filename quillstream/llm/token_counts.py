@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillstream.llm.common import small_batches
+
 RULES = ("largest", "start", "split")
 SCHEMA = "doc_id long, section int, char_start long, char_end long, n_tokens double, n_crossing long, doc_tokens long"
 _loaded: dict = {}
@@ -113,4 +115,5 @@ def section_tokens(
             names = [x.split()[0] for x in SCHEMA.split(", ")]
             yield pa.RecordBatch.from_arrays([ids, *rest], names)
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, SCHEMA)

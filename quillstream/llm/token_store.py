@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import Workspace
+from quillstream.llm.common import Workspace, small_batches
 from quillstream.llm.segments import SegmentCache, blocks, encode_block, flat
 
 END_ID = 2
@@ -35,6 +35,11 @@ LEAST, MEAN, MOST = 256, 1024, 8192
 #: Documents in a part of the recipes.
 PART_DOCS = 50_000
 STAGED = "kind string, key binary, doc_id long, n long, width int, payload binary"
+FILES = {
+    "store": STAGED,
+    "recipes": "part int, doc_id long, start long, n_tokens long, digests binary, recipe binary",
+    "manifest": "part int, n_docs long, n_tokens long, root binary",
+}
 _loaded: dict = {}
 _gear = np.random.default_rng(20).integers(0, 1 << 63, 1 << 16, dtype=np.uint64)
 
@@ -214,7 +219,7 @@ class TokenStore:
         self.spark, self.space = spark, space
 
     def _read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.space.path(name))
+        return self.spark.read.schema(FILES[name]).parquet(self.space.path(name))
 
     @property
     def chunks(self) -> DataFrame:
@@ -230,6 +235,7 @@ class TokenStore:
 
     def write(self, docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> TokenStore:
         """Encode every text of docs and write store, recipes and manifest."""
+        small_batches(self.spark)
         staged = _staged(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col), tokenizer or default_tokenizer(), end_id)
         self.space.few(staged.dropDuplicates(["kind", "key"])).write.partitionBy("kind").option("compression", "none").parquet(self.space.path("store"))
         found = self._read("store").where("kind = 'recipe'").select("doc_id", F.col("n").alias("n_tokens"), F.col("payload").alias("digests"))
