@@ -27,7 +27,7 @@ LONGEST_GRAM = 4
 FIT_ROWS, FIT_CHARS = 3_000, 3_000
 FIT_SEQUENCES, FIT_STEPS, RATE, DECAY = 1_200, 60, 0.08, 1e-6
 #: Cells (words times documents, with padding) that forward-backward holds at once.
-CELLS = 300_000
+CELLS = 100_000
 #: Words that a worker remembers the emissions of.
 REMEMBERED = 200_000
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")

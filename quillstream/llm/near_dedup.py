@@ -230,7 +230,7 @@ def _likely(rows: DataFrame, classes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = set()
-            for members in batch.column(0).to_pylist():
+            for members in map(pa.Scalar.as_py, batch.column(0)):
                 edges = [(-alike[j], i, int(j)) for i, found, alike in _passing(members, False) for j in found]
                 labels = np.unique([x["label"] for x in members], return_inverse=True)[1]
                 _, join = _roots(len(members))
@@ -247,7 +247,7 @@ def _near(rows: DataFrame, classes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for node, block, members in zip(*(c.to_pylist() for c in batch.columns)):
+            for node, block, members in (tuple(x.as_py() for x in row) for row in zip(*batch.columns)):
                 some = set()
                 for i, found, _ in _passing(members, True):
                     if len(found):
@@ -287,7 +287,7 @@ def _linked(rows: DataFrame, prints: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = set()
-            for members in batch.column(0).to_pylist():
+            for members in map(pa.Scalar.as_py, batch.column(0)):
                 sets = [np.frombuffer(x["prints"], np.uint32) for x in members]
                 both = shared(sets)
                 n = np.array(list(map(len, sets)))
@@ -385,7 +385,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     an id are told apart by their sets. An empty table gives an empty result; other columns are not read.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, 200)  # a batch's row may be a block of LEAF classes with their sets
     space = Workspace(spark, "near-dedup")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = space.hold(sketches(docs), "sketches", None)
