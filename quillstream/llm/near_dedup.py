@@ -230,7 +230,7 @@ def _likely(rows: DataFrame, classes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = set()
-            for members in map(pa.Scalar.as_py, batch.column(0)):
+            for members in (x.as_py() for x in batch.column(0)):
                 edges = [(-alike[j], i, int(j)) for i, found, alike in _passing(members, False) for j in found]
                 labels = np.unique([x["label"] for x in members], return_inverse=True)[1]
                 _, join = _roots(len(members))
@@ -287,7 +287,7 @@ def _linked(rows: DataFrame, prints: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = set()
-            for members in map(pa.Scalar.as_py, batch.column(0)):
+            for members in (x.as_py() for x in batch.column(0)):
                 sets = [np.frombuffer(x["prints"], np.uint32) for x in members]
                 both = shared(sets)
                 n = np.array(list(map(len, sets)))
