@@ -670,6 +670,84 @@ def d11_targets(spark, sf_dir):
     return vocabulary.build(_entries(spark, sf_dir)).select("exam_id", "ord", "canonical", "is_target")
 
 
+# ---- more of the way to the gate -------------------------------------------------------------
+
+
+@query(f"WITH RECURSIVE {SCORES} SELECT raw, edge, question, rank::INT AS rank FROM ranked")
+def a05_ranking(spark, sf_dir):
+    from pyspark.sql import Window
+
+    parsed = _parsed(spark, sf_dir).where("kind = 'MARKER'").withColumn("exam_id", F.lit("EXAM")).withColumn("reading", F.struct("raw", "edge"))
+    s = resolve.scores(parsed, adapters.identifiers(spark), _SETTINGS)
+    order = Window.partitionBy("reading").orderBy(F.desc("score"), F.desc("exact"), "ord")
+    return s.select("reading.raw", "reading.edge", "question", F.row_number().over(order).alias("rank"))
+
+
+@query(f"WITH RECURSIVE {SCORES} SELECT raw, edge, concat_ws(',', CASE WHEN ns > 0 THEN 'NOISE_STRIPPED' END, CASE WHEN tr > 0 THEN 'LINE_TRIMMED' END) AS flags FROM resolved")
+def a09_variant_flags(spark, sf_dir):
+    return _resolved(spark, sf_dir).where("kind = 'MARKER'").select("raw", "edge", F.array_join("resolution_flags", ",").alias("flags"))
+
+
+@query(f"WITH {PARSED}, {VOCABULARY} SELECT raw, edge, canonical FROM parsed p JOIN words w ON array_to_string(p.segments, '|') = w.key WHERE kind = 'MARKER'".replace("SELECT raw, edge, canonical", "SELECT p.raw AS raw, edge, canonical"))
+def j02_exact_key_match(spark, sf_dir):
+    words = adapters.identifiers(spark).select("key", "canonical")
+    return _parsed(spark, sf_dir).where("kind = 'MARKER'").withColumn("key", text.key(F.col("segments"))).join(F.broadcast(words), "key").select("raw", "edge", "canonical")
+
+
+@query(f"WITH RECURSIVE {GATED} SELECT script_id, page_index, candidate_pos, coalesce(discard_reason = 'HEADER_TOKEN', false) AS is_header FROM headed WHERE kind = 'PREFIX_ONLY'")
+def j05_header_lookahead(spark, sf_dir):
+    return _classified(spark, sf_dir).where("kind = 'PREFIX_ONLY'").select("script_id", "page_index", "candidate_pos", "is_header")
+
+
+@query(f"WITH RECURSIVE {START} SELECT script_id, page_index, candidate_pos, greatest(0.8, CASE WHEN list_contains(parse_flags, 'LINE_TRIMMED') OR ns > 0 OR tr > 0 THEN 0.92 ELSE 0 END, CASE WHEN page_index % 5 = 0 THEN 0.9 ELSE 0 END)::DOUBLE AS threshold FROM done WHERE kind = 'MARKER'")
+def d02_threshold(spark, sf_dir):
+    rows = _classified(spark, sf_dir).where("kind = 'MARKER'")
+    return rows.select("script_id", "page_index", "candidate_pos", gate.threshold(F.col("flags"), F.col("is_colour"), Gate()).alias("threshold"))
+
+
+@query(f"WITH RECURSIVE {START} SELECT script_id, count(*) FILTER (status = 'DISCARDED') AS n_discarded FROM done GROUP BY ALL")
+def a15_discarded(spark, sf_dir):
+    return report.discarded(_classified(spark, sf_dir))
+
+
+@query(f"WITH RECURSIVE {START} SELECT script_id, page_index, candidate_pos, CASE WHEN question IS NOT NULL THEN question WHEN status <> 'DISCARDED' AND candidates IS NOT NULL THEN '?' || string_split(candidates, ',')[1] ELSE '-' END AS shown FROM (SELECT d.*, r.candidates FROM done d LEFT JOIN resolved r ON r.raw = d.raw AND r.edge = (d.x <= 4))")
+def p23_shown_question(spark, sf_dir):
+    best = F.get("candidates", F.lit(0))["question_id"]
+    return _classified(spark, sf_dir).select("script_id", "page_index", "candidate_pos", report.shown_question(F.col("question"), best, F.col("status")).alias("shown"))
+
+
+@query("SELECT exam, q, n::BIGINT AS n FROM (SELECT 'E' || (s_suppkey % 3) AS exam, (s_suppkey % 40)::VARCHAR AS q, count(*) AS n FROM supplier GROUP BY ALL) WHERE n > 1")
+def o08_repeated_keys(spark, sf_dir):
+    k = F.col("s_suppkey")
+    rows = table(spark, sf_dir, "supplier").select(F.concat(F.lit("E"), (k % 3).cast("string")).alias("exam"), (k % 40).cast("string").alias("q"))
+    return rows.groupBy("exam", "q").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+@query(f"WITH {BOXES} SELECT candidate_pos, round(x * 72 / 200.0::DOUBLE, 6) AS px, round(800 - y * 72 / 200.0::DOUBLE, 6) AS py FROM boxes")
+def x09_pdf_points(spark, sf_dir):
+    b = F.col("box")
+    p = geometry.pdf_points(b["x"], b["y"], F.lit(DPI), F.lit(800.0))
+    return adapters.boxes(spark, sf_dir).select("candidate_pos", F.round(p["x"], 6).alias("px"), F.round(p["y"], 6).alias("py"))
+
+
+@query(f"""WITH {BOXES} SELECT script_id, page_index, count(*) AS n, least(min(x), 1000) AS x, max(x + width) - min(x) AS width, min(y) AS y, max(y + height) - min(y) AS height FROM boxes GROUP BY ALL""")
+def p11_union_of_a_page(spark, sf_dir):
+    b = F.col("box")
+    rows = adapters.boxes(spark, sf_dir).groupBy("script_id", "page_index")
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.min(b["x"]).alias("x"), (F.max(geometry.x2(b)) - F.min(b["x"])).alias("width"), F.min(b["y"]).alias("y"), (F.max(geometry.y2(b)) - F.min(b["y"])).alias("height"))
+
+
+@query("""SELECT count(*) AS n, count(predicted) / count(*)::DOUBLE AS recall, avg((predicted = truth)::INT) AS resolved_right,
+count(*) FILTER (accepted AND predicted <> truth) / count(*) FILTER (accepted)::DOUBLE AS wrong_auto_accept, count(*) FILTER (NOT accepted) / count(*)::DOUBLE AS review_rate
+FROM (SELECT quality::VARCHAR AS truth, (CASE WHEN doc_id % 7 = 0 THEN toxic ELSE quality END)::VARCHAR AS predicted, doc_id % 3 > 0 AS accepted FROM labels)""")
+def x04_acceptance(spark, sf_dir):
+    df = table(spark, sf_dir, "labels")
+    key = F.col("doc_id").cast("string").alias("marker_result_id")
+    guess = F.when(F.col("doc_id") % 7 == 0, F.col("toxic")).otherwise(F.col("quality")).cast("string")
+    rows = df.select(key, guess.alias("question"), F.when(F.col("doc_id") % 3 > 0, "ACCEPTED").otherwise("REVIEW_REQUIRED").alias("status"))
+    return report.acceptance(rows, df.select(key, F.col("quality").cast("string").alias("true_question")))
+
+
 @query("""SELECT CASE WHEN d <> '1' THEN d END AS question, CASE WHEN d = '1' THEN 'UNRESOLVED' WHEN c < 0.92 THEN 'REVIEW_REQUIRED' ELSE 'ACCEPTED' END AS status, count(*) AS n
 FROM (SELECT o_orderpriority[1] AS d, (70 + o_orderkey % 31) / 100.0 AS c FROM orders) GROUP BY ALL""")
 def flagship(spark, sf_dir):

@@ -236,3 +236,16 @@ def test_completed_scripts(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("done_scripts").option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert [tuple(r) for r in spark.table("done_scripts").collect()] == [("a", 2, 1, True)]
+
+
+def test_grid_expression_equals_the_walk(spark):
+    from quillstream.operators import layout
+
+    rng = random.Random(5)
+    rows = []
+    for i in range(60):
+        seen = sorted({200 + 74 * k + rng.randint(-6, 6) for k in range(rng.randint(1, 25)) if rng.random() < 0.7} | {200})
+        rows.append((i, seen))
+    df = spark.createDataFrame(rows, "id int, seen array<int>")
+    got = df.select("id", layout.completed_grid(F.col("seen"), F.lit(74.0), Settings().layout).alias("lines")).orderBy("id").collect()
+    assert [r["lines"] for r in got] == [kernel.grid(seen, 74.0, 0.25) for _, seen in rows]
