@@ -1,27 +1,29 @@
 """The corpus pipeline: rules, language, near-duplicates, benchmark passages, then ids.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. What a
-stage decides takes effect on the next one's rows. A stage's result is written as Parquet and read again.
+stage decides takes effect on the next one's rows. A decision holds for rows equal in id and text: an id may be null, or
+stand for several texts. A stage's result is written as Parquet and read again.
 
 * quality rules: rows that the base limits or the learned list reject go;
 * language ID: texts without letters, and texts of no clear language, go;
-* near-duplicates: the row with the smallest id of each group stays, and one of rows that are equal in id and text;
+* near-duplicates: the row with the smallest id of each group stays, and one of rows that are equal in id and text; rows
+  without an id come last in their group;
 * decontamination: rows with a window of a benchmark item go;
 * SentencePiece: the rest is encoded.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstream.llm import decontaminate, language_crf, near_dedup, quality_rules, sentencepiece_fst
-from quillstream.llm.common import Workspace, table
+from quillstream.llm.common import Workspace, row_key, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A text whose likeliest language has a smaller mean probability over its words is of no clear language.
 LEAST_LANGUAGE = 0.4
-#: Ids of rows that go, broadcast at most (64 MB).
+#: Keys of rows that go, broadcast at most (64 MB).
 BROADCAST_IDS = 8_000_000
 #: No SQL expresses a learned list, the random field or the encoding.
 ORACLE_SQL = None
@@ -31,11 +33,20 @@ def _columns(docs: DataFrame) -> list[str]:
     return [c for c in COLUMNS if c in docs.columns]
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id is not among ids. Up to BROADCAST_IDS ids are broadcast, so that no text is moved."""
-    ids = ids.select("doc_id").distinct()
-    small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_anti").select(*_columns(docs))
+def _row() -> Column:
+    return row_key(F.col("doc_id"), F.col("text")).alias("_row")
+
+
+def _chosen(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """docs with _row, joined on it (left_anti or left_semi). Up to BROADCAST_IDS keys are broadcast, so that no text is moved."""
+    rows = rows.distinct()
+    small = rows.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.select(*_columns(docs), _row()).join(F.broadcast(rows) if small else rows, "_row", how)
+
+
+def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows of docs whose key is not among rows (_row)."""
+    return _chosen(docs, rows, "left_anti").select(*_columns(docs))
 
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,24 +64,26 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the first row of each group of near-duplicates; of rows that share an id, one."""
+    """Keeps the first row of each group of near-duplicates; of rows equal in id and text, one."""
     space = Workspace(spark, "dedup-stage")
-    found = space.hold(near_dedup.near_duplicates(docs), "found")
-    out = _without(docs, found.where("not kept"))
-    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    # ids that stand for several rows are rare: only these are ranked, by text
-    one = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.md5("text")))
+    found = near_dedup.groups(docs).select(F.col("row").alias("_row"), (F.col("row") == F.col("first_row")).alias("_first"))
+    found = space.hold(found, "found")
+    gone = found.where("not _first").select("_row")
+    repeated = space.hold(found.where("_first").groupBy("_row").count().where("count > 1").select("_row"), "repeated", 1)
     if repeated.isEmpty():
-        return out
-    several = out.join(repeated, "doc_id", "left_semi").withColumn("_one", one).where("_one = 1").drop("_one")
-    return _without(out, repeated).unionByName(several)
+        return _without(docs, gone)
+    # rows that are equal in id and text are rare: only these are grouped, by the smallest of their other columns
+    columns = _columns(docs)
+    several = _chosen(docs, repeated, "left_semi").groupBy("_row").agg(F.min(F.struct(*columns)).alias("_one"))
+    return _without(docs, gone.unionAll(repeated)).unionByName(several.select("_one.*"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps rows without any window of a benchmark item."""
     space = Workspace(spark, "decontamination-stage")
-    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated")
-    return _without(docs, space.hold(found.select("doc_id"), "hit", 1))
+    keyed = docs.select("doc_id", "text", _row())
+    found = decontaminate.decontaminate(keyed, table(spark, sf_dir, "benchmark"), keep=("_row",)).where("contaminated")
+    return _without(docs, space.hold(found.select("_row"), "hit", 1))
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -66,6 +66,11 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == HELD_OUT, F.lit(False))
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """64 bits of a row's id and of its text's hash and length: the same for rows equal in both. A null id is an id."""
+    return F.xxhash64(doc_id.cast("long"), F.xxhash64(text), F.octet_length(text))
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z to a-z and nothing else. ``lower`` does just that where every character has one byte, and is faster."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(

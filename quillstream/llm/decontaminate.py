@@ -101,9 +101,9 @@ def matches(docs: DataFrame, windows: DataFrame, broadcast_rows: int = BROADCAST
 
 def decontaminate(
     docs: DataFrame, items: DataFrame, window: int = 10, broadcast_rows: int = BROADCAST_ROWS, id_col: str = "doc_id",
-    text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
+    text_col: str = "text", item_id: str = "item_id", item_text: str = "text", keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) for each row of docs.
+    """(doc_id, keep, n_words, n_hit, n_items, items_sha256, contaminated) for each row of docs.
 
     Words are runs of ASCII digits, letters (A-Z lowered) and characters beyond ASCII. n_hit counts a document's words
     inside any occurrence of a window, n_items the items with such windows. Null or wordless texts: zeros, the digest of
@@ -111,15 +111,15 @@ def decontaminate(
     rows get equal results, one each; a null id is an id. An empty table of items leaves every document clean. Other
     columns are not read.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), *keep)
     key = F.struct("doc_id", F.xxhash64("_text"), F.octet_length("_text"))
     keyed = rows.select(F.xxhash64(key).alias("_key"), split_text(F.col("_text")).alias("_words"))
-    base = rows.select(F.xxhash64(key).alias("_key"), "doc_id", split_text(F.col("_text")).alias("_parts"))
-    base = base.select("_key", "doc_id", n_words(F.col("_parts")).alias("n_words"))
+    base = rows.select(F.xxhash64(key).alias("_key"), "doc_id", *keep, split_text(F.col("_text")).alias("_parts"))
+    base = base.select("_key", "doc_id", *keep, n_words(F.col("_parts")).alias("n_words"))
     hits = matches(keyed, item_windows(items, window, item_id, item_text), broadcast_rows)
     none = F.sha2(F.lit(""), 256)
     if hits is None:
-        return base.select("doc_id", "n_words", *(F.lit(0).cast("long").alias(c) for c in ("n_hit", "n_items")), none.alias("items_sha256"), F.lit(False).alias("contaminated"))
+        return base.select("doc_id", *keep, "n_words", *(F.lit(0).cast("long").alias(c) for c in ("n_hit", "n_items")), none.alias("items_sha256"), F.lit(False).alias("contaminated"))
     # words under the union of intervals: each adds what lies beyond the furthest end before it
     before = Window.partitionBy("_key").orderBy("first", "end").rowsBetween(Window.unboundedPreceding, -1)
     spans = hits.select("_key", "first", (F.col("first") + F.col("n")).alias("end")).distinct()
@@ -128,6 +128,7 @@ def decontaminate(
     named = hits.groupBy("_key").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("_items"))
     return base.join(hit, "_key", "left").join(named, "_key", "left").select(
         "doc_id",
+        *keep,
         "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce(F.size("_items"), F.lit(0)).cast("long").alias("n_items"),

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import Workspace, small_batches
+from quillstream.llm.common import Workspace, row_key, small_batches
 
 SHINGLE = 5
 #: Links have 100 * intersection >= PERCENT * union.
@@ -137,23 +137,23 @@ def _texts(column: pa.Array) -> list[bytes]:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, name, tokens) for each row of docs (doc_id, text); name is null for an empty set."""
+    """(doc_id, row, n_shingles, name, tokens) for each row of docs (doc_id, row, text); name is null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first in range(0, batch.num_rows, 500):
                 part = batch.slice(first, 500)
                 names, sizes, tokens = [], [], []
-                for found in shingle_sets(_texts(part.column(1))):
+                for found in shingle_sets(_texts(part.column(2))):
                     sizes.append(len(found))
                     names.append(set_name(found) if len(found) else None)
                     tokens.append(minwise(found).tobytes() if len(found) else None)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(tokens, pa.binary())],
-                    ["doc_id", "n_shingles", "name", "tokens"],
+                    [*part.columns[:2], pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(tokens, pa.binary())],
+                    ["doc_id", "row", "n_shingles", "name", "tokens"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, name binary, tokens binary")
+    return docs.mapInArrow(run, "doc_id long, row long, n_shingles long, name binary, tokens binary")
 
 
 def branch(space: Workspace, classes: DataFrame) -> DataFrame:
@@ -375,22 +375,21 @@ def components(space: Workspace, links: DataFrame, name: str) -> DataFrame:
     return roots.unionAll(roots.select(F.col("root").alias("node"), "root")).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of docs.
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, row, n_shingles, component_id, first_row) for each row of docs, as near_duplicates says.
 
-    Words are runs without ASCII white space, A-Z lowered; a set has the distinct runs of SHINGLE words, or the whole
-    sequence of a shorter text. component_id is the smallest doc_id reachable over links, kept whether it is the row's.
-    Null, empty and blank texts have the empty set, link with nothing and are kept. Rows without an id are linked like
-    others but name no component: theirs is null where no other row names it, and they are kept then. Rows that repeat
-    an id are told apart by their sets. An empty table gives an empty result; other columns are not read.
+    row is the row_key of id and text, first_row that of the first row of its group, by id (null last) and key. Rows of
+    the empty set are each the first.
     """
     spark = docs.sparkSession
     small_batches(spark, 200)  # a batch's row may be a block of LEAF classes with their sets
     space = Workspace(spark, "near-dedup")
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    doc_id, text = F.col(id_col).cast("long"), F.col(text_col)
+    docs = docs.select(doc_id.alias("doc_id"), row_key(doc_id, text).alias("row"), text.alias("text"))
     rows = space.hold(sketches(docs), "sketches", None)
     full = rows.where("name is not null and doc_id is not null")
-    classes = space.hold(full.groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("tokens").alias("tokens")), "classes")
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    classes = space.hold(full.groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.min(first).alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("tokens").alias("tokens")), "classes")
     nodes = branch(space, classes)
     labels: DataFrame | None = None
     links: DataFrame | None = None
@@ -423,12 +422,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             confirmed = space.hold(confirm(docs, pairs, classes), f"links{turn}", 1)
             links = confirmed if links is None else links.unionAll(confirmed)
             labels = space.hold(components(space, links, f"stars{turn}"), f"labels{turn}", 1)
-    of_class = classes.select("name", F.col("doc_id").alias("least"))
+    of_class = classes.select("name", "first")
     if labels is not None:
         of_class = of_class.join(labels.select(F.col("node").alias("name"), "root"), "name", "left").withColumn("root", F.coalesce("root", "name"))
-        least = of_class.groupBy("root").agg(F.min("least").alias("component_id"))
-        of_class = of_class.join(least, "root").select("name", "component_id")
-    else:
-        of_class = of_class.select("name", F.col("least").alias("component_id"))
-    out = rows.join(of_class, "name", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+        least = of_class.groupBy("root").agg(F.min("first").alias("first"))
+        of_class = of_class.select("name", "root").join(least, "root").select("name", "first")
+    out = rows.join(of_class, "name", "left")
+    return out.select("doc_id", "row", "n_shingles", F.coalesce("first.doc_id", "doc_id").alias("component_id"), F.coalesce("first.row", "row").alias("first_row"))
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row of docs.
+
+    Words are runs without ASCII white space, A-Z lowered; a set has the distinct runs of SHINGLE words, or the whole
+    sequence of a shorter text. component_id is the smallest doc_id reachable over links, kept whether it is the row's.
+    Null, empty and blank texts have the empty set, link with nothing and are kept. Rows without an id are linked like
+    others but name no component: theirs is null where no other row names it, and they are kept then. Rows that repeat
+    an id are told apart by their sets. An empty table gives an empty result; other columns are not read.
+    """
+    out = groups(docs, id_col, text_col).select("doc_id", "n_shingles", "component_id")
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
