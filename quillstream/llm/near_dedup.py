@@ -40,7 +40,7 @@ ESTIMATE = 0.5
 SLACK = 2
 #: Trees of the first round, whose links contract most copies before all trees are compared.
 FIRST_TREES = 3
-#: Ids of documents to be confirmed that are broadcast at most (64 MB); beyond that, texts are joined by a shuffle.
+#: Keys of documents to be confirmed that are broadcast at most (64 MB); beyond that, texts are joined by a shuffle.
 BROADCAST_IDS = 8_000_000
 BLOCK_BYTES = 1 << 20
 
@@ -310,24 +310,27 @@ def _linked(rows: DataFrame, prints: DataFrame) -> DataFrame:
 
 def full_sets(docs: DataFrame, names: DataFrame, classes: DataFrame, prints: bool = False) -> DataFrame:
     """(name, members), or (name, prints), of the classes in names, made anew from one of each class's texts."""
-    ids = names.join(classes.select("name", "doc_id"), "name").select("doc_id").distinct()
-    small = ids.count() <= BROADCAST_IDS
-    texts = docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
+    keys = names.join(classes.select("name", "first.row"), "name").select("row").distinct()
+    small = keys.count() <= BROADCAST_IDS
+    texts = docs.join(F.broadcast(keys) if small else keys, "row", "left_semi")
     column = "prints" if prints else "members"
     as_bytes = (lambda x: np.unique((x >> np.uint64(32)).astype(np.uint32)).tobytes()) if prints else np.ndarray.tobytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[bytes] = set()  # equal rows have one key: a task sends the set of many copies once
         for batch in batches:
             for first in range(0, batch.num_rows, 500):
-                found = list(shingle_sets(_texts(batch.slice(first, 500).column(0))))
-                yield pa.RecordBatch.from_arrays([pa.array(list(map(f, found)), pa.binary()) for f in (set_name, as_bytes)], ["name", column])
+                found = {set_name(x): x for x in shingle_sets(_texts(batch.slice(first, 500).column(0)))}
+                new = [x for x in found if x not in sent]
+                sent.update(new)
+                yield pa.RecordBatch.from_arrays([pa.array(new, pa.binary()), pa.array([as_bytes(found[x]) for x in new], pa.binary())], ["name", column])
 
     found = texts.select("text").mapInArrow(run, f"name binary, {column} binary")
     return found.join(names, "name", "left_semi").dropDuplicates(["name"])
 
 
 def confirm(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough. docs has doc_id and text."""
+    """The pairs (a, b) whose full sets are similar enough. docs has row and text."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -387,9 +390,9 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     doc_id, text = F.col(id_col).cast("long"), F.col(text_col)
     docs = docs.select(doc_id.alias("doc_id"), row_key(doc_id, text).alias("row"), text.alias("text"))
     rows = space.hold(sketches(docs), "sketches", None)
-    full = rows.where("name is not null and doc_id is not null")
+    full = rows.where("name is not null")
     first = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
-    classes = space.hold(full.groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.min(first).alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("tokens").alias("tokens")), "classes")
+    classes = space.hold(full.groupBy("name").agg(F.min(first).alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("tokens").alias("tokens")), "classes")
     nodes = branch(space, classes)
     labels: DataFrame | None = None
     links: DataFrame | None = None

@@ -55,6 +55,23 @@ def test_groups_by_brute_force(docs_of, monkeypatch):
     assert got == want
 
 
+def test_groups_of_rows_without_id(docs_of):
+    rng = random.Random(3)
+    word = lambda: rng.choice("abcdefghijk") + str(rng.randrange(60))
+    chain, rows = [word() for _ in range(60)], []
+    for i in range(12):  # each third text has an id; the others bridge
+        rows.append((i if i % 3 == 0 else None, " ".join(chain)))
+        chain = chain[:i * 4] + [word()] + chain[i * 4 + 1 :]
+    apart = [word() for _ in range(40)]
+    rows += [(None, " ".join(apart)), (None, " ".join(apart[:-1])), (None, " ".join(apart)), (None, ""), (50, "other")]
+    got = near_dedup.near_duplicates(docs_of(rows)).collect()
+    want = [(i, n, c if n else i, i == c if c is not None else True) for (i, _), (n, c) in zip(rows, plain_groups(rows))]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+    assert sum(not w[3] for w in want) >= 8  # rows without an id do go
+    first = [r for r in near_dedup.groups(docs_of(rows)).collect() if r["component_id"] is None and r["n_shingles"]]
+    assert len(first) == 3 and len({r["first_row"] for r in first}) == 1  # a group without any id has a first row too
+
+
 def test_groups_of_awkward_rows(awkward, nothing):
     rows = near_dedup.near_duplicates(awkward).collect()
     assert len(rows) == 11 and all(r["kept"] for r in rows if r["doc_id"] in (1, 2, 3, 4, 7))
