@@ -5,7 +5,7 @@ stage decides takes effect on the next one's rows. A decision holds for rows equ
 stand for several texts. A stage's result is written as Parquet and read again.
 
 * quality rules: rows that the base limits or the learned list reject go;
-* language ID: texts without letters, and texts of no clear language, go;
+* language ID: texts without letters, and texts of no clear language, go; where no row says its language, none is unclear;
 * near-duplicates: the row with the smallest id of each group stays, and one of rows that are equal in id and text; rows
   without an id come last in their group;
 * decontamination: rows with a window of a benchmark item go;
@@ -57,10 +57,12 @@ def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps texts of a clear language."""
+    """Keeps texts of a clear language. A model that knows no language tells nothing: all texts with letters stay then."""
     keep = tuple(c for c in _columns(docs) if c != "doc_id")
-    found = language_crf.identify(docs, language_crf.fit(docs), keep=keep, least=LEAST_LANGUAGE)
-    return found.select(*_columns(docs))
+    labelled = docs if "lang" in docs.columns else docs.withColumn("lang", F.lit(None).cast("string"))
+    model = language_crf.fit(labelled)
+    found = language_crf.identify(docs, model, keep=keep, least=LEAST_LANGUAGE if model.labels else None)
+    return (found if model.labels else found.where("n_words > 0")).select(*_columns(docs))
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,10 @@
 import random
 
 import pytest
+from test_decontaminate_and_rules import plain, plain_measures
+from test_dedup_store_pieces import plain_groups
+
+from quillstream.llm import sentencepiece_fst
 
 pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -34,3 +38,54 @@ def test_decontamination_decides_by_row(spark, docs_of, tmp_path):
     rows = [(1, a), (1, f"{a} {item}"), (None, b), (None, f"{b} {item}"), (2, item), (3, None)]
     got = stayed(pipeline.decontamination_stage(spark, docs_of(rows), str(tmp_path)))
     assert got == sorted([(1, a), (None, b), (3, None)], key=repr)
+
+
+def plain_run(rows, items):
+    """run() on rows (doc_id, text) without a label and without a language."""
+    out = []
+    for i, t in rows:
+        words, _, _, _, repeated = plain_measures(t)
+        if words >= 20 and 100 * repeated <= 30 * words and any(c.isalpha() for c in t):
+            out.append((i, t))
+    named = [(k, t) for k, (_, t) in enumerate(out)]  # each group by its first row: smallest id, null last
+    order = sorted(range(len(out)), key=lambda k: (out[k][0] is None, out[k][0] or 0))
+    groups = plain_groups([(order.index(k), t) for k, t in named])
+    out = [out[k] for k in range(len(out)) if groups[k][1] == order.index(k)]
+    bad = {i for i, *_, hit in plain([(k, t) for k, (_, t) in enumerate(out)], items) if hit}
+    return [x for k, x in enumerate(out) if k not in bad]
+
+
+def tables(spark, docs, items, folder):
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("lang", ["null", "one", "no column"])
+def test_run_by_brute_force(spark, docs_of, tmp_path, lang):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_fst.default_model())
+    item, t = prose(99, 12), [prose(k) for k in range(8)]
+    rows = [(1, t[0]), (1, t[1]), (None, t[1]), (2, t[1]), (3, f"{t[2]} {item}"), (3, t[3]), (None, f"{t[4]} {item}"), (None, t[5])]
+    rows += [(None, t[5]), (None, t[5] + " end"), (4, t[6]), (4, t[6]), (5, t[6] + " end"), (6, None), (7, ""), (8, "too short"), (9, "1 2 " * 30)]
+    rows += [(10, " ".join(map(str, range(100, 160)))), (None, None)]
+    docs = docs_of([(*r, "en" if lang == "one" else None) for r in rows])
+    folder = tables(spark, docs.drop("lang") if lang == "no column" else docs, [(1, item), (2, None)], tmp_path)
+    got = sorted(((r["doc_id"], r["ids"]) for r in pipeline.run(spark, folder).collect()), key=repr)
+    want = plain_run(rows, [(1, item), (2, None)])
+    assert len(want) == 5 and (None, t[5]) in {(i, x.removesuffix(" end")) for i, x in want}
+    near = {library.encode(t[5] + " end").__repr__(): t[5]}  # which of two rows without an id is first, their keys say
+    plain_ids = lambda ids: library.encode(near[repr(ids)]) if repr(ids) in near else ids
+    assert sorted([(i, plain_ids(x)) for i, x in got], key=repr) == sorted([(i, library.encode(x.removesuffix(" end"))) for i, x in want], key=repr)
+
+
+def test_run_on_empty_tables(spark, nothing, tmp_path):
+    assert pipeline.run(spark, tables(spark, nothing, [], tmp_path)).count() == 0
+
+
+def test_stages_return_their_columns(spark, docs_of, awkward, tmp_path):
+    folder = tables(spark, awkward, [], tmp_path)
+    for _, stage in pipeline.STAGES[:-1]:
+        assert stage(spark, awkward, folder).columns == list(pipeline.COLUMNS)
