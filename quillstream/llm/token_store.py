@@ -7,10 +7,10 @@ chunks wherever they stand. A chunk's name is the digest of its ids; each is sto
   id needs them: ``width``);
 * ``recipes/``: documents in ascending doc_id order: part (the file's number), doc_id, start (ids of all documents
   before), n_tokens, the digests of its chunks in order, and the recipe's digest;
-* ``manifest/``: for each part its documents, ids and the root of the Merkle tree over its recipe digests.
+* ``manifest/``: for each part its documents, ids and the root of the Merkle tree over its recipes.
 
 Bytes cross the network once, to drop equal chunks. What is read back is checked by name: each chunk against its digest,
-each part against its root.
+each part against its root (of doc_id, start, n_tokens and the digests themselves), a document's chunks against n_tokens.
 """
 
 from __future__ import annotations
@@ -256,11 +256,14 @@ class TokenStore:
     def _roots(self) -> DataFrame:
         def roots(rows: pa.Table) -> pa.Table:
             rows = rows.sort_by("start")
-            root = merkle_root([a.to_bytes(8, "little") + b for a, b in zip(rows["start"].to_pylist(), rows["recipe"].to_pylist())])
+            root = merkle_root(rows["leaf"].to_pylist())
             n = pa.array([rows.num_rows], pa.int64())
             return pa.table({"part": rows["part"][:1], "n_docs": n, "n_tokens": pa.array([sum(rows["n_tokens"].to_pylist())], pa.int64()), "root": [root]})
 
-        rows = self.recipes.select("part", "start", "n_tokens", "recipe")
+        # the digests are hashed as read; the recipe's own digest stands beside, so that a change of either shows
+        named = F.sha2("digests", 256)
+        line = F.concat_ws(",", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "start", "n_tokens", named, F.coalesce(F.hex("recipe"), F.lit("null")))
+        rows = self.recipes.select("part", "start", "n_tokens", F.encode(line, "utf-8").alias("leaf"))
         return rows.groupBy("part").applyInArrow(roots, "part int, n_docs long, n_tokens long, root binary")
 
     def verify(self) -> None:
@@ -300,6 +303,9 @@ class TokenStore:
                 flat = parts.flatten()
                 sizes = 4 * flat.field(2).to_numpy()
                 counts = np.diff(parts.offsets.to_numpy())
+                ends = np.concatenate(([0], sizes.cumsum()))[counts.cumsum()]
+                if (np.diff(ends, prepend=0) != 4 * batch.column(2).to_numpy()).any():
+                    raise ValueError("a document's chunks do not have its number of ids")
                 crcs = joined_crcs(flat.field(1).to_numpy(), sizes, counts)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 

@@ -116,6 +116,27 @@ def test_store_notices_changes(docs_of):
         store.verify()
 
 
+def test_store_notices_changed_recipes(docs_of):
+    words = " ".join(f"w{i * i % 9973}" for i in range(3000))
+    store = token_store.store(docs_of([(1, words), (2, "more text"), (3, "less text")]))
+    good, schema = store.recipes.collect(), store.recipes.schema
+    assert len(good[0]["digests"]) > 16
+    swap = {2: 3, 3: 2}
+    turned = lambda b: b"".join(bytes(b[i : i + 16]) for i in range(0, len(b), 16)[::-1])
+    changes = {
+        "digests": lambda r: turned(r["digests"]), "doc_id": lambda r: swap.get(r["doc_id"], r["doc_id"]), "recipe": lambda r: bytes(32),
+    }
+    for column, change in changes.items():
+        rows = [tuple(change(r) if c == column else r[c] for c in schema.names) for r in good]
+        store.space.hold(store.spark.createDataFrame(rows, schema), "recipes")
+        with pytest.raises(ValueError):
+            store.verify()
+    rows = [tuple(r[c] + 1 if c == "n_tokens" else r[c] for c in schema.names) for r in good]
+    store.space.hold(store.spark.createDataFrame(rows, schema), "recipes")
+    with pytest.raises(Exception, match="number of ids"):
+        store.digests().collect()
+
+
 def test_crc_of_parts():
     rng = np.random.default_rng(3)
     parts = [[rng.bytes(rng.integers(0, 70_000)) for _ in range(n)] for n in (0, 1, 3, 7)]
