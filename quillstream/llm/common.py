@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_CLASS = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Rows of this remainder are held out from every fit.
 HELD_OUT = 2
 
@@ -29,9 +30,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Rows go to Python a thousand at a time: batches are held several times over, off the heap and in the worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+def small_batches(spark: SparkSession, rows: int = 1000) -> str:
+    """Rows go to Python a thousand at a time: batches are held several times over, off the heap and in the worker.
+
+    Returns what was set before, for those that need fewer and have their result written when they return.
+    """
+    before = spark.conf.get(BATCH_ROWS)
+    spark.conf.set(BATCH_ROWS, rows)
+    return before
 
 
 class Workspace:
@@ -45,8 +51,12 @@ class Workspace:
         return f"{self.root}/{name}"
 
     def few(self, df: DataFrame, each: int = 2) -> DataFrame:
-        """df in ``each`` files for each core at most: a shuffle may leave many small partitions, and a file is dear."""
-        return df.coalesce(each * self.spark.sparkContext.defaultParallelism)
+        """df in ``each`` files for each core at most: a shuffle may leave many small partitions, and a file is dear.
+
+        Executors may come later than this is asked, so a share of the shuffle partitions counts as cores too.
+        """
+        cores = max(self.spark.sparkContext.defaultParallelism, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 16)
+        return df.coalesce(each * cores)
 
     def hold(self, df: DataFrame, name: str, each: int | None = 2) -> DataFrame:
         """Write df and return what was written; each: files for each core at most, None for one of each partition."""
@@ -55,10 +65,20 @@ class Workspace:
         df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def _files(self, path: str):
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), where
+
     def drop(self, name: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(self.path(name))
-        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        files, where = self._files(self.path(name))
+        files.delete(where, True)
+
+    def keep(self, *names: str) -> None:
+        """Drops every table but these."""
+        files, root = self._files(self.root)
+        for found in files.listStatus(root):
+            if found.getPath().getName() not in names:
+                files.delete(found.getPath(), True)
 
 
 def held_out(doc_id: Column) -> Column:

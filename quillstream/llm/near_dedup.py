@@ -2,19 +2,24 @@
 
 Texts with equal shingle sets form a class. Classes are branched by TREES independent trees: a node's classes go to the
 child of the minwise token that each has under the hash function of the tree and level. A node of LEAF classes or fewer
-is compared exhaustively; a larger one branches again, LEVELS times at most. Two sets of similarity s stay together for
-d levels with probability s**d, so with 20 trees a pair at 0.75 is met with probability 0.996 even where every node goes
-down all five levels, and nearly always where one or two do.
-
-What is still large after the last level is a dense node, of near copies. Its pairs are many and its components few, so
-it is never expanded: it is dealt into blocks of LEAF classes, at random, and what these link is contracted first. Then
-only classes outside a node's largest component are compared with all of the node, block by block.
+is compared exhaustively; a larger one branches again. Two sets of similarity s stay together for d levels with
+probability s**d, so with 20 trees a pair at 0.75 is met with probability 0.996 where its nodes go down LEVELS levels,
+and nearly always where one or two do.
+
+What is still large after LEVELS levels holds near copies, or texts with much in common. Near copies have many pairs and
+few components, so such a node is dealt into blocks of LEAF classes at random, and what these link is contracted first.
+Then only the classes outside a node's largest component are still to be compared with it. Where they are more than
+PROBES the node branches on, by tokens that it picks itself, into 4/3 children a level on average: as many as keep the
+expected number of nodes that a pair at 0.75 shares at one, while texts below that thin out. So branching goes on until
+nodes are small. A node that is ready has its probes and its classes dealt in blocks of LEAF, and each block of probes
+meets each block of classes: no block grows with its node.
 
 Two rounds link by estimates from the minwise tokens of all trees, a spanning forest of each block at most. The last
 round goes over every node that still has several components: members whose estimate with another is ESTIMATE or more
 are compared by prints of their whole sets, block by block, and again only a spanning forest leaves the block. All links
 are confirmed on full sets, which are made anew for the classes in question only. Links, classes and components stay in
-tables in the shared folder; components are found by alternating star steps.
+tables in the shared folder; components are found by alternating star steps. What has one row for each node or root is
+written before rows are joined with it, so that adaptive execution can split the rows of a hot one.
 """
 
 from __future__ import annotations
@@ -28,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import Workspace, row_key, small_batches
+from quillstream.llm.common import BATCH_ROWS, Workspace, row_key, small_batches
 
 SHINGLE = 5
 #: Links have 100 * intersection >= PERCENT * union.
@@ -36,8 +41,11 @@ PERCENT = 75
 TREES, LEVELS, LEAF = 20, 5, 48
 #: Estimates have a standard error of 0.043 at 0.75, so that this is nearly six errors below.
 ESTIMATE = 0.5
-#: Shingles by which prints of 32 bits may be off before full sets must decide.
-SLACK = 2
+#: Classes outside a node's largest component that are compared with all of it; with more it branches on, at most
+#: DEEPEST levels. What is large even then is compared all the same.
+PROBES, DEEPEST = 4 * LEAF, 32
+#: Edges from which on what a star step joins is written first, so that a root with many can be split.
+STAR_EDGES = 1_000
 #: Trees of the first round, whose links contract most copies before all trees are compared.
 FIRST_TREES = 3
 #: Keys of documents to be confirmed that are broadcast at most (64 MB); beyond that, texts are joined by a shuffle.
@@ -157,15 +165,16 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def branch(space: Workspace, classes: DataFrame) -> DataFrame:
-    """(tree, node, name, size, dense): the nodes in which classes are compared, of two classes or more."""
+    """(tree, node, name, size, dense): nodes of two classes or more, after LEVELS levels at most; dense: still large."""
     token = lambda level: F.substring("tokens", (F.col("tree") * LEVELS + level) * 4 + 1, F.lit(4))
     rows = classes.select("name", "tokens", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
     path = F.xxhash64("tree", token(0))
     rows = rows.select("tree", "name", path.alias("node"), F.substring("tokens", F.col("tree") * LEVELS * 4 + 5, F.lit(4 * LEVELS - 4)).alias("rest"))
     done = []
     for level in range(LEVELS):
-        sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+        sizes = space.hold(rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), f"sizes{level}")
         rows = space.hold(rows.join(sizes, "node"), f"level{level}")
+        space.drop(f"sizes{level}")
         last = level == LEVELS - 1
         done.append(rows.where(F.col("size") <= LEAF).select("tree", "node", "name", "size", F.lit(False).alias("dense")))
         large = rows.where(F.col("size") > LEAF)
@@ -177,6 +186,50 @@ def branch(space: Workspace, classes: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionAll, done)
 
 
+def deepen(space: Workspace, dense: DataFrame, classes: DataFrame) -> DataFrame:
+    """(node, name, label, size, apart, most) of nodes ready to be compared, from dense (node, name, label).
+
+    apart counts the classes outside the node's largest component, most is that one's label. Nodes of one component are
+    done with and left out; a node with more than PROBES classes apart branches on.
+    """
+    rows, done = dense.select("node", "name", "label"), []
+    for level in range(DEEPEST + 1):
+        counts = rows.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n"))
+        facts = counts.groupBy("node").agg(F.sum("n").alias("size"), F.max(F.struct("n", "label")).alias("_top"), F.count(F.lit(1)).alias("_labels"))
+        facts = facts.where("_labels > 1").select("node", "size", (F.col("size") - F.col("_top.n")).alias("apart"), F.col("_top.label").alias("most"))
+        rows = space.hold(rows.join(space.hold(facts, f"facts{level}"), "node"), f"deep{level}")
+        ready = (F.col("size") <= LEAF) | (F.col("apart") <= PROBES) | F.lit(level == DEEPEST)
+        done.append(rows.where(ready).select("node", "name", "label", "size", "apart", "most"))
+        more = rows.where(~ready)
+        if more.isEmpty():
+            break
+        if not level:
+            more = more.join(classes.select("name", "tokens"), "name")
+        # one child, and in one node of three a second: 4/3 on average
+        children = F.when(F.pmod(F.xxhash64("node", F.lit(level)), F.lit(3)) == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+        more = more.select("node", "name", "label", "tokens", F.explode(children).alias("child"))
+        pick = F.pmod(F.xxhash64("node", "child"), F.lit(TREES * LEVELS)).cast("int")
+        rows = more.select(F.xxhash64("node", "child", F.substring("tokens", 4 * pick + 1, F.lit(4))).alias("node"), "name", "label", "tokens")
+    return reduce(DataFrame.unionAll, done)
+
+
+def probed(ready: DataFrame) -> DataFrame:
+    """(node, block, name, label, base, probe) from what deepen returns: each probe meets each class in one block.
+
+    A small node is one block. In a larger one classes are dealt in blocks of about LEAF, and probes likewise; every pair
+    of such blocks is a block here. So a row is repeated at most apart / LEAF times, and a probe size / LEAF times.
+    """
+    small = ready.where(F.col("size") <= LEAF).select("node", F.lit(0).cast("long").alias("block"), "name", "label", F.lit(True).alias("base"), F.lit(True).alias("probe"))
+    large = ready.where(F.col("size") > LEAF)
+    dealt = F.xxhash64("name", "node")
+    large = large.withColumn("_bases", F.ceil(F.col("size") / LEAF)).withColumn("_probes", F.ceil(F.col("apart") / LEAF))
+    base = large.withColumn("_p", F.explode(F.expr("sequence(0L, _probes - 1)")))
+    base = base.select("node", (F.pmod(dealt, F.col("_bases")) * F.col("_probes") + F.col("_p")).alias("block"), "name", "label", F.lit(True).alias("base"), F.lit(False).alias("probe"))
+    probe = large.where("label <> most").withColumn("_b", F.explode(F.expr("sequence(0L, _bases - 1)")))
+    block = F.col("_b") * F.col("_probes") + F.pmod(F.shiftrightunsigned(dealt, 7), F.col("_probes"))
+    return small.unionAll(base).unionAll(probe.select("node", block.alias("block"), "name", "label", F.lit(False).alias("base"), F.lit(True).alias("probe")))
+
+
 def _roots(n: int):
     """(find, join) of a union-find over n labels."""
     root = list(range(n))
@@ -253,11 +306,11 @@ def _near(rows: DataFrame, classes: DataFrame) -> DataFrame:
                     if len(found):
                         some |= {i, *found.tolist()}
                 out += [(node, block, name) for name in {members[i]["name"] for i in some}]
-            kinds = (pa.int64(), pa.int32(), pa.binary())
+            kinds = (pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], ["node", "block", "name"])
 
     blocks = _blocks(rows, classes, ("n_shingles", "tokens"))
-    return blocks.mapInArrow(run, "node long, block int, name binary")
+    return blocks.mapInArrow(run, "node long, block long, name binary")
 
 
 def shared(sets: list[np.ndarray]) -> np.ndarray:
@@ -277,11 +330,17 @@ def shared(sets: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def slack(union: np.ndarray) -> np.ndarray:
+    """Shingles by which 32-bit prints may misjudge a union: the pairs of shingles with one print, well above their mean."""
+    mean = union.astype(float) ** 2 / 2.0**33
+    return 2 + np.ceil(mean + 6 * np.sqrt(mean)).astype(np.int64)
+
+
 def _linked(rows: DataFrame, prints: DataFrame) -> DataFrame:
     """Distinct pairs (a, b) by the 32-bit prints of whole sets: a spanning forest of each block's links.
 
-    Two shingles with one print can move a count by one. Pairs so near the limit that SLACK of them would decide are
-    passed on as well and join nothing; the confirmation on full sets decides.
+    Two shingles with one print can move a count by one. Pairs so near the limit that their slack would decide are passed
+    on as well and join nothing; the confirmation on full sets decides.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,10 +355,11 @@ def _linked(rows: DataFrame, prints: DataFrame) -> DataFrame:
                 base, probe = (np.array([x[k] for x in members]) for k in ("base", "probe"))
                 asked = (probe[:, None] & base) & (labels[:, None] != labels)
                 # a probe may stand in a block twice, as probe and as base; its two rows have one label
-                near = asked & (100 * (both + SLACK) >= PERCENT * (union - SLACK))
+                off = slack(union)
+                near = asked & (100 * (both + off) >= PERCENT * (union - off))
                 _, join = _roots(len(members))
                 for i, j in sorted(np.argwhere(near).tolist(), key=lambda p: -both[p[0], p[1]] / union[p[0], p[1]]):
-                    sure = 100 * (both[i, j] - SLACK) >= PERCENT * (union[i, j] + SLACK)
+                    sure = 100 * (both[i, j] - off[i, j]) >= PERCENT * (union[i, j] + off[i, j])
                     if not sure or join(int(labels[i]), int(labels[j])):
                         out.add(tuple(sorted((members[i]["name"], members[j]["name"]))))
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.binary()) for k in (0, 1)], ["a", "b"])
@@ -355,9 +415,11 @@ def components(space: Workspace, links: DataFrame, name: str) -> DataFrame:
     root: a number of rounds of the order of the squared logarithm of the nodes.
     """
 
-    def star(edges: DataFrame, large: bool) -> DataFrame:
+    def star(edges: DataFrame, large: bool, many: bool) -> DataFrame:
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+        if many:
+            least = space.hold(least, f"{name}-least{int(large)}", 1)
         joined = both.join(least, "a")
         if large:
             return joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
@@ -365,10 +427,10 @@ def components(space: Workspace, links: DataFrame, name: str) -> DataFrame:
         return moved.unionAll(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
     edges = space.hold(links.where("a <> b").distinct(), f"{name}-0", 1)
-    before, turn = None, 0
+    many, before, turn = edges.limit(STAR_EDGES + 1).count() > STAR_EDGES, None, 0
     while True:
         turn += 1
-        edges = space.hold(star(star(edges, True), False), f"{name}-{turn}", 1)
+        edges = space.hold(star(star(edges, True, many), False, many), f"{name}-{turn}", 1)
         space.drop(f"{name}-{turn - 1}")
         state = edges.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(a, b))")).first()
         if state == before:
@@ -385,18 +447,18 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     the empty set are each the first.
     """
     spark = docs.sparkSession
-    small_batches(spark, 200)  # a batch's row may be a block of LEAF classes with their sets
+    usual = small_batches(spark, 200)  # a batch's row may be a block of LEAF classes with their sets
     space = Workspace(spark, "near-dedup")
     doc_id, text = F.col(id_col).cast("long"), F.col(text_col)
     docs = docs.select(doc_id.alias("doc_id"), row_key(doc_id, text).alias("row"), text.alias("text"))
     rows = space.hold(sketches(docs), "sketches", None)
-    full = rows.where("name is not null")
     first = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    full = rows.where("name is not null")
     classes = space.hold(full.groupBy("name").agg(F.min(first).alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("tokens").alias("tokens")), "classes")
     nodes = branch(space, classes)
     labels: DataFrame | None = None
     links: DataFrame | None = None
-    for turn, (trees, forest) in enumerate(((FIRST_TREES, True), (TREES, True), (TREES, False))):
+    for turn, (trees, last) in enumerate(((FIRST_TREES, False), (TREES, False), (TREES, True))):
         own = nodes.where(F.col("tree") < trees)
         if labels is None:
             own = own.withColumn("label", F.col("name"))
@@ -404,19 +466,14 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             own = own.join(labels.select(F.col("node").alias("name"), F.col("root").alias("label")), "name", "left").withColumn("label", F.coalesce("label", "name"))
         if turn:
             mixed = own.groupBy("node").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low <> _high").select("node")
-            own = space.hold(own.join(mixed, "node", "left_semi"), f"mixed{turn}")
-        blocks = F.when(F.col("dense"), F.ceil(F.col("size") / LEAF)).otherwise(1).cast("int")
-        own = own.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("name", "tree"), F.col("blocks")).cast("int"))
-        sides = own.select("node", "block", "name", "label", F.lit(True).alias("base"), (~F.col("dense")).alias("probe"))
-        if not forest:
-            counts = own.where("dense").groupBy("node", "label").agg(F.count(F.lit(1)).alias("n"))
-            most = counts.groupBy("node").agg(F.max(F.struct("n", "label"))["label"].alias("_most"))
-            apart = own.where("dense").join(most, "node").where("label <> _most")
-            probes = apart.select("node", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), "name", "label")
-            sides = sides.unionAll(probes.select("*", F.lit(False).alias("base"), F.lit(True).alias("probe")))
-        if forest:
+            own = space.hold(own.join(space.hold(mixed, f"several{turn}"), "node", "left_semi"), f"mixed{turn}")
+        if not last:
+            blocks = F.when(F.col("dense"), F.ceil(F.col("size") / LEAF)).otherwise(1)
+            sides = own.select("node", F.pmod(F.xxhash64("name", "tree"), blocks).alias("block"), "name", "label", F.lit(True).alias("base"), F.lit(True).alias("probe"))
             pairs = _likely(sides, classes)
         else:
+            leaves = own.where("not dense").select("node", "name", "label", "size", F.lit(0).cast("long").alias("apart"), F.lit(None).cast("binary").alias("most"))
+            sides = probed(leaves.unionAll(deepen(space, own.where("dense"), classes)))
             near = space.hold(_near(sides, classes), "near")
             prints = full_sets(docs, near.select("name").distinct(), classes, prints=True)
             pairs = _linked(sides.join(near, ["node", "block", "name"], "left_semi"), prints)
@@ -428,10 +485,17 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     of_class = classes.select("name", "first")
     if labels is not None:
         of_class = of_class.join(labels.select(F.col("node").alias("name"), "root"), "name", "left").withColumn("root", F.coalesce("root", "name"))
-        least = of_class.groupBy("root").agg(F.min("first").alias("first"))
-        of_class = of_class.select("name", "root").join(least, "root").select("name", "first")
-    out = rows.join(of_class, "name", "left")
-    return out.select("doc_id", "row", "n_shingles", F.coalesce("first.doc_id", "doc_id").alias("component_id"), F.coalesce("first.row", "row").alias("first_row"))
+        least = space.hold(of_class.groupBy("root").agg(F.min("first").alias("first")), "least")
+        of_class = space.hold(of_class.select("name", "root").join(least, "root").select("name", "first"), "firsts")
+    own, keep = first.alias("first"), ("doc_id", "row", "n_shingles", "first")
+    placed = full.select("doc_id", "row", "n_shingles", "name").join(of_class, "name").select(*keep)
+    out = placed.unionAll(rows.where("name is null").select("doc_id", "row", "n_shingles", own))
+    out = out.select("doc_id", "row", "n_shingles", F.col("first.doc_id").alias("component_id"), F.col("first.row").alias("first_row"))
+    out = space.hold(out, "groups")
+    space.keep("groups")
+    spark.conf.set(BATCH_ROWS, usual)
+    return out
+
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs.

@@ -55,6 +55,67 @@ def test_groups_by_brute_force(docs_of, monkeypatch):
     assert got == want
 
 
+def at_similarity(rng, shared, each):
+    """Two texts with shared + each shingles, each shingles of each its own: similarity shared / (shared + 2 * each)."""
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    common = [word() for _ in range(shared + 4)]
+    return [" ".join(common + [word() for _ in range(each)]) for _ in range(2)]
+
+
+def test_recall_near_the_limit(docs_of, monkeypatch):
+    monkeypatch.setattr(near_dedup, "LEAF", 6)  # nodes branch on all their levels
+    rng = random.Random(21)
+    rows = []
+    for k in range(400):  # similarity 0.75 to 0.80
+        rows += [(2 * k + i, t) for i, t in enumerate(at_similarity(rng, *((45, 7), (48, 8), (60, 10), (76, 10))[k % 4]))]
+    rows += [(2000 + 2 * k + i, t) for k in range(200) for i, t in enumerate(at_similarity(rng, 44, 8))]  # below: 0.73
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs_of(rows)).collect()}
+    met = sum(got[2 * k] == got[2 * k + 1] for k in range(400))
+    assert met >= 0.95 * 400, met
+    assert all(got[i] == i for i in got if i >= 2000)
+
+
+def test_shared_boilerplate_stays_in_small_blocks(docs_of, spark, monkeypatch):
+    """Texts with two thirds in common and no link: no block grows with them, nor do rows with their square."""
+    handed = []
+    real = near_dedup._blocks
+    monkeypatch.setattr(near_dedup, "_blocks", lambda rows, more, columns: handed.append(real(rows, more, columns)) or handed[-1])
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    common = [word() for _ in range(44)]
+    rows = {}
+    for n in (400, 800):
+        own = [(i, " ".join(common + [word() for _ in range(10)])) for i in range(n)]
+        own += [(n + i, own[i][1] + " more") for i in range(20)]  # links that hide among them
+        probes = []
+        sides = near_dedup.probed
+        monkeypatch.setattr(near_dedup, "probed", lambda ready: probes.append(sides(ready)) or probes[-1])
+        monkeypatch.setattr(near_dedup.Workspace, "keep", lambda self, *names: None)
+        got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs_of(own)).collect()}
+        monkeypatch.setattr(near_dedup, "probed", sides)
+        assert sum(got[n + i] == i for i in range(20)) >= 18 and all(got[i] == i for i in range(n))
+        sizes = probes[0].groupBy("node", "block").count()
+        rows[n] = probes[0].count()
+        assert sizes.agg(F.max("count")).first()[0] <= 4 * near_dedup.LEAF
+    assert rows[800] <= 3 * rows[400], rows
+
+
+def test_every_probe_meets_every_class(spark, monkeypatch):
+    ready = [(1, f"n{i}".encode(), f"l{max(i - 150, 0)}".encode(), 250, 99, b"l0") for i in range(250)]
+    ready += [(2, f"m{i}".encode(), f"l{i % 2}".encode(), 6, 3, b"l0") for i in range(6)]
+    df = spark.createDataFrame(ready, "node long, name binary, label binary, size long, apart long, most binary")
+    met = collections.defaultdict(set)
+    blocks = collections.defaultdict(list)
+    for r in near_dedup.probed(df).collect():
+        blocks[r["node"], r["block"]].append(r)
+    for own in blocks.values():
+        for p in own:
+            if p["probe"]:
+                met[bytes(p["name"])] |= {bytes(b["name"]) for b in own if b["base"]}
+    assert all(len(met[f"n{i}".encode()]) == 250 for i in range(151, 250)) and all(len(met[f"m{i}".encode()]) == 6 for i in range(6))
+    assert max(map(len, blocks.values())) <= 4 * near_dedup.LEAF
+
+
 def test_groups_of_rows_without_id(docs_of):
     rng = random.Random(3)
     word = lambda: rng.choice("abcdefghijk") + str(rng.randrange(60))
