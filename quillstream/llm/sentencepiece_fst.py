@@ -1,22 +1,31 @@
 """SentencePiece encoding and decoding as shortest paths in a weighted finite-state transducer.
 
-The model file is compiled into three machines, composed with each input:
+The model file is compiled into machines that are composed with each input:
 
-* the normaliser: white space becomes U+2581 and one is put before the text, as the file's normaliser says;
-* the lexicon: an arc for each piece, and for a character that no piece has, arcs for its UTF-8 bytes;
-* the adjacency machine: its state is the last piece, and an arc from piece p to piece q has weight 0 if the model's
-  merges, applied to p and q side by side, leave just these two, else infinity.
+* the normaliser rewrites characters: arcs for the entries of the file's character map, of which the longest that fits is
+  taken, a copy of every other character, and states that add or drop white space as the file says;
+* the lexicon reads characters and writes pieces: an arc for each piece, and for a character that is no piece, an arc that
+  writes its UTF-8 bytes (or the unknown piece, if the file has no bytes);
+* the adjacency machine, for models of merged pairs only: its state is the last piece, and the arc from piece p to piece q
+  has weight 0 if the model's merges, applied to p and q side by side, leave just these two, else infinity.
 
-Every piece weighs 1, and the shortest path in the tropical semiring is the encoding. Merges are local: whether the
-boundary between two pieces survives depends on these two alone, so exactly one path for each prefix has a finite
-weight. That keeps one state at each position, and the path costs the text's length times the longest piece.
+In a unigram model a piece weighs what its score takes away, in a model of merged pairs 1. The encoding is the path of the
+least weight: sums along a path, the minimum of paths, which is the tropical semiring. Its values for all prefixes of an
+input are found from left to right, each the minimum over the lexicon's arcs that end there.
+
+Merges are local: whether the boundary between two pieces survives depends on these two alone, so of the paths of a model
+of merged pairs exactly one for each prefix has a finite weight. So one state at each position is enough there as well,
+and an input costs its length times the longest piece. The adjacency machine is built as far as inputs need it, from the
+order in which merges change the tokens at the two ends of a piece.
 
 Characters outside the lexicon, and a U+2581 after another character, are never inside a piece. There the path passes a
-single state, so segments between such points are encoded on their own and remembered.
+single state, so segments between such points are encoded on their own and remembered. Unigram sums are rounded on the
+way as the library does, and models without bytes join unknown characters, so these are encoded text by text.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import struct
 import zlib
@@ -32,8 +41,12 @@ from quillstream.llm.segments import SegmentCache, blocks, encode_block, flat
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
+UNIGRAM, MERGED = 1, 2
+#: What an unknown character weighs beyond the heaviest piece, and what it decodes to: fixed values of the file format.
+UNKNOWN_WEIGHT, UNKNOWN_TEXT = 10.0, " \u2047 "
 #: Pairs of pieces whose adjacency a worker remembers.
 PAIRS = 1_500_000
+NEVER = -math.inf
 SCHEMA = "doc_id long, n_tokens long, ids array<int>, ids_crc32 long, round_trip boolean"
 _loaded: dict = {}
 
@@ -69,6 +82,62 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
             at += size
 
 
+class Normaliser:
+    """The transducer from characters to normalised characters that a model file describes."""
+
+    def __init__(self, spec: dict, symbols: list[str], suffix: bool) -> None:
+        self.prefix, self.squeeze, self.escape, self.suffix = bool(spec.get(3, 1)), bool(spec.get(4, 1)), bool(spec.get(5, 1)), suffix
+        self.symbols = [x.encode() for x in sorted(symbols, key=len, reverse=True)]
+        packed = spec.get(2) or b""
+        size = struct.unpack("<I", packed[:4])[0] if packed else 0
+        self.units = np.frombuffer(packed[4 : 4 + size], "<u4").tolist()
+        self.outputs = packed[4 + size :]
+        self.copies = not (self.units or self.symbols or self.squeeze)
+
+    def _longest(self, data: bytes, at: int) -> tuple[int, str]:
+        """(bytes read, characters written) of the arc taken at a place of an input."""
+        for symbol in self.symbols:
+            if data.startswith(symbol, at):
+                return len(symbol), symbol.decode()
+        found = None
+        if self.units:
+            # the map is a double array: a unit holds a child's label, an offset to its children and whether a value is there
+            offset = lambda unit: unit >> 10 << ((unit & 1 << 9) >> 6)
+            node = offset(self.units[0])
+            for i in range(at, len(data)):
+                node ^= data[i]
+                if node >= len(self.units) or self.units[node] & 0x800000FF != data[i]:
+                    break
+                unit = self.units[node]
+                node ^= offset(unit)
+                if unit >> 8 & 1:
+                    found = i + 1 - at, self.units[node] & 0x7FFFFFFF
+        if found:
+            return found[0], self.outputs[found[1] : self.outputs.index(b"\0", found[1])].decode()
+        size = 1 + (data[at] >= 0xC0) + (data[at] >= 0xE0) + (data[at] >= 0xF0)
+        return size, data[at : at + size].decode(errors="replace")
+
+    def rewrite(self, text: str) -> str:
+        if not text:
+            return ""
+        mark = SPACE if self.escape else " "
+        if not self.copies:
+            data, at, out, blank = text.encode(), 0, [], self.squeeze
+            while at < len(data):
+                size, piece = self._longest(data, at)
+                at += size
+                piece = piece.lstrip(" ") if blank else piece
+                if piece:
+                    out.append(piece)
+                    blank = self.squeeze and piece[-1] == " "
+            text = "".join(out)
+            if self.squeeze and not text:
+                return ""
+        text = (mark if self.prefix and not self.suffix else "") + text.replace(" ", mark)
+        text = text.rstrip(mark) if self.squeeze else text
+        return text + mark if self.prefix and self.suffix else text
+
+
 class Transducer:
     """The compiled machines of one model file."""
 
@@ -77,45 +146,74 @@ class Transducer:
             data = f.read()
         self.pieces: list[str] = []
         self.kinds: list[int] = []
-        self.scores: list[float] = []
+        scores: list[float] = []
+        trainer: dict = {}
         normaliser: dict = {}
         for field, value in _fields(data):
             if field == 1:
                 x = dict(_fields(value))
                 self.pieces.append(x[1].decode())
-                self.scores.append(struct.unpack("<f", x[2])[0] if 2 in x else 0.0)
+                scores.append(struct.unpack("<f", x[2])[0] if 2 in x else 0.0)
                 self.kinds.append(x.get(3, NORMAL))
-            elif field == 2 and dict(_fields(value)).get(3, 1) != 2:
-                raise ValueError("only models of merged pairs are compiled")
+            elif field == 2:
+                trainer = dict(_fields(value))
             elif field == 3:
                 normaliser = dict(_fields(value))
-        if normaliser.get(2) or normaliser.get(4, 1) or USER in self.kinds:
-            raise ValueError("only the identity normaliser that keeps white space, without user symbols, is compiled")
-        self.prefix = bool(normaliser.get(3, 1))
-        self.ids = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k == NORMAL}
-        self.rank = {p: self.scores[i] for p, i in self.ids.items()}
-        self.bytes = {int(p[3:-1], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k == BYTE}
+        kind = trainer.get(3, UNIGRAM)
+        self.merging = kind == MERGED
+        if kind not in (UNIGRAM, MERGED) or self.merging and UNUSED in self.kinds:
+            raise ValueError("unigram models and models of merged pairs without unused pieces are compiled, no others")
+        named = list(zip(range(len(self.pieces)), self.pieces, self.kinds))
+        symbols = {p: i for i, p, k in named if k == USER}
+        self.normaliser = Normaliser(normaliser, list(symbols), bool(trainer.get(24, 0)))
+        self.normalise = self.normaliser.rewrite
+        self.ids = {p: i for i, p, k in named if k == NORMAL or k == USER and not self.merging}
+        self.bytes = {int(p[3:-1], 16): i for i, p, k in named if k == BYTE}
         self.unknown = self.kinds.index(UNKNOWN)
-        self.letters = {c for p in self.ids for c in p}
-        self.trie = self._trie()
-        self.split = self._splitter()
+        self.lexicon = self._lexicon()
+        self.single = frozenset(p for p in self.ids if len(p) == 1).issuperset
+        low, high = (f((scores[i] for i, _, k in named if k == NORMAL), default=0.0) for f in (min, max))
+        own = lambda i, p, k: np.float32(0.1 - len(p.encode()) * high if k == USER else -scores[i])
+        self.weights = [own(*x) for x in named]
+        self.unknown_weight = np.float32(UNKNOWN_WEIGHT - low)
+        # the adjacency machine
+        self.rank = {p: scores[i] for p, i in self.ids.items()}
+        self.ends: dict[int, tuple | None] = {}
         self.pairs: dict[int, bool] = {}
+        # symbols are cut out of an input of merged pairs; what the lexicon reads lies between
+        self.symbols = symbols if self.merging else {}
+        self.cut = re.compile(f"({'|'.join(re.escape(p) for p in sorted(symbols, key=len, reverse=True))})").split if self.symbols else None
+        self.whole = not self.merging or len(self.bytes) < 256 or self.normaliser.suffix
+        self.split = self._splitter()
         self.cache = SegmentCache(lambda segments: flat(list(map(self.path, segments))))
-        self.raw = [b"" if k in (CONTROL, UNKNOWN) else bytes([int(p[3:-1], 16)]) if k == BYTE else p.encode() for p, k in zip(self.pieces, self.kinds)]
+        self.raw = [
+            UNKNOWN_TEXT.encode() if k == UNKNOWN else b"" if k == CONTROL else bytes([int(p[3:-1], 16)]) if k == BYTE else p.encode() for _, p, k in named
+        ]
+
+    def _lexicon(self):
+        """The lexicon's automaton, which gives the arcs that end at each place of an input, the longest first."""
+        from ahocorasick import Automaton
 
-    def _trie(self) -> dict:
-        """The lexicon read backwards: a node's children by character, and at '' the piece that begins there."""
-        root: dict = {}
+        out = Automaton()
         for piece, i in self.ids.items():
-            node = root
-            for c in reversed(piece):
-                node = node.setdefault(c, {})
-            node[""] = i
-        return root
+            out.add_word(piece, (i, len(piece)))
+        out.make_automaton()
+        return out.iter if self.ids else lambda text: iter(())
+
+    def arcs(self, text: str):
+        """(last place, (piece, length)) of all arcs over an input, by place, the longest first.
+
+        A character that is no piece has an arc as well, with the number of pieces plus its own as its id.
+        """
+        if self.single(text):
+            return self.lexicon(text)
+        strange = [(i, (len(self.pieces) + ord(c), 1)) for i, c in enumerate(text) if c not in self.ids]
+        return sorted((*self.lexicon(text), *strange), key=lambda arc: (arc[0], -arc[1][1]))
 
     def _splitter(self):
         """Cuts normalised text where no piece can cross: before U+2581 and signs that never follow another character
         inside a piece, and around a newline if no piece has one."""
+        letters = {c for p in self.ids for c in p}
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             return lambda text: [text] if text else []
         follows: dict[str, set[str]] = {}
@@ -123,7 +221,7 @@ class Transducer:
             for x, c in zip(p, p[1:]):
                 follows.setdefault(c, set()).add(x)
         # no letters of a script; superscripts and the like count as signs where pieces allow it
-        signs = {c for c in self.letters if not c.isalpha() and not c.isdecimal() and c not in (SPACE, "\n")}
+        signs = {c for c in letters if not c.isalpha() and not c.isdecimal() and c not in (SPACE, "\n")}
         while wrong := {c for c in signs if follows.get(c, set()) - signs - {SPACE}}:
             signs -= wrong
         # a short class is matched faster: ASCII signs, and those that stand before them in pieces
@@ -131,83 +229,122 @@ class Transducer:
         while more := {x for c in few for x in follows.get(c, ()) if x != SPACE} - few:
             few |= more
         sign = re.escape("".join(sorted(few)))
-        rest = "" if "\n" in self.letters else "\n"
+        rest = "" if "\n" in letters else "\n"
         some = f"[{sign}]++[^{SPACE}{sign}{rest}]*+|" if sign else ""
         return re.compile(f"{SPACE}*+(?:{some}[^{SPACE}{sign}{rest}]++)|{SPACE}++" + (f"|{rest}" if rest else "")).findall
 
-    def normalise(self, text: str) -> str:
-        return (SPACE if self.prefix and text else "") + text.replace(" ", SPACE)
+    def _text(self, piece: int) -> str:
+        return self.pieces[piece] if piece < len(self.pieces) else chr(piece - len(self.pieces))
 
-    def merged(self, text: str) -> list[str]:
-        """What the model's merges leave of a short text: best score first, the leftmost on a tie."""
-        parts, rank, never = list(text), self.rank.get, -float("inf")
-        scores = [rank(a + b, never) for a, b in zip(parts, parts[1:])]
-        while scores and (best := max(scores)) > never:
+    def _merges(self, piece: int) -> tuple | None:
+        """(first tokens, last tokens) of a piece while its merges run, best score first, the leftmost on a tie.
+
+        Each token stands with a limit: the worst score among the merges up to the one that changes it. None if the merges
+        do not end in the piece.
+        """
+        parts, rank = list(self._text(piece)), self.rank.get
+        scores = [rank(a + b, NEVER) for a, b in zip(parts, parts[1:])]
+        sides: tuple[list, list] = ([], [])
+        limits = [math.inf, math.inf]
+        while scores and (best := max(scores)) > NEVER:
             i = scores.index(best)
+            for side, hit in enumerate((i == 0, i == len(scores) - 1)):
+                limits[side] = min(limits[side], best)
+                if hit:
+                    sides[side].append((parts[-side], limits[side]))
+                    limits[side] = math.inf
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
             del scores[i]
             if i:
-                scores[i - 1] = rank(parts[i - 1] + parts[i], never)
+                scores[i - 1] = rank(parts[i - 1] + parts[i], NEVER)
             if i < len(scores):
-                scores[i] = rank(parts[i] + parts[i + 1], never)
-        return parts
+                scores[i] = rank(parts[i] + parts[i + 1], NEVER)
+        for side in (0, 1):
+            sides[side].append((parts[-side], NEVER))
+        return sides if len(parts) == 1 else None
+
+    def _ends(self, piece: int) -> tuple | None:
+        if piece not in self.ends:
+            self.ends[piece] = self._merges(piece)
+        return self.ends[piece]
 
     def adjacent(self, before: int, after: int) -> bool:
-        """Whether the adjacency machine's arc has weight 0; before -1 stands for the start."""
+        """Whether the adjacency machine's arc has weight 0; before -1 stands for the start.
+
+        Both pieces are made by merges of their own, which run in the order of their scores. A merge across the boundary
+        happens if it is better than what either side still does before the token at its end changes.
+        """
+        if len(self.pairs) > PAIRS:
+            self.pairs.clear()
         key = (before + 1) << 32 | after
-        found = self.pairs.get(key)
-        if found is None:
-            if len(self.pairs) > PAIRS:
-                self.pairs.clear()
-            p, q = self.pieces[before] if before >= 0 else "", self.pieces[after]
-            found = self.pairs[key] = self.merged(p + q) == ([p, q] if p else [q])
-        return found
-
-    def path(self, segment: str) -> list[int]:
-        """Ids on the shortest path over a segment of normalised text."""
-        n, trie, pairs = len(segment), self.trie, self.pairs.get
-        # state of each position: its last piece (-1 at the start and after bytes), the position before; None: infinity
-        state: list = [None] * (n + 1)
-        state[0] = (-1, 0)
-        for end in range(1, n + 1):
-            node, start, arcs = trie, end, []
-            while start:
-                node = node.get(segment[start - 1])
-                if node is None:
-                    break
-                start -= 1
-                if "" in node:
-                    arcs.append((node[""], start))
-            for arc in reversed(arcs):
-                before = state[arc[1]]
-                if before is None:
-                    continue
-                fits = pairs((before[0] + 1) << 32 | arc[0])
-                if fits or fits is None and self.adjacent(before[0], arc[0]):
-                    state[end] = arc
-                    break
+        right = self._ends(after)
+        left = self._ends(before) if before >= 0 else ((), (("", NEVER),))
+        fits, i, j = right is not None and left is not None, 0, 0
+        while fits:
+            (a, a_limit), (b, b_limit) = left[1][i], right[0][j]
+            across = self.rank.get(a + b, NEVER) if a else NEVER
+            if across > a_limit and across >= b_limit:
+                fits = False
+            elif a_limit == b_limit == NEVER:
+                break
+            elif a_limit >= b_limit:
+                i += 1
             else:
-                if segment[end - 1] not in self.letters and state[end - 1] is not None:
-                    state[end] = (-1, end - 1)
-        out: list[int] = []
+                j += 1
+        self.pairs[key] = fits
+        return fits
+
+    def path(self, text: str) -> list[int]:
+        """Ids on the path of the least weight over normalised text without symbols; of equal ones, with longer last pieces."""
+        n, pairs, merging, weights, first = len(text), self.pairs.get, self.merging, self.weights, len(self.pieces)
+        # of each prefix: the least weight, and the last piece on its path with the place where it begins
+        costs: list = [0] + [math.inf] * n
+        last, starts = [-1] * (n + 1), [0] * (n + 1)
+        for place, (piece, size) in self.arcs(text):
+            end = place + 1
+            start = end - size
+            total = costs[start] + (1 if merging else weights[piece] if piece < first else self.unknown_weight)
+            if total < costs[end]:
+                if merging:
+                    fits = pairs((last[start] + 1) << 32 | piece)
+                    if not (fits or fits is None and self.adjacent(last[start], piece)):
+                        continue
+                costs[end], last[end], starts[end] = total, piece, start
+        pieces = []
         while n:
-            piece, start = state[n]
-            if piece >= 0:
+            pieces.append(last[n])
+            n = starts[n]
+        if max(pieces, default=0) < first:
+            return pieces[::-1]
+        out: list[int] = []
+        for piece in reversed(pieces):
+            if piece < first:
                 out.append(piece)
-            else:
-                found = [self.bytes.get(b) for b in segment[start:n].encode()]
-                out += [self.unknown] if None in found else found[::-1]
-            n = start
-        return out[::-1]
+            elif len(self.bytes) == 256:
+                out += [self.bytes[b] for b in chr(piece - first).encode()]
+            elif not out or out[-1] != self.unknown:  # a run of unknown characters is one unknown piece
+                out.append(self.unknown)
+        return out
+
+    def _paths(self, text: str) -> list[int]:
+        parts = self.cut(text) if self.cut else [text]
+        return [i for p in parts if p for i in ([self.symbols[p]] if p in self.symbols else self.path(p))]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in order, how many each has)."""
-        return encode_block(self.cache, list(map(self.normalise, texts)), self.split)
+        normal = list(map(self.normalise, texts))
+        return flat(list(map(self._paths, normal))) if self.whole or self.cut else encode_block(self.cache, normal, self.split)
 
     def decode(self, ids: list[int]) -> str:
-        """The inverse relation: pieces to text, bytes that are no UTF-8 replaced, the dummy prefix dropped."""
-        text = b"".join(map(self.raw.__getitem__, ids)).decode(errors="replace").replace(SPACE, " ")
-        return text[1:] if self.prefix and text[:1] == " " else text
+        """The inverse relation: pieces to text, bytes that are no UTF-8 replaced, white space that was added dropped."""
+        text = b"".join(map(self.raw.__getitem__, ids)).decode(errors="replace")
+        if self.normaliser.suffix:
+            return text.replace(SPACE, " ").removesuffix(" " if self.normaliser.prefix else "")
+        if self.normaliser.squeeze:
+            text = text.lstrip(SPACE)
+        elif self.normaliser.prefix:
+            text = text.removeprefix(SPACE)
+        return text.replace(SPACE, " ")
 
 
 def load(path: str) -> Transducer:
@@ -220,8 +357,9 @@ def encode(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", te
     """SCHEMA for each row of docs: the ids of its whole text, and whether decoding them gives the text back.
 
     ids_crc32 is over the ids as little-endian unsigned 32-bit integers. Null and empty texts have no ids, and decode to
-    the empty text. A text with U+2581 decodes to spaces there, so round_trip is false for it. A null id stays null,
-    repeated rows give repeated results, other columns are not read.
+    the empty text. A text with U+2581 decodes to spaces there, so round_trip is false for it, as it is where the model's
+    normaliser changes a text. Of paths of equal weight, the one whose last piece is longest is taken. A null id stays
+    null, repeated rows give repeated results, other columns are not read. A text costs memory in proportion to itself.
     """
     path = model or default_model()
 

@@ -1,6 +1,7 @@
 import collections
 import random
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -223,6 +224,97 @@ def test_pieces_equal_the_library():
         assert machine.decode(own) == library.decode(own), repr(text)
 
 
+def model_file(path, pieces, kind, rule="identity", **spec):
+    """A model of pieces (text, score, kind) written by hand; nothing is trained."""
+    import sentencepiece
+
+    def field(number, value):
+        if isinstance(value, float):
+            return bytes([number << 3 | 5]) + struct.pack("<f", value)
+        tag, body = (number << 3, value) if isinstance(value, int) else (number << 3 | 2, len(value))
+        return b"".join(bytes([x & 127 | 128 * (x > 127)]) + (bytes([x >> 7]) if x > 127 else b"") for x in (tag, body) if x < 1 << 14) + (value if isinstance(value, bytes) else b"")
+
+    def long_field(number, value):
+        size, out = len(value), b""
+        while size > 127:
+            out, size = out + bytes([size & 127 | 128]), size >> 7
+        return bytes([number << 3 | 2]) + out + bytes([size]) + value
+
+    normaliser = sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_normalizer_spec()
+    for number, value in spec.items():
+        normaliser += field(int(number[1:]), value)
+    out = b"".join(long_field(1, field(1, p.encode()) + field(2, float(w)) + field(3, k)) for p, w, k in pieces)
+    out += long_field(2, field(3, kind) + (field(35, 1) if any(k == 6 for *_, k in pieces) else b"")) + long_field(3, normaliser)
+    path.write_bytes(out)
+    return str(path)
+
+
+PIECES = [("<unk>", 0, 2), ("<s>", 0, 3), ("</s>", 0, 3)]
+WORDS = ["▁", "a", "b", "c", "▁a", "ab", "abc", "bc", "▁ab", "ca", "cab", "aa", "aaa", "é", "▁é", "éa", "bb", "1", "▁1", "fi", "f", "i"]
+
+
+@pytest.mark.parametrize("rule", ["identity", "nmt_nfkc", "nfkc_cf"])
+@pytest.mark.parametrize("form", ["bytes", "unknown", "symbols"])
+@pytest.mark.parametrize("kind", [1, 2])
+def test_models_written_by_hand_equal_the_library(tmp_path, rule, form, kind):
+    import sentencepiece
+
+    rng = random.Random(f"{rule}{form}{kind}")
+    scores = [-float(i) for i in range(len(WORDS))] if kind == 2 else [-rng.randint(1, 40) / 4 for _ in WORDS]
+    pieces = PIECES + [(f"<0x{i:02X}>", 0, 6) for i in range(256) if form == "bytes"]
+    pieces += [("<sep>", 0, 4), ("[a b]".replace(" ", "▁"), 0, 4)] * (form == "symbols")
+    pieces += [(w, x, 1) for w, x in zip(WORDS, scores)]
+    for spec in ({"f3": 1, "f4": 1}, {"f3": 1, "f4": 0}, {"f3": 0, "f4": 1}, {"f3": 0, "f4": 0}):
+        path = model_file(tmp_path / f"{spec['f3']}{spec['f4']}.model", pieces, kind, rule, **spec)
+        library, machine = sentencepiece.SentencePieceProcessor(model_file=path), sentencepiece_fst.Transducer(path)
+        parts = ["a", "b", "c", "ab", "abc", "bca", " ", "  ", "é", "1", "①", "ﬁ", "Ａ", "中", "😀", "\t", "<sep>", "▁", "aaaa", "x"]
+        texts = ["", " ", "   a", "a   "] + ["".join(rng.choice(parts) for _ in range(rng.randint(1, 12))) for _ in range(300)]
+        ids, counts = machine.encode(texts)
+        ends = counts.cumsum()
+        for text, a, b in zip(texts, ends - counts, ends):
+            assert ids[a:b].tolist() == library.encode(text), (text, spec, machine.normalise(text))
+
+
+def test_least_weight_by_enumeration(tmp_path):
+    rng = random.Random(4)
+    path = model_file(tmp_path / "m.model", PIECES + [(w, -rng.randint(1, 90) / 8, 1) for w in WORDS], 1, f4=0)
+    machine = sentencepiece_fst.Transducer(path)
+
+    def every(text):
+        if not text:
+            yield ()
+        for n in range(1, len(text) + 1):
+            if text[:n] in machine.ids:
+                yield from ((machine.ids[text[:n]], *rest) for rest in every(text[n:]))
+
+    for _ in range(200):
+        text = "".join(rng.choice("▁abc") for _ in range(rng.randint(1, 9)))
+        weigh = lambda ids: sum(machine.weights[i] for i in ids)
+        assert abs(weigh(machine.path(text)) - min(map(weigh, every(text)))) < 1e-6
+
+
+def test_adjacency_by_merging():
+    """An arc of the adjacency machine against the merges themselves, run over both pieces side by side."""
+    machine = sentencepiece_fst.load(sentencepiece_fst.default_model())
+
+    def merged(text):
+        parts = list(text)
+        while len(parts) > 1:
+            scores = [machine.rank.get(a + b, -float("inf")) for a, b in zip(parts, parts[1:])]
+            best = max(scores)
+            if best == -float("inf"):
+                break
+            i = scores.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        return parts
+
+    rng = random.Random(8)
+    some = rng.sample(sorted(machine.ids.values()), 400) + [machine.ids[x] for x in ("▁the", "the", "th", "e", "ing", "▁", "▁▁", "re", "s")]
+    for _ in range(6000):
+        p, q = rng.choice(some), rng.choice(some)
+        assert machine.adjacent(p, q) == (merged(machine.pieces[p] + machine.pieces[q]) == [machine.pieces[p], machine.pieces[q]])
+
+
 def test_encoding_rows(docs_of, awkward, nothing):
     rows = sentencepiece_fst.encode(awkward).collect()
     assert len(rows) == 11 and all(r["round_trip"] and len(r["ids"]) == r["n_tokens"] for r in rows)
