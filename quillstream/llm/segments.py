@@ -12,8 +12,9 @@ BLOCK_CHARS = 400_000
 
 
 class SegmentCache:
-    """ids of segments, each encoded once while it is held; forgets everything when it holds ``limit`` segments.
+    """ids of segments, each encoded once while it is held.
 
+    When it holds ``limit`` segments it forgets those that were not asked for again, and of the others all but limit / 2.
     encode gives the ids of a list of segments in order, and how many each has.
     """
 
@@ -25,14 +26,26 @@ class SegmentCache:
         self.places: dict[str, int] = {}
         self.starts = np.zeros(1 << 16, np.int64)
         self.lengths = np.zeros(1 << 16, np.int64)
+        self.again = np.zeros(1 << 16, bool)
         self.values = np.zeros(1 << 18, np.int32)
         self.used = 0
 
+    def _trim(self) -> None:
+        keep = np.flatnonzero(self.again[: len(self.places)])[-(self.limit // 2) :]
+        names = list(self.places)
+        starts, lengths = self.starts[keep], self.lengths[keep]
+        held = self.values[_spans(starts, lengths)]
+        self._clear()
+        if len(keep):
+            self._hold([names[i] for i in keep.tolist()], held, lengths)
+
     def _add(self, segments: list[str]) -> None:
-        found, lengths = self.encode(segments)
+        self._hold(segments, *self.encode(segments))
+
+    def _hold(self, segments: list[str], found: np.ndarray, lengths: np.ndarray) -> None:
         have, need = len(self.places), self.used + len(found)
         while len(self.starts) < have + len(segments):
-            self.starts, self.lengths = (np.concatenate((x, np.zeros_like(x))) for x in (self.starts, self.lengths))
+            self.starts, self.lengths, self.again = (np.concatenate((x, np.zeros_like(x))) for x in (self.starts, self.lengths, self.again))
         while len(self.values) < need:
             self.values = np.concatenate((self.values, np.zeros_like(self.values)))
         at = slice(have, have + len(segments))
@@ -48,17 +61,22 @@ class SegmentCache:
     def gather(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all segments in order, how many each has)."""
         if len(self.places) > self.limit:
-            self._clear()
+            self._trim()
         at = self._places(segments)
         missing = np.flatnonzero(at < 0)
+        self.again[at[at >= 0]] = True
         if len(missing):
             new = list(map(segments.__getitem__, missing.tolist()))
             self._add(list(dict.fromkeys(new)))
             at[missing] = self._places(new)
         lengths = self.lengths[at]
-        ends = lengths.cumsum()
-        index = np.repeat(self.starts[at] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
-        return self.values[index], lengths
+        return self.values[_spans(self.starts[at], lengths)], lengths
+
+
+def _spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places of all spans, one after the other."""
+    ends = lengths.cumsum()
+    return np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
 
 
 def flat(found: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
