@@ -1,12 +1,13 @@
 """Quality as a difference of compressed sizes.
 
-Two zstandard dictionaries are built, from labelled good and from labelled bad texts. A text is compressed with each,
-block by block, so that a long text's later blocks count like the first. The normalised difference
+Two zstandard dictionaries are trained, on labelled good and on labelled bad texts. A text is compressed with each,
+block by block, so that a long text's later blocks count like the first; the dictionaries are trained on such blocks too,
+which stand all over the labelled texts. The normalised difference
 
     d = (bytes with the bad dictionary - bytes with the good one) / (their sum)
 
-is positive for text like the good samples. A logistic curve, fitted on labelled rows that gave no dictionary content,
-turns it into a probability.
+is positive for text like the good samples. A logistic curve, fitted on labelled rows that trained no dictionary, turns
+it into a probability.
 """
 
 from __future__ import annotations
@@ -16,18 +17,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstream.llm.common import digest_sample, held_out, small_batches
 
 BLOCK = 4096
-LEVEL = 9
+LEVEL = 3
 #: Labelled rows of each label that a fit takes at most: those with the smallest digests of their id.
 FIT_ROWS = 3_000
-#: UTF-8 bytes of a fitted row that are used; with FIT_ROWS it bounds what the driver holds (48 MB).
-FIT_BYTES = 8_192
+#: Blocks of a fitted row that are used, evenly spread from its first byte to its last; a text of no more bytes is used as
+#: a whole. With FIT_ROWS it bounds what the driver holds (98 MB).
+FIT_BLOCKS = 4
 DICTIONARY_BYTES = 400_000
+#: Length of the segments that a dictionary is put together from, and of the strings whose frequency picks them.
+SEGMENT, STRING = 400, 8
 #: From this score on a text is predicted to be good.
 THRESHOLD = 0.7
 SCHEMA = "doc_id long, held_out boolean, difference double, score double, predicted int"
@@ -84,25 +88,32 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def _dictionary(samples: list[bytes], size: int) -> bytes:
-    """Pieces of all samples in turn, so that no long sample takes the whole dictionary; the most typical come last."""
-    share = max(256, size // max(1, len(samples)))
-    pieces = [x[i : i + share] for i in range(0, FIT_BYTES, share) for x in samples if len(x) > i]
-    out, used = [], 0
-    for piece in pieces:
-        if used + len(piece) > size:
-            break
-        out.append(piece)
-        used += len(piece)
-    return b"".join(out[::-1])
+    """A dictionary trained on the blocks of all samples; where they are too few to train on, their bytes as they are."""
+    import zstandard
+
+    parts = [x[i : i + BLOCK] for x in samples for i in range(0, len(x), BLOCK)]
+    total = sum(map(len, parts))
+    try:
+        return zstandard.train_dictionary(min(size, total // 2), parts, k=SEGMENT, d=STRING).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(parts)[-size:]
+
+
+def _spread(text: Column) -> Column:
+    """FIT_BLOCKS blocks of a text's bytes, evenly spread over its length; all its bytes where it has no more."""
+    data = F.encode(F.coalesce(text, F.lit("")), "utf-8")
+    last = F.octet_length(data) - BLOCK
+    at = lambda i: F.floor(last * i / (FIT_BLOCKS - 1)).cast("int") + 1
+    return F.when(last <= BLOCK * (FIT_BLOCKS - 1), data).otherwise(F.concat(*(F.substring(data, at(i), F.lit(BLOCK)) for i in range(FIT_BLOCKS))))
 
 
 def fit(
     docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, dictionary_bytes: int = DICTIONARY_BYTES, id_col: str = "doc_id",
     text_col: str = "text", label_col: str = "quality",
 ) -> Model:
-    """A model from labelled rows that are not held out, fit_rows of each label at most and FIT_BYTES of each.
+    """A model from labelled rows that are not held out, fit_rows of each label at most and FIT_BLOCKS blocks of each.
 
-    Two of three rows give dictionary content, the third calibrates. Null labels and ids labelled in two ways are left
+    Two of three rows train the dictionaries, the third calibrates. Null labels and ids labelled in two ways are left
     out. Without both labels there is nothing to tell apart: every text then scores 0.5.
     """
     marked = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
@@ -110,8 +121,7 @@ def fit(
     order = (F.md5(F.col("_id").cast("string")), "_id")
     picked = [digest_sample(marked.where(F.col("_label") == y), "_id", fit_rows).select("_id", "_label") for y in (0, 1)]
     picked = picked[0].unionAll(picked[1])
-    body = F.substring(F.encode(F.coalesce(F.col(text_col), F.lit("")), "utf-8"), 1, FIT_BYTES)
-    rows = docs.select(F.col(id_col).alias("_id"), body.alias("_body")).join(F.broadcast(picked), "_id")
+    rows = docs.select(F.col(id_col).alias("_id"), _spread(F.col(text_col)).alias("_body")).join(F.broadcast(picked), "_id")
     rows = rows.orderBy(*order).limit(2 * fit_rows).collect()
     by = {y: [bytes(r["_body"]) for r in rows if r["_label"] == y and r["_body"]] for y in (0, 1)}
     if min(map(len, by.values())) < 3:
