@@ -1,14 +1,15 @@
 """Language identification by a linear-chain conditional random field over words.
 
-A word's emission sums learned weights of its character n-grams (with marks at both ends, so that some are affixes) and
-of itself in a hashed lexicon. Transitions between the languages of neighbouring words are learned too, from sequences
-that put runs of words from several labelled documents together. Forward-backward gives each word of a text, which may
-switch languages, a distribution; a document's language is the one with the largest mean.
+A word's emission sums learned weights of its character n-grams, of its prefixes and suffixes, and of itself if it is in
+the lexicon: the words that labelled texts have often enough, each with weights of its own; n-grams and affixes share
+hashed ones. Transitions between the languages of neighbouring words are learned too, from sequences that put runs of
+words from several labelled documents together; every word of every fitted row is in one. Forward-backward gives each
+word of a text, which may switch languages, a distribution; a document's language is the one with the largest mean.
 """
 
 from __future__ import annotations
 
-import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,10 +23,16 @@ from quillstream.llm.common import digest_sample, held_out, small_batches
 
 UNDETERMINED = "und"
 BUCKETS = 1 << 16
-LONGEST_GRAM = 4
-#: A fit takes this many labelled rows at most, those with the smallest digests of their id, and so much of each.
-FIT_ROWS, FIT_CHARS = 3_000, 3_000
-FIT_SEQUENCES, FIT_STEPS, RATE, DECAY = 1_200, 60, 0.08, 1e-6
+LONGEST_GRAM, LONGEST_AFFIX = 4, 6
+#: A word is in the lexicon if the fitted rows have it so often; of more than LEXICON_WORDS the most frequent are.
+LEXICON_LEAST, LEXICON_WORDS = 3, 50_000
+#: A fit takes this many labelled rows at most, those with the smallest digests of their id. Of a text of more than
+#: FIT_RUNS * RUN_CHARS characters it takes FIT_RUNS runs of RUN_CHARS, evenly spread from its start to its end, so that
+#: the driver holds 48 MB of text at most.
+FIT_ROWS, FIT_RUNS, RUN_CHARS = 3_000, 4, 1_000
+#: Words in a step of the fit; the least numbers of passes over all words, and of steps.
+STEP_WORDS, PASSES, STEPS = 16_000, 2, 60
+RATE, DECAY = 0.08, 1e-6
 #: Cells (words times documents, with padding) that forward-backward holds at once.
 CELLS = 100_000
 #: Words that a worker remembers the emissions of.
@@ -34,26 +41,28 @@ WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, n_words long, n_runs long"
 
 
-def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets of all features, where each word's begin): n-grams of \\x02 word \\x03, and the word itself."""
+def features(words: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(weights' places of all features, where each word's begin): n-grams of \\x02 word \\x03, affixes, the word itself."""
     code = np.frombuffer("".join([f"\x02{w}\x03" for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
     begins = sizes.cumsum() - sizes
     place = np.arange(len(code)) - np.repeat(begins, sizes)
     owner = np.repeat(np.arange(len(words)), sizes)
+    ends = place == np.repeat(sizes, sizes) - 1
     found, owners, gram = [], [], np.zeros(len(code), np.uint64)
-    for n in range(1, LONGEST_GRAM + 1):
+    for n in range(1, LONGEST_AFFIX + 2):
         before = np.concatenate((np.zeros(1, np.uint64), gram[:-1])) if n > 1 else gram
         gram = (before + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15) + code * np.uint64(0xBF58476D1CE4E5B9)
-        whole = place >= n - 1
-        found.append(gram[whole] >> np.uint64(40))
+        # beyond the longest n-gram only what begins or ends with a mark: prefixes and suffixes
+        whole = place >= n - 1 if n <= LONGEST_GRAM else (place == n - 1) | (place >= n - 1) & ends
+        found.append((gram[whole] >> np.uint64(40)).astype(np.int64) % BUCKETS)
         owners.append(owner[whole])
-    found.append(np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words)))
-    owners.append(np.arange(len(words)))
+    known = np.fromiter((lexicon.get(w, -1) for w in words), np.int64, len(words))
+    owners.append(np.flatnonzero(known >= 0))
+    found.append(BUCKETS + known[owners[-1]])
     owner, flat = np.concatenate(owners), np.concatenate(found)
-    order = owner.argsort(kind="stable")
     counts = np.bincount(owner, minlength=len(words))
-    return (flat[order] % np.uint64(BUCKETS)).astype(np.int64), counts.cumsum() - counts
+    return flat[owner.argsort(kind="stable")], counts.cumsum() - counts
 
 
 def forward(emissions: np.ndarray, moves: np.ndarray) -> np.ndarray:
@@ -86,8 +95,9 @@ def posteriors(emissions: np.ndarray, lengths: np.ndarray, moves: np.ndarray) ->
 @dataclass(frozen=True)
 class Model:
     labels: tuple[str, ...]
-    weights: np.ndarray  # (BUCKETS, labels)
+    weights: np.ndarray  # (BUCKETS + words of the lexicon, labels)
     moves: np.ndarray  # (labels, labels), logarithms
+    lexicon: dict[str, int]
 
 
 class Tagger:
@@ -111,7 +121,7 @@ class Tagger:
         places = list(map(get, words))
         if None in places:
             new = list(dict.fromkeys(w for w, p in zip(words, places) if p is None))
-            flat, begins = features(new)
+            flat, begins = features(new, self.model.lexicon)
             logs = np.add.reduceat(self.model.weights[flat], begins, axis=0)
             have = len(self.places)
             while len(self.held) < have + len(new):
@@ -143,84 +153,111 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
+def mixed(samples: list[tuple[list[str], int]], rng: np.random.Generator) -> list[tuple[list[str], list[int]]]:
+    """Sequences of up to four runs of 4 to 40 words each, from random samples; each word of each sample is in one run."""
+    pieces = []
+    for words, y in samples:
+        at = 0
+        while at < len(words):
+            n = int(rng.integers(4, 41))
+            pieces.append((words[at : at + n], y))
+            at += n
+    pieces = [pieces[i] for i in rng.permutation(len(pieces))]
+    out, at = [], 0
+    while at < len(pieces):
+        own = pieces[at : at + int(rng.integers(1, 5))]
+        at += len(own)
+        out.append(([w for words, _ in own for w in words], [y for words, y in own for _ in words]))
+    return out
+
+
+def _slopes(emission: np.ndarray, truth: np.ndarray, lengths: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradients of the log-likelihood for emissions (time, sequence, label) and for moves."""
+    k = len(moves)
+    a = np.exp(moves - moves.max())
+    inside = np.arange(len(emission))[:, None] < lengths
+    gold = np.eye(k)[truth] * inside[..., None]
+    # expected transitions, from forward variables and those of the reversed sequences
+    ahead = forward(emission, a)
+    back = reversed_each(forward(reversed_each(emission, lengths), np.ascontiguousarray(a.T)), lengths)
+    both = ahead * back / emission
+    gamma = both / both.sum(2, keepdims=True) * inside[..., None]
+    joint = np.einsum("tbi,ij,tbj->tbij", ahead[:-1], a, back[1:])
+    joint /= joint.sum((2, 3), keepdims=True)
+    joint *= inside[1:, :, None, None]
+    return gold - gamma, np.einsum("tbi,tbj->ij", gold[:-1], gold[1:]) - joint.sum((0, 1))
+
+
 def train(samples: list[tuple[list[str], str]], seed: int = 4) -> Model:
-    """Maximum likelihood with a weak pull to 0, by Adam on all sequences at once.
+    """Maximum likelihood with a weak pull to 0, by Adam on some sequences at a time.
 
-    A sequence is up to four runs of 4 to 40 words, each from a random labelled sample; labels are drawn evenly.
+    Every pass goes over all words of all samples, mixed anew; samples of one language at a time would teach no moves.
     """
     samples = [s for s in samples if s[0]]
     labels = tuple(sorted({lang for _, lang in samples}))
     k = len(labels)
     if not k:
-        return Model((), np.zeros((BUCKETS, 0)), np.zeros((0, 0)))
+        return Model((), np.zeros((BUCKETS, 0)), np.zeros((0, 0)), {})
     rng = np.random.default_rng(seed)
-    by = [[w for w, lang in samples if lang == x] for x in labels]
-    sequences: list[tuple[list[str], list[int]]] = []
-    for _ in range(FIT_SEQUENCES):
-        words: list[str] = []
-        truth: list[int] = []
-        for _ in range(rng.integers(1, 5)):
-            y = int(rng.integers(k))
-            own = by[y][rng.integers(len(by[y]))]
-            n = int(rng.integers(4, 41))
-            at = int(rng.integers(0, max(1, len(own) - n)))
-            words += own[at : at + n]
-            truth += [y] * len(own[at : at + n])
-        sequences.append((words, truth))
-    types = {w: i for i, w in enumerate(dict.fromkeys(w for words, _ in sequences for w in words))}
-    flat, begins = features(list(types))
-    owner = np.repeat(np.arange(len(types)), np.diff(np.append(begins, len(flat))))
-    lengths = np.array([len(w) for w, _ in sequences])
-    longest = lengths.max()
-    ids = np.zeros((longest, len(sequences)), np.int64)
-    truth = np.zeros((longest, len(sequences)), np.int64)
-    for c, (words, y) in enumerate(sequences):
-        ids[: len(words), c] = [types[w] for w in words]
-        truth[: len(words), c] = y
-    inside = np.arange(longest)[:, None] < lengths
-    pairs = inside[1:]
-    gold = np.eye(k)[truth]
-    gold_moves = np.einsum("tbi,tbj->ij", gold[:-1] * pairs[..., None], gold[1:])
-    total = inside.sum()
-    weights, moves = np.zeros((BUCKETS, k)), np.zeros((k, k))
+    counts = Counter(w for words, _ in samples for w in words)
+    often = sorted((w for w, n in counts.items() if n >= LEXICON_LEAST), key=lambda w: (-counts[w], w))[:LEXICON_WORDS]
+    lexicon = {w: i for i, w in enumerate(often)}
+    types = {w: i for i, w in enumerate(counts)}
+    flat, begins = features(list(types), lexicon)
+    sizes = np.diff(np.append(begins, len(flat)))
+    own = [(words, labels.index(lang)) for words, lang in samples]
+    passes = max(PASSES, -(-STEPS * STEP_WORDS // counts.total()))
+    steps, step = max(STEPS, passes * counts.total() // STEP_WORDS), 0
+    weights, moves = np.zeros((BUCKETS + len(lexicon), k)), np.zeros((k, k))
     state = [np.zeros_like(x) for x in (weights, weights, moves, moves)]
-    for step in range(1, FIT_STEPS + 1):
-        logs = np.add.reduceat(weights[flat], begins, axis=0)
-        emission = np.exp(np.maximum(logs - logs.max(1, keepdims=True), -30))[ids]
-        emission[~inside] = 1
-        a = np.exp(moves - moves.max())
-        gamma = posteriors(emission, lengths, a)
-        # expected transitions, from forward variables and those of the reversed sequences
-        ahead = forward(emission, a)
-        back = reversed_each(forward(reversed_each(emission, lengths), np.ascontiguousarray(a.T)), lengths)
-        joint = np.einsum("tbi,ij,tbj->tbij", ahead[:-1], a, back[1:])
-        joint /= joint.sum((2, 3), keepdims=True)
-        by_word = np.zeros((len(types), k))
-        rest = (gold - gamma)[inside]
-        for y in range(k):
-            by_word[:, y] = np.bincount(ids[inside], rest[:, y], len(types))
-        slope = np.stack([np.bincount(flat, by_word[owner, y], BUCKETS) for y in range(k)], 1) / total - DECAY * weights
-        slope_moves = (gold_moves - (joint * pairs[..., None, None]).sum((0, 1))) / total - DECAY * moves
-        for at, (x, g) in enumerate(((weights, slope), (moves, slope_moves))):
-            m, v = state[2 * at], state[2 * at + 1]
-            m *= 0.9
-            m += 0.1 * g
-            v *= 0.99
-            v += 0.01 * g * g
-            x += RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
-    return Model(labels, weights, moves)
+    for _ in range(passes):
+        sequences = mixed(own, rng)
+        ends = np.cumsum([len(w) for w, _ in sequences])
+        for part in np.split(np.arange(len(sequences)), np.searchsorted(ends, np.arange(STEP_WORDS, ends[-1], STEP_WORDS))):
+            if not len(part):
+                continue
+            step += 1
+            lengths = np.array([len(sequences[i][0]) for i in part])
+            ids, truth = np.zeros((2, lengths.max(), len(part)), np.int64)
+            for c, i in enumerate(part.tolist()):
+                ids[: lengths[c], c] = [types[w] for w in sequences[i][0]]
+                truth[: lengths[c], c] = sequences[i][1]
+            inside = np.arange(len(ids))[:, None] < lengths
+            seen, at = np.unique(ids[inside], return_inverse=True)
+            ends_of = sizes[seen].cumsum()
+            places = flat[np.repeat(begins[seen] - ends_of + sizes[seen], sizes[seen]) + np.arange(ends_of[-1])]
+            logs = np.add.reduceat(weights[places], ends_of - sizes[seen], axis=0)
+            emission = np.ones((*ids.shape, k))
+            emission[inside] = np.exp(np.maximum(logs - logs.max(1, keepdims=True), -30))[at]
+            rest, slope_moves = _slopes(emission, truth, lengths, moves)
+            rest = rest[inside]
+            by_word = np.stack([np.bincount(at, rest[:, y], len(seen)) for y in range(k)], 1)
+            by_place = np.repeat(by_word, sizes[seen], axis=0)
+            total = len(rest)
+            slope = np.stack([np.bincount(places, by_place[:, y], len(weights)) for y in range(k)], 1) / total - DECAY * weights
+            rate = RATE * (1 - 0.9 * min(1.0, step / steps))
+            for j, (x, g) in enumerate(((weights, slope), (moves, slope_moves / total - DECAY * moves))):
+                m, v = state[2 * j], state[2 * j + 1]
+                m *= 0.9
+                m += 0.1 * g
+                v *= 0.99
+                v += 0.01 * g * g
+                x += rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
+    return Model(labels, weights, moves, lexicon)
 
 
 def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """A model from fit_rows rows at most (the smallest digests of their id) with a language that are not held out.
 
-    Of each, a run of FIT_CHARS characters is read. Without any such row no language is known, and all is undetermined.
+    Long texts give FIT_RUNS runs. Without any such row no language is known, and all is undetermined.
     """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col)))
     picked = digest_sample(rows.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang")), "_id", fit_rows)
-    at = F.greatest(F.lit(1), F.pmod(F.crc32("_digest"), F.greatest(F.lit(1), F.length("_text") - FIT_CHARS)).cast("int"))
-    rows = picked.select("_digest", "_lang", F.substring("_text", at, F.lit(FIT_CHARS)).alias("_body"))
-    rows = rows.orderBy("_digest", "_lang", "_body").collect()
+    last = F.length("_text") - RUN_CHARS
+    at = lambda i: F.floor(last * i / (FIT_RUNS - 1)).cast("int") + 1
+    spread = F.array_join(F.array(*(F.substring("_text", at(i), F.lit(RUN_CHARS)) for i in range(FIT_RUNS))), "\n")
+    body = F.when(last <= RUN_CHARS * (FIT_RUNS - 1), F.col("_text")).otherwise(spread)
+    rows = picked.select("_digest", "_lang", body.alias("_body")).orderBy("_digest", "_lang", "_body").collect()
     return train([(words_of(r["_body"]), r["_lang"]) for r in rows])
 
 
@@ -254,7 +291,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     and letterless texts are 'und' with score 0, as are all texts if the model knows no language. A null id stays null
     and is not held out; repeated rows give repeated results; ties go to the first label; other columns are not read.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS weights for each language
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS + LEXICON_WORDS weights for each language, and so many words
     made: list = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -69,6 +69,38 @@ def test_classifier(spark, docs_of, awkward, nothing):
     assert {r["score"] for r in flat} == {0.5}
 
 
+def test_dictionaries_come_from_whole_texts(spark, docs_of):
+    """Texts whose first 3,000 bytes tell nothing, with labels that only what follows shows."""
+    rng = random.Random(14)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(6))
+    good, bad = ([word(x) for _ in range(400)] for x in ("abcdefg", "nopqrst"))
+    both = [word("abcdefgnopqrst") for _ in range(400)]
+    some = lambda words, n: " ".join(rng.choice(words) for _ in range(n))
+    # long ones as well: what tells stands in their middle, far from either end
+    rows = [(i, some(both, 430) + " " + some(bad if i % 4 == 0 else good, 150) + (" " + some(both, 9000) if i % 50 < 8 else "")) for i in range(480)]
+    labels = spark.createDataFrame([(i, int(i % 4 != 0)) for i in range(480)], "doc_id long, quality int")
+    got = cc.classify(docs_of(rows), cc.fit(docs_of(rows), labels)).collect()
+    held = [r for r in got if r["held_out"] and r["doc_id"] % 50 >= 8]
+    assert sum(r["predicted"] == int(r["doc_id"] % 4 != 0) for r in held) > 0.9 * len(held) > 50
+    tails = docs_of([(1, some(both, 430)), (2, some(both, 430) + " " + some(good, 300)), (3, some(both, 430) + " " + some(bad, 300))])
+    scores = {r["doc_id"]: r["score"] for r in cc.classify(tails, cc.fit(docs_of(rows), labels)).collect()}
+    assert scores[2] > scores[1] > scores[3]
+
+
+def test_fitted_blocks_reach_both_ends(docs_of):
+    long = "".join(f"{i:08d}" for i in range(40_000))
+    got = {r["doc_id"]: bytes(r["b"]) for r in docs_of([(1, long), (2, "short"), (3, None), (4, "é" * 8000)]).select("doc_id", cc._spread(F.col("text")).alias("b")).collect()}
+    assert got[2] == b"short" and got[3] == b"" and got[4] == ("é" * 8000).encode()
+    parts = [got[1][i : i + cc.BLOCK].decode() for i in range(0, len(got[1]), cc.BLOCK)]
+    assert len(parts) == cc.FIT_BLOCKS and all(p in long for p in parts) and long.startswith(parts[0]) and long.endswith(parts[-1])
+
+
+def test_labels_that_disagree_train_nothing(spark, docs_of):
+    rows = [(i, f"text {i} " * 50) for i in range(200)]
+    labels = spark.createDataFrame([(i, y) for i in range(200) for y in (0, 1)], "doc_id long, quality int")
+    assert cc.fit(docs_of(rows), labels).slope == 0 and {r["score"] for r in cc.classify(docs_of(rows), cc.fit(docs_of(rows), labels)).collect()} == {0.5}
+
+
 def test_extraction(spark):
     model = html.train(1500)
     test = list(html.synthetic_pages(150, 123))
