@@ -184,7 +184,7 @@ class Transducer:
         self.symbols = symbols if self.merging else {}
         self.cut = re.compile(f"({'|'.join(re.escape(p) for p in sorted(symbols, key=len, reverse=True))})").split if self.symbols else None
         self.whole = not self.merging or len(self.bytes) < 256 or self.normaliser.suffix
-        self.split = self._splitter()
+        self.classes = self._classes()
         self.cache = SegmentCache(lambda segments: flat(list(map(self.path, segments))))
         self.raw = [
             UNKNOWN_TEXT.encode() if k == UNKNOWN else b"" if k == CONTROL else bytes([int(p[3:-1], 16)]) if k == BYTE else p.encode() for _, p, k in named
@@ -210,12 +210,15 @@ class Transducer:
         strange = [(i, (len(self.pieces) + ord(c), 1)) for i, c in enumerate(text) if c not in self.ids]
         return sorted((*self.lexicon(text), *strange), key=lambda arc: (arc[0], -arc[1][1]))
 
-    def _splitter(self):
-        """Cuts normalised text where no piece can cross: before U+2581 and signs that never follow another character
-        inside a piece, and around a newline if no piece has one."""
+    def _classes(self) -> np.ndarray | None:
+        """What a character is to ``segments``, by code point: 1 U+2581, 2 a sign, 3 an odd one; the last entry is for all beyond.
+
+        Signs never follow another character inside a piece, other signs and U+2581 apart; no piece has an odd one. None
+        if pieces have U+2581 inside, so that nothing can be cut.
+        """
         letters = {c for p in self.ids for c in p}
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
-            return lambda text: [text] if text else []
+            return None
         follows: dict[str, set[str]] = {}
         for p in self.ids:
             for x, c in zip(p, p[1:]):
@@ -224,14 +227,22 @@ class Transducer:
         signs = {c for c in letters if not c.isalpha() and not c.isdecimal() and c not in (SPACE, "\n")}
         while wrong := {c for c in signs if follows.get(c, set()) - signs - {SPACE}}:
             signs -= wrong
-        # a short class is matched faster: ASCII signs, and those that stand before them in pieces
-        few = {c for c in signs if c < "\x80"}
-        while more := {x for c in few for x in follows.get(c, ()) if x != SPACE} - few:
-            few |= more
-        sign = re.escape("".join(sorted(few)))
-        rest = "" if "\n" in letters else "\n"
-        some = f"[{sign}]++[^{SPACE}{sign}{rest}]*+|" if sign else ""
-        return re.compile(f"{SPACE}*+(?:{some}[^{SPACE}{sign}{rest}]++)|{SPACE}++" + (f"|{rest}" if rest else "")).findall
+        out = np.zeros(max(map(ord, letters | {SPACE}), default=0) + 2, np.uint8)
+        out[[ord(c) for c in signs]] = 2
+        out[ord(SPACE)] = 1
+        if "\n" not in letters:
+            out[ord("\n")] = 3
+        return out
+
+    def segments(self, code: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cuts where no piece can cross: before U+2581 and before signs after other characters, and around odd ones."""
+        if self.classes is None:
+            starts = np.flatnonzero(fresh)
+        else:
+            kind = self.classes[np.minimum(code, len(self.classes) - 1)]
+            before = np.concatenate((np.zeros(1, np.uint8), kind[:-1]))
+            starts = np.flatnonzero(fresh | (kind == 1) & (before != 1) | (kind == 2) & (before == 0) | (kind == 3) | (before == 3))
+        return starts, np.append(starts[1:], len(code))[: len(starts)]
 
     def _text(self, piece: int) -> str:
         return self.pieces[piece] if piece < len(self.pieces) else chr(piece - len(self.pieces))
@@ -333,7 +344,7 @@ class Transducer:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in order, how many each has)."""
         normal = list(map(self.normalise, texts))
-        return flat(list(map(self._paths, normal))) if self.whole or self.cut else encode_block(self.cache, normal, self.split)
+        return flat(list(map(self._paths, normal))) if self.whole or self.cut else encode_block(self.cache, normal, self.segments)
 
     def decode(self, ids: list[int]) -> str:
         """The inverse relation: pieces to text, bytes that are no UTF-8 replaced, white space that was added dropped."""

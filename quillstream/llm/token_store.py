@@ -5,18 +5,21 @@ chunks wherever they stand. A chunk's name is the digest of its ids; each is sto
 
 * ``kind=chunk/``: digest, n_ids and payload, the zstandard-compressed little-endian ids (2 bytes each, or 4 where an
   id needs them: ``width``);
-* ``recipes/``: documents in ascending doc_id order: part (the file's number), doc_id, start (ids of all documents
-  before), n_tokens, the digests of its chunks in order, and the recipe's digest;
-* ``manifest/``: for each part its documents, ids and the root of the Merkle tree over its recipes.
+* ``recipes/``: documents in ascending doc_id order, file by file: part (the file's number), doc_id, start (ids of all
+  documents before), n_tokens, the digests of its chunks in order, and the recipe's digest;
+* ``manifest/``: for each part its documents, ids, first start and the root of the Merkle tree over its recipes.
 
 Bytes cross the network once, to drop equal chunks. What is read back is checked by name: each chunk against its digest,
-each part against its root (of doc_id, start, n_tokens and the digests themselves), a document's chunks against n_tokens.
+each part against its root (of doc_id, start, n_tokens and the digests themselves), starts against the ids before them, a
+document's chunks against n_tokens. A chunk that is missing is an error.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -38,18 +41,28 @@ STAGED = "kind string, key binary, doc_id long, n long, width int, payload binar
 FILES = {
     "store": STAGED,
     "recipes": "part int, doc_id long, start long, n_tokens long, digests binary, recipe binary",
-    "manifest": "part int, n_docs long, n_tokens long, root binary",
+    "manifest": "part int, n_docs long, n_tokens long, start long, root binary",
 }
 _loaded: dict = {}
 _gear = np.random.default_rng(20).integers(0, 1 << 63, 1 << 16, dtype=np.uint64)
 
-#: Marks a segment that is a whole text.
-WHOLE = "\0"
-#: The tokenizer's pre-tokens for lower-cased text of the characters in PLAIN, where normalising changes nothing else.
-_LETTERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-ſ"
-_NUMBERS = "0-9\xb2\xb3\xb9\xbc-\xbe"
-_PRETOKEN = re.compile(f"[{_LETTERS}]+|[{_NUMBERS}]|'(?:s|t|re|ve|m|ll|d)|[^\\s{_LETTERS}{_NUMBERS}]+")
+#: Parts whose sums are broadcast at most (16 MB).
+BROADCAST_PARTS = 1_000_000
+#: What ``Encoder`` cuts like, as tokenizer files say it. A file that says anything else is asked for whole texts.
+NORMALISES = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+CUTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Characters up to U+017F whose lower case is one character up to there; nothing else changes them.
 _PLAIN = re.compile("[\\n\\r\\t -~\xa1-\xac\xae-įı-ſ]*")
+SPACE, LETTER, NUMBER, SIGN = range(4)
+
+
+def _kinds() -> np.ndarray:
+    kind = {"L": LETTER, "N": NUMBER, "Z": SPACE, "C": SPACE}
+    return np.array([kind.get(unicodedata.category(chr(c))[0], SIGN) for c in range(0x180)], np.uint8)
+
+
+_KIND = _kinds()
+_LOWER = np.array([ord(chr(c).lower()) if len(chr(c).lower()) == 1 else c for c in range(0x180)], np.uint32)
 
 
 def default_tokenizer() -> str:
@@ -58,6 +71,30 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def pretokens(code: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of what CUTS finds in plain lower-cased texts; fresh is True where a text begins."""
+    n = len(code)
+    kind = _KIND[code]
+    before = np.concatenate((np.zeros(1, np.uint8), kind[:-1]))
+    starts = (kind != SPACE) & (fresh | (kind != before) | (kind == NUMBER))
+    # a quote that begins a run of signs takes the letters of a contraction
+    quotes = np.flatnonzero(starts & (code == ord("'")))
+    padded = np.concatenate((code, np.zeros(2, code.dtype)))
+    new = np.concatenate((fresh, np.ones(2, bool)))
+    one, two = padded[quotes + 1], padded[quotes + 2]
+    pair = one.astype(np.int64) << 32 | two
+    short = np.isin(one, [ord(c) for c in "stmd"]) & ~new[quotes + 1]
+    long = np.isin(pair, [ord(a) << 32 | ord(b) for a, b in ("re", "ve", "ll")]) & ~new[quotes + 1] & ~new[quotes + 2]
+    taken = short | long
+    after = quotes[taken] + np.where(short[taken], 2, 3)
+    starts[quotes[taken] + 1] = False
+    after = after[after < n]
+    starts[after[kind[after] != SPACE]] = True
+    bounds = np.append(np.flatnonzero(starts | fresh | (kind == SPACE)), n)
+    starts = np.flatnonzero(starts)
+    return starts, bounds[bounds.searchsorted(starts, "right")]
+
+
 class Encoder:
     """The tokenizers library, asked once for each pre-token that is remembered; other texts go to it whole."""
 
@@ -65,31 +102,55 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        self.cuts = self._cuts(file)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a pre-token
         self.last[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
-        self.cache = SegmentCache(self._ask, 800_000)
+        self.added = re.compile("|".join(re.escape(x["content"]) for x in file["added_tokens"]) or r"(?!)")
+        self.cache = SegmentCache(self._ask)
+
+    @staticmethod
+    def _cuts(file: dict) -> bool:
+        """Whether the file's pre-tokens are those that ``pretokens`` finds, and stand for themselves."""
+        split, *rest = (file.get("pre_tokenizer") or {}).get("pretokenizers") or [None]
+        levels = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
+        model = file["model"]
+        return (
+            file.get("normalizer") == NORMALISES
+            and split == {"type": "Split", "pattern": {"Regex": CUTS}, "behavior": "Removed", "invert": True}
+            and len(rest) == 1
+            and levels.items() <= rest[0].items()
+            and file.get("post_processor") is None
+            and model.get("type") == "BPE"
+            and model.get("dropout") is None
+            and all(not x["lstrip"] and not x["rstrip"] and not x["single_word"] for x in file["added_tokens"])
+        )
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _ask(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if not any(s[0] == WHOLE for s in segments):
-            # between blanks a pre-token is encoded as it is alone, and its last id shows where it ends
-            ids = np.array(self._ids(" ".join(segments)), np.int32)
-            ends = np.flatnonzero(self.last[ids]) + 1
-            if len(ends) == len(segments):
-                return ids, np.diff(ends, prepend=0)
-        return flat([self._ids(s[1:] if s[0] == WHOLE else s) for s in segments])
+        # between blanks a pre-token is encoded as it is alone, and its last id shows where it ends
+        ids = np.array(self._ids(" ".join(segments)), np.int32)
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) == len(segments):
+            return ids, np.diff(ends, prepend=0)
+        return flat(list(map(self._ids, segments)))
 
-    @staticmethod
-    def split(text: str) -> list[str]:
-        if "<|" not in text and _PLAIN.fullmatch(text):
-            return _PRETOKEN.findall(text.lower())
-        return [WHOLE + text]
+    def plain(self, text: str) -> bool:
+        return self.cuts and bool(_PLAIN.fullmatch(text)) and not self.added.search(text)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        return encode_block(self.cache, texts, self.split)
+        """(ids of all texts in order, how many each has)."""
+        plain = list(map(self.plain, texts))
+        ids, counts = encode_block(self.cache, [t for t, p in zip(texts, plain) if p], pretokens, _LOWER)
+        if all(plain):
+            return ids, counts
+        own = iter(np.split(ids, counts.cumsum()[:-1]))
+        parts = [next(own) if p else np.array(self._ids(t), np.int32) for t, p in zip(texts, plain)]
+        return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
 
 
 def load(path: str) -> Encoder:
@@ -212,6 +273,19 @@ def _staged(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     return docs.mapInArrow(run, STAGED)
 
 
+def _unpacked(name: bytes, n: int, width: int, payload: bytes) -> np.ndarray:
+    """The ids of a chunk, compared with its name."""
+    import zstandard
+
+    try:
+        data = np.frombuffer(zstandard.ZstdDecompressor().decompress(payload), f"<u{width}").astype("<u4")
+    except (zstandard.ZstdError, ValueError) as error:
+        raise ValueError(f"chunk {name.hex()} cannot be read") from error
+    if len(data) != n or digest(data.tobytes()) != name:
+        raise ValueError(f"chunk {name.hex()} does not match its name")
+    return data
+
+
 class TokenStore:
     """The files below a root, in the workspace given."""
 
@@ -240,15 +314,17 @@ class TokenStore:
         self.space.few(staged.dropDuplicates(["kind", "key"])).write.partitionBy("kind").option("compression", "none").parquet(self.space.path("store"))
         found = self._read("store").where("kind = 'recipe'").select("doc_id", F.col("n").alias("n_tokens"), F.col("payload").alias("digests"))
         parts = max(1, found.count() // PART_DOCS)
-        ordered = found.repartitionByRange(parts, "doc_id", "digests").sortWithinPartitions("doc_id", "digests")
-        ordered = self.space.hold(ordered.withColumn("part", F.spark_partition_id()), "ordered")
-        sums = ordered.groupBy("part").agg(F.sum("n_tokens").alias("_ids"))
-        before = F.coalesce(F.sum("_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        inside = Window.partitionBy("part").orderBy("doc_id", "digests").rowsBetween(Window.unboundedPreceding, -1)
-        starts = ordered.join(F.broadcast(sums.select("part", before.alias("_before"))), "part")
+        ordered = found.repartitionByRange(parts, "doc_id", "digests").withColumn("_part", F.spark_partition_id())
+        ordered = self.space.hold(ordered, "ordered")
+        sums = ordered.groupBy("_part").agg(F.sum("n_tokens").alias("_ids"))
+        before = F.coalesce(F.sum("_ids").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        sums = sums.select("_part", before.alias("_before"))
+        inside = Window.partitionBy("_part").orderBy("doc_id", "digests").rowsBetween(Window.unboundedPreceding, -1)
+        starts = ordered.join(F.broadcast(sums) if parts <= BROADCAST_PARTS else sums, "_part")
         starts = starts.withColumn("start", F.col("_before") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
-        recipes = starts.select("part", "doc_id", "start", "n_tokens", "digests", F.unhex(F.sha2("digests", 256)).alias("recipe"))
-        self.space.hold(recipes, "recipes")
+        # ranges of starts, so that files follow each other as documents do
+        filed = starts.repartitionByRange(parts, "start").sortWithinPartitions("start").withColumn("part", F.spark_partition_id())
+        self.space.hold(filed.select("part", "doc_id", "start", "n_tokens", "digests", F.unhex(F.sha2("digests", 256)).alias("recipe")), "recipes", None)
         self.space.drop("ordered")
         self.space.hold(self._roots(), "manifest")
         return self
@@ -257,20 +333,26 @@ class TokenStore:
         def roots(rows: pa.Table) -> pa.Table:
             rows = rows.sort_by("start")
             root = merkle_root(rows["leaf"].to_pylist())
-            n = pa.array([rows.num_rows], pa.int64())
-            return pa.table({"part": rows["part"][:1], "n_docs": n, "n_tokens": pa.array([sum(rows["n_tokens"].to_pylist())], pa.int64()), "root": [root]})
+            starts, sizes = rows["start"].to_numpy(), rows["n_tokens"].to_numpy()
+            if (starts[0] + sizes.cumsum() != np.append(starts[1:], starts[0] + sizes.sum())).any():
+                raise ValueError("a document does not start where the one before it ends")
+            found = {"n_docs": rows.num_rows, "n_tokens": int(sizes.sum()), "start": int(starts[0])}
+            return pa.table({"part": rows["part"][:1], **{k: pa.array([v], pa.int64()) for k, v in found.items()}, "root": [root]})
 
         # the digests are hashed as read; the recipe's own digest stands beside, so that a change of either shows
         named = F.sha2("digests", 256)
         line = F.concat_ws(",", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "start", "n_tokens", named, F.coalesce(F.hex("recipe"), F.lit("null")))
         rows = self.recipes.select("part", "start", "n_tokens", F.encode(line, "utf-8").alias("leaf"))
-        return rows.groupBy("part").applyInArrow(roots, "part int, n_docs long, n_tokens long, root binary")
+        return rows.groupBy("part").applyInArrow(roots, FILES["manifest"])
 
     def verify(self) -> None:
-        """Raises if a recipe file does not give its part's root."""
+        """Raises if a recipe file does not give its part's root, or a part does not start where the one before ends."""
         both = self._roots().withColumn("_side", F.lit(1)).unionAll(self.manifest.withColumn("_side", F.lit(-1)))
-        if not both.groupBy("part", "n_docs", "n_tokens", "root").agg(F.sum("_side").alias("_left")).where("_left != 0").isEmpty():
+        if not both.groupBy("part", "n_docs", "n_tokens", "start", "root").agg(F.sum("_side").alias("_left")).where("_left != 0").isEmpty():
             raise ValueError("the recipes don't match the manifest")
+        before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        if not self.manifest.select("start", before.alias("_before")).where("start <> _before").isEmpty():
+            raise ValueError("a part does not start where the one before it ends")
 
     def _placed(self) -> DataFrame:
         """A row for each place of a chunk in a document."""
@@ -285,16 +367,8 @@ class TokenStore:
         """
 
         def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            import zstandard
-
-            expand = zstandard.ZstdDecompressor()
             for batch in batches:
-                crcs = []
-                for name, n, width, payload in zip(*(c.to_pylist() for c in batch.columns)):
-                    data = np.frombuffer(expand.decompress(payload), f"<u{width}").astype("<u4").tobytes()
-                    if len(data) != 4 * n or digest(data) != name:
-                        raise ValueError(f"chunk {name.hex()} does not match its name")
-                    crcs.append(zlib.crc32(data))
+                crcs = [zlib.crc32(_unpacked(*row)) for row in zip(*(c.to_pylist() for c in batch.columns))]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(crcs, pa.int64())], ["digest", "n_ids", "crc"])
 
         def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,19 +393,19 @@ class TokenStore:
         """(doc_id, start, ids) for each document, put together again from its chunks."""
 
         def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            import zstandard
-
-            expand = zstandard.ZstdDecompressor()
             for batch in batches:
-                out = [
-                    np.concatenate([np.frombuffer(expand.decompress(x["payload"]), f"<u{x['width']}").astype(np.int32) for x in parts])
-                    for parts in batch.column(2).to_pylist()
-                ]
+                out = []
+                for parts, n in zip(batch.column(3).to_pylist(), batch.column(2).to_pylist()):
+                    out.append(np.concatenate([_unpacked(x["digest"], x["n_ids"], x["width"], x["payload"]) for x in parts]).astype(np.int32))
+                    if len(out[-1]) != n:
+                        raise ValueError("a document's chunks do not have its number of ids")
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "start", "ids"])
 
-        places = self._placed().join(self.chunks, "digest")
-        docs = places.groupBy("start", "doc_id").agg(F.sort_array(F.collect_list(F.struct("at", "width", "payload"))).alias("parts"))
-        return docs.select("doc_id", "start", "parts").mapInArrow(joined, "doc_id long, start long, ids array<int>")
+        places = self._placed().join(self.chunks, "digest", "left")
+        payload = F.coalesce("payload", F.raise_error(F.lit("a chunk is missing")).cast("binary")).alias("payload")
+        parts = F.sort_array(F.collect_list(F.struct("at", "digest", "n_ids", "width", payload)))
+        docs = places.groupBy("start", "doc_id", "n_tokens").agg(parts.alias("parts"))
+        return docs.select("doc_id", "start", "n_tokens", "parts").mapInArrow(joined, "doc_id long, start long, ids array<int>")
 
 
 def store(docs: DataFrame, **options) -> TokenStore:

@@ -1,4 +1,5 @@
 import collections
+import pathlib
 import random
 import re
 import struct
@@ -199,6 +200,86 @@ def test_store_notices_changed_recipes(docs_of):
         store.digests().collect()
 
 
+def test_store_notices_changed_and_missing_chunks(docs_of):
+    words = " ".join(f"w{i * i % 9973}" for i in range(3000))
+    store = token_store.store(docs_of([(1, words), (2, "more text"), (3, "less text")]))
+    found = store._read("store").select("kind", "key", "doc_id", "n", "width", "payload")
+    rows, schema = [tuple(r) for r in found.collect()], found.schema
+    chunk = next(i for i, r in enumerate(rows) if r[0] == "chunk")
+    other = next(r for r in rows if r[0] == "chunk" and r[1] != rows[chunk][1])
+    changes = {
+        "does not match": [*rows[:chunk], (*rows[chunk][:5], other[5], *rows[chunk][6:]), *rows[chunk + 1 :]],
+        "cannot be read": [*rows[:chunk], (*rows[chunk][:5], b"no frame", *rows[chunk][6:]), *rows[chunk + 1 :]],
+        "missing": rows[:chunk] + rows[chunk + 1 :],
+    }
+    for said, changed in changes.items():
+        store.spark.createDataFrame(changed, schema).write.mode("overwrite").partitionBy("kind").parquet(store.space.path("store"))
+        for read in (store.digests, store.documents):
+            with pytest.raises(Exception, match=said):
+                read().collect()
+
+
+def test_files_follow_each_other(docs_of, monkeypatch):
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(token_store, "PART_DOCS", 20)
+    rng = random.Random(2)
+    rows = [(rng.randrange(1000), f"text {i}") for i in range(160)] + [(None, "x")] * 3
+    store = token_store.store(docs_of(rows).repartition(5))
+    store.verify()
+    folder = pathlib.Path(store.space.path("recipes").removeprefix("file://"))
+    files = [pq.read_table(f, columns=["part", "doc_id", "start", "n_tokens"]).to_pylist() for f in sorted(folder.glob("*.parquet"))]
+    found = [r for f in files for r in f]
+    assert len(files) >= 4 and all(len({r["part"] for r in f}) <= 1 for f in files)
+    assert [r["doc_id"] for r in found] == [None] * 3 + sorted(i for i, _ in rows if i is not None)
+    at = 0
+    for r in found:
+        assert r["start"] == at
+        at += r["n_tokens"]
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_any_tokenizer_gives_the_library_s_ids(name):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    library, own = Tokenizer.from_file(public_tokenizers.path(name)), token_store.Encoder(public_tokenizers.path(name))
+    assert own.cuts == name.startswith("word")
+    rng = random.Random(12)
+    parts = ["it", "'s", "'re", "''", "'", "'t", "start", "12", "²", " ", "\n", "\t ", "É", "ß", "İ", "ŉ", "中", "😀", "<|endoftext|>", "...", "'ll", "'LL", "x", "é"]
+    texts = ["", "a" * 5000, "'" * 9, "o'clock's'", "'s'", "'re've"] + ["".join(rng.choice(parts[:15]) for _ in range(rng.randint(1, 12))) for _ in range(800)]
+    texts += ["".join(rng.choice(parts) for _ in range(rng.randint(1, 12))) for _ in range(800)]
+    for first in range(0, len(texts), 300):
+        some = texts[first : first + 300]
+        ids, counts = own.encode(some)
+        ends = counts.cumsum()
+        for text, a, b in zip(some, ends - counts, ends):
+            assert ids[a:b].tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_segment_memory(monkeypatch):
+    from quillstream.llm import segments
+
+    asked = collections.Counter()
+
+    def encode(found):
+        asked.update(found)
+        return segments.flat([[ord(c) for c in x] for x in found])
+
+    cache = segments.SegmentCache(encode, 50)
+    rng = random.Random(1)
+    spaced = lambda code, fresh: (lambda s: (s, np.append(s[1:], len(code))[: len(s)]))(np.flatnonzero(fresh | (code == 32)))
+    for _ in range(60):
+        texts = [" ".join(rng.choice(["the", "of", f"w{rng.randrange(400)}"]) for _ in range(rng.randint(0, 20))) for _ in range(5)]
+        ids, counts = segments.encode_block(cache, texts, spaced)
+        assert ids.tolist() == [ord(c) for t in texts for c in t] and counts.tolist() == list(map(len, texts))
+        assert len(cache.keys) <= 50 + 110
+    assert asked[" the"] == 1  # what is asked for again stays
+    monkeypatch.setattr(segments, "_hashes", lambda code, a, b: (np.zeros(len(a), np.uint64), np.arange(len(a)).astype(np.uint64)))
+    ids, counts = segments.encode_block(segments.SegmentCache(encode, 50), ["one two", "three"], spaced)
+    assert ids.tolist() == [ord(c) for c in "one twothree"] and counts.tolist() == [7, 5]
+
+
 def test_crc_of_parts():
     rng = np.random.default_rng(3)
     parts = [[rng.bytes(rng.integers(0, 70_000)) for _ in range(n)] for n in (0, 1, 3, 7)]
