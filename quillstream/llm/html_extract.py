@@ -10,10 +10,12 @@ Pages carry no labels, so the trees learn from pages that ``synthetic_pages`` wr
 
 from __future__ import annotations
 
+import functools
 import html
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,19 +34,107 @@ BLOCKS = frozenset(
     " tfoot th thead tr ul head".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Never part of any text, whatever stands around them.
-UNSEEN = "script style textarea title noscript template iframe svg object math canvas audio video button datalist"
+#: Elements whose content is text up to their end tag, whatever stands in it; never part of any text here.
+RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
+#: Elements whose whole subtree is never part of any text.
+UNSEEN = frozenset("noscript template svg object math canvas audio video button datalist".split())
 #: An open element on the left ends where one on the right begins.
 _ENDS = {
     "p": BLOCKS - {"html", "body", "head"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot", "thead"},
     "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}, "option": {"option", "optgroup"},
     "head": {"body"},
 }
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + UNSEEN.replace(" ", "|") + r")\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?/][^>]*(?:>|\Z)|[^<]+|<",
-    re.S | re.I,
-)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+#: What ends a tag, or begins a quoted value in it.
+_IN_TAG = re.compile(r"=\s*([\"'])|>")
+TEXT_TOKEN, OPEN, CLOSE, DROPPED = range(4)
+
+
+def tokens(source: str) -> Iterator[tuple[int, str, str, bool]]:
+    """(kind, text or tag name, attributes, whether a slash ends the tag) of a page, in time linear in its length.
+
+    A quoted value ends at its quote, and a quote without a partner is a character like others. A tag that the page's end
+    cuts off is dropped. A raw element without an end tag, or one that a slash ends, has no content; scripts and styles
+    without an end tag reach to the page's end, as in browsers. A comment without an end is one up to the next '>'.
+    """
+    n, at = len(source), 0
+    low = source.lower() if source.isascii() else re.sub("[A-Z]", lambda m: m[0].lower(), source)
+    last = {q: source.rfind(q) for q in "\"'"}
+    ends: dict[str, int] = {}  # the next end tag of each raw element, as far as it was looked for
+    while at < n:
+        here = source.find("<", at)
+        if here != at:
+            here = n if here < 0 else here
+            yield TEXT_TOKEN, source[at:here], "", False
+            at = here
+            continue
+        m = _TAG.match(source, at)
+        if not m:
+            if source.startswith("<!--", at):
+                stop = at + 4 + (2 if source.startswith("->", at + 4) else 1) if source.startswith((">", "->"), at + 4) else source.find("-->", at + 4) + 3
+                stop = stop if stop > 2 else source.find(">", at) + 1
+            elif source.startswith(("<!", "<?", "</"), at):
+                stop = source.find(">", at) + 1
+            else:
+                yield TEXT_TOKEN, "<", "", False
+                at += 1
+                continue
+            at = stop or n
+            yield DROPPED, "", "", False
+            continue
+        stop = m.end()
+        while found := _IN_TAG.search(source, stop):
+            stop = found.end()
+            if not found[1]:
+                break
+            if last[found[1]] >= stop:
+                stop = source.index(found[1], stop) + 1
+        else:
+            return
+        tag, rest = m[2].lower(), source[m.end() : stop - 1]
+        closed = rest.endswith("/")
+        if m[1]:
+            yield CLOSE, tag, "", False
+        elif tag in RAW:
+            yield DROPPED, tag, "", False
+            if ends.get(tag, -1) < stop:
+                found = low.find(f"</{tag}", stop)
+                ends[tag] = found if found >= 0 else n
+            end = ends[tag]
+            code = tag in ("script", "style")
+            again = low.find(f"<{tag}", stop, end) if closed else -1
+            if closed and not (code and end < n and again < 0) or end == n and not code:
+                at = stop
+                continue
+            stop = source.find(">", end) + 1 or n
+        else:
+            yield OPEN, tag, rest, closed
+        at = stop
+
+
+def unseen_ends(found: list[tuple[int, str, str, bool]]) -> dict[int, int]:
+    """Where unseen elements end, by the place of their tag: at their end tag, else before the next block's tag."""
+    out: dict[int, int] = {}
+    waiting: dict[str, list[int]] = {}
+    for i, (kind, tag, _, closed) in enumerate(found):
+        if tag in UNSEEN and kind == OPEN:
+            if closed:
+                out[i] = i
+            else:
+                waiting.setdefault(tag, []).append(i)
+        elif tag in UNSEEN and kind == CLOSE and waiting.get(tag):
+            out[waiting[tag].pop()] = i
+    rest = sorted((i for own in waiting.values() for i in own), reverse=True)
+    if rest:
+        block = len(found)
+        for i in range(len(found) - 1, -1, -1):
+            if rest and i == rest[0]:
+                out[rest.pop(0)] = block - 1
+            if found[i][0] in (OPEN, CLOSE) and found[i][1] in BLOCKS:
+                block = i
+    return out
+
+
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _STOPS = re.compile(r"[.,;:!?]")
@@ -74,18 +164,14 @@ class Page:
 
     def _build(self, source: str) -> None:
         stack, link, run = [0], 0, 0  # run: the node that text goes to now
-        for m in _TOKEN.finditer(source):
-            tag = m["tag"]
-            if tag is None:
-                if m["raw"]:
-                    self.own_tags[stack[-1]] += 1
-                    self.controls[stack[-1]] += m["raw"].lower() in ("textarea", "button")
-                    continue
-                piece = m[0]
-                if piece[0] == "<" and len(piece) > 1:
-                    continue
-                if "&" in piece:
-                    piece = html.unescape(piece)
+        held: Counter[str] = Counter()  # open elements by tag
+        found = list(tokens(source))
+        ends = unseen_ends(found)
+        at = -1
+        while (at := at + 1) < len(found):
+            kind, tag, rest, _ = found[at]
+            if kind == TEXT_TOKEN:
+                piece = html.unescape(tag) if "&" in tag else tag
                 if run < 0:
                     if not piece.strip():
                         continue
@@ -94,11 +180,15 @@ class Page:
                 if link:
                     self.links[run] += len(piece.strip())
                 continue
-            tag = tag.lower()
+            if kind == DROPPED or kind == OPEN and tag in UNSEEN:
+                self.own_tags[stack[-1]] += tag != ""
+                self.controls[stack[-1]] += tag in ("textarea", "button")
+                at = ends.get(at, at)
+                continue
             if tag not in BLOCKS:
-                self.own_tags[stack[-1]] += not m["end"]
+                self.own_tags[stack[-1]] += kind == OPEN
                 if tag == "a":
-                    link = not m["end"]
+                    link = kind == OPEN
                 elif tag == "br":
                     if run >= 0:
                         self.texts[run].append(" ")
@@ -106,9 +196,10 @@ class Page:
                     self.controls[stack[-1]] += 1
                 continue
             link = 0
-            if m["end"]:
-                for depth in range(len(stack) - 1, 0, -1):
+            if kind == CLOSE:
+                for depth in range(len(stack) - 1, 0, -1) if held[tag] else ():
                     if self.tags[stack[depth]] == tag:
+                        held.subtract(self.tags[i] for i in stack[depth:])
                         del stack[depth:]
                         break
                     if self.tags[stack[depth]] in ("td", "th", "table") and tag not in ("table", "tr", "tbody", "body", "html"):
@@ -116,13 +207,14 @@ class Page:
                 run = -1
                 continue
             while len(stack) > 1 and tag in _ENDS.get(self.tags[stack[-1]], ()):
-                stack.pop()
+                held[self.tags[stack.pop()]] -= 1
             if tag == "hr":
                 run = -1
                 continue
-            found = _NAMES.findall(m["rest"]) if m["rest"] else ()
-            names = tuple(x.lower() for parts in found for x in _PARTS.findall(parts[0] or parts[1] or parts[2]))
+            named = _NAMES.findall(rest) if rest else ()
+            names = tuple(x.lower() for parts in named for x in _PARTS.findall(parts[0] or parts[1] or parts[2]))
             stack.append(self._open(tag, stack[-1], names))
+            held[tag] += 1
             run = stack[-1]
         for i, parts in enumerate(self.texts):
             self.texts[i] = " ".join("".join(parts).split())
@@ -248,7 +340,7 @@ NAMES = {
     "form": "form newsletter subscribe signup login search search-form contact-form feedback register".split(),
     "comments": "comments comment comment-list discussion disqus replies responses respond reader-comments user-comments thread".split(),
     "share": "share social sharing share-buttons tools tags meta byline-tools print follow".split(),
-    "content": "content article post entry entry-content article-body post-content story story-body main main-content text body-text page-content markdown hentry".split(),
+    "content": "content article post entry entry-content article-body post-content story story-body main main-content text body-text page-content markdown hentry document documentation".split(),
     "neutral": "container wrapper row col inner wrap box section block group page layout grid clearfix".split(),
 }
 _TAGS = {
@@ -258,6 +350,10 @@ _TAGS = {
 }
 
 
+#: Landmark roles that pages give to each kind of block.
+ROLES = {"menu": "navigation", "header": "banner", "footer": "contentinfo", "sidebar": "complementary", "form": "search", "content": "main"}
+
+
 def synthetic_pages(n: int, seed: int = 9) -> Iterator[tuple[str, str]]:
     """(html, main text) of invented pages: several layouts, named and unnamed blocks, closed and unclosed tags."""
     rng = random.Random(seed)
@@ -283,6 +379,8 @@ def synthetic_pages(n: int, seed: int = 9) -> Iterator[tuple[str, str]]:
         if rng.random() > sure:
             return ""
         names = [rng.choice(NAMES[kind])] + [rng.choice(NAMES["neutral"])] * (rng.random() < 0.2)
+        if kind in ROLES and rng.random() < 0.15:
+            return f' role="{ROLES[kind]}"' + f' class="{names[0]}"' * (rng.random() < 0.5)
         return f' {rng.choice(("class", "class", "id"))}="{" ".join(names)}"'
 
     def link(text: str) -> str:
@@ -339,13 +437,20 @@ def synthetic_pages(n: int, seed: int = 9) -> Iterator[tuple[str, str]]:
                     out += "<ul>" + "".join(own(prose(1, 20), "<li>", "</li>") for _ in range(rng.randint(1, 5))) + "</ul>"
                 elif kind < 0.9:
                     out += own(prose(4, 40), "<blockquote>", "</blockquote>")
-                elif kind < 0.93:
-                    out += "<table><tr>" + "".join(own(prose(1, 4), "<td>", "</td>") for _ in range(4)) + "</tr></table>"
+                elif kind < 0.92:
+                    head = "<thead><tr>" + "".join(own(prose(1, 3), "<th>", "</th>") for _ in range(2)) + "</tr></thead>" if rng.random() < 0.4 else ""
+                    out += f"<table>{head}<tr>" + "".join(own(prose(1, 4), "<td>", "</td>") for _ in range(4)) + "</tr></table>"
+                elif kind < 0.935:
+                    out += "<dl>" + "".join(own(prose(1, 2), "<dt>", "</dt>") + own(prose(2, 14), "<dd>", "</dd>") for _ in range(rng.randint(1, 4))) + "</dl>"
+                elif kind < 0.945:
+                    out += own(prose(3, 20), *rng.choice((("<pre>", "</pre>"), ("<pre><code>", "</code></pre>"), ("<figure><img src=x><figcaption>", "</figcaption></figure>"))))
                 else:
                     out += boilerplate(rng.choice(("advert", "share", "notice", "form", "sidebar")))
             return out
 
         inner = content()
+        if rng.random() < 0.12:  # chapters in sections
+            inner = "".join(f"<section{' id=' + word() if rng.random() < 0.5 else ''}>{x}</section>" for x in (inner, *(content() for _ in range(rng.randint(0, 3)))) if x)
         if not parts:
             inner += own(prose(3, 80), "<p>", "</p>")
         shape = rng.random()
@@ -383,8 +488,9 @@ def _truth(page: Page, main: str) -> np.ndarray:
     return out
 
 
+@functools.lru_cache(maxsize=4)
 def train(pages: int = 4000, seed: int = 9) -> Model:
-    """Trees from invented pages; the same for equal arguments."""
+    """Trees from invented pages; the same for equal arguments, and kept while the driver runs."""
     made = [(Page(source), main) for source, main in synthetic_pages(pages, seed)]
     truth = [_truth(p, main) for p, main in made]
     half = len(made) // 2  # tokens are counted on other pages than those that the trees see
@@ -400,7 +506,10 @@ def extract(pages: DataFrame, model: Model, id_col: str = "page_id", url_col: st
     """SCHEMA for each row of pages.
 
     Null and empty pages, and pages without main text, have the empty text. Unclosed and stray tags are put right as
-    browsers do, by and large; a page cut off anywhere is read as far as it goes. Ids and urls may be null or repeated.
+    browsers do, by and large; a page cut off anywhere is read as far as it goes, and what an element without an end tag
+    hides ends at the next block. Ids and urls may be null or repeated; equal pages have equal results. Of equally likely
+    labellings the one with less text is taken. A page costs time and memory in proportion to its length; other columns
+    are not read.
     """
     sent = pages.sparkSession.sparkContext.broadcast(model)  # a fixed number of trees and a word list of NAMES' size
 

@@ -54,6 +54,10 @@ def test_shards(docs_of, awkward, nothing):
     assert (got["text_crc32"] == [zlib.crc32(f"text {i}".encode()) for i in got["doc_id"]]).all()
     again = sharding.shard(docs_of(rows).repartition(7), 40).toPandas()
     assert dict(zip(got["doc_id"], got["shard"])) == dict(zip(again["doc_id"], again["shard"]))
+    # a third of the rows without an id: they are dealt over buckets like others
+    loose = sharding.shard(docs_of([(None if i % 3 == 0 else i, f"text {i}", "en", "hot") for i in range(9000)]), 4).toPandas()
+    assert loose.groupby("shard").size().tolist() == [2250] * 4 and (loose.sort_values(["shard", "slot"])["slot"] == [i % 2250 for i in range(9000)]).all()
+    assert loose["doc_id"].isna().groupby(loose["shard"]).sum().between(650, 850).all()
     few = sharding.shard(awkward, 40).toPandas()
     assert len(few) == 11 and few["size"].min() == 16 and set(few["slot"]) == {0}
     assert sharding.shard(nothing).count() == 0

@@ -20,7 +20,7 @@ def plain(rows, items, window=10):
             for s in range(len(w) - len(x) + 1):
                 if tuple(w[s : s + len(x)]) == x:
                     hit |= set(range(s, s + len(x)))
-                    named.add(str(item))
+                    named.add("null" if item is None else str(item))
         out.append((i, len(w), len(hit), len(named), hashlib.sha256(",".join(sorted(named)).encode()).hexdigest(), bool(hit)))
     return sorted(out, key=repr)
 
@@ -29,10 +29,10 @@ def test_decontamination_by_brute_force(spark, docs_of):
     rng = random.Random(5)
     words = [f"w{i}" for i in range(40)] + ["É", "é", "Ab", "aB", "the", "the"]
     passage = lambda n: " ".join(rng.choice(words) for _ in range(n))
-    items = [(i, passage(rng.choice((1, 2, 3, 9, 10, 11, 25)))) for i in range(20)] + [(90, None), (91, ""), (92, "..."), (5, "w1 w2")]
+    items = [(i, passage(rng.choice((1, 2, 3, 9, 10, 11, 25)))) for i in range(20)] + [(90, None), (91, ""), (92, "..."), (5, "w1 w2"), (None, "w3 w4 w5"), (None, "w6 w7")]
     known = [t for _, t in items if t]
     rows = [(i, passage(rng.randint(0, 30)) + rng.choice(" .,-") + rng.choice(known).upper() * (i % 3 == 0)) for i in range(60)]
-    rows += [(100, None), (101, ""), (102, "..w1!"), (103, items[0][1]), (103, items[0][1])]
+    rows += [(100, None), (101, ""), (102, "..w1!"), (103, items[0][1]), (103, items[0][1]), (104, "w3 w4 w5 w1 w2"), (None, "w6 w7"), (None, "w8"), (105, "x" * 200_000 + " w1 w2")]
     table = spark.createDataFrame(items, "item_id long, text string")
     for most in (decontaminate.BROADCAST_ROWS, 0):  # both joins
         got = decontaminate.decontaminate(docs_of(rows), table, broadcast_rows=most).collect()

@@ -1,6 +1,11 @@
+import pathlib
 import random
+import re
+from html import unescape
 
 import numpy as np
+import pytest
+from html_pages import PAGES
 from pyspark.sql import functions as F
 
 from quillstream.llm import compression_classifier as cc
@@ -118,6 +123,75 @@ def test_extraction(spark):
     assert html.extract(df.where("page_id = 99"), model).count() == 0
 
 
+@pytest.mark.parametrize("name", PAGES)
+def test_pages_written_by_hand(name):
+    source, main = PAGES[name]
+    assert html.train().extract([source]) == [main]
+
+
+def test_nothing_else_is_lost():
+    texts = lambda source: [t for t in html.Page(source).texts if t]
+    for source, want in [
+        ('<p>a <svg class="i"/> b</p><p>second</p>', ["a b", "second"]),
+        ("<p>a <svg width=1 /> b<p>second<textarea/> third", ["a b", "second third"]),
+        ("<p>one <button>Go<p>two</p><p>three", ["one", "two", "three"]),
+        ("<p>x <svg><g><text>no</text></g></svg> y<p>z", ["x y", "z"]),
+        ("<video src=v>no<p>no</p></video><p>yes", ["yes"]),
+        ("<canvas>no <p>yes</p><object>no</object> too", ["yes", "too"]),
+        ("<script src=a /><p>kept</p><script>no</script>", ["kept"]),
+        ("<script>if (a < b) '</p>'</script >kept", ["kept"]),
+        ("<title>t<p>x", ["t", "x"]),
+        ("<p title=don't>it's</p><p>b", ["it's", "b"]),
+        ("<p title='a>b'>c<p title=\"d>e'>f", ["c", "f"]),
+        ("a<!-- x <p>--> b<!-->c<!--->d<!-- open >e", ["a bcde"]),
+        ("1 < 2 <3 &lt;b&gt; &amp;amp; &#xe9; <br>\n x", ["1 < 2 <3 <b> &amp; é x"]),
+        ("<p>a <b", ["a"]),
+    ]:
+        assert texts(source) == want, source
+
+
+def test_time_grows_with_the_page():
+    import time
+
+    # the longer page of broken tags is no slower than in proportion, with room for a busy machine
+    for part in ('<a x="', "<a x='\"", "<svg>", "<button><p>", "<script/>", "<!--", "<", "<title>", '<p title="a>', "<div>", "<b"):
+        took = []
+        for n in (4_000, 64_000):
+            began = time.perf_counter()
+            html.Page(part * n + "</section>" * n)
+            took.append(time.perf_counter() - began)
+        assert took[1] < 60 * took[0] + 0.5, (part, took)
+
+
+def test_pages_of_the_tables(spark):
+    """The article of each page, cut out by its tags, against what the trees keep."""
+    folder = pathlib.Path("/root/testdata/sf0.001")
+    if not folder.exists():
+        pytest.skip("no tables here")
+
+    def article(source):
+        inner = re.search(r"<article>(.*?)</article>", source, re.S)[1].replace("<br>", " ")
+        parts = [unescape(re.sub(r"<[^>]*>", "", x)).split() for x in re.split(r"</?(?:p|h1)>", inner)]
+        return " ".join(" ".join(p) for p in parts if p)
+
+    rows = html.extract(spark.read.parquet(f"{folder}/pages.parquet"), html.train()).collect()
+    want = {r["page_id"]: article(r["html"]) for r in spark.read.parquet(f"{folder}/pages.parquet").collect()}
+    assert len(rows) == len(want) and sum(r["text"] == want[r["page_id"]] for r in rows) >= 0.98 * len(rows)
+
+
+def test_held_out_rows_of_the_tables(spark):
+    folder = pathlib.Path("/root/testdata/sf0.01")
+    if not folder.exists():
+        pytest.skip("no tables here")
+    docs, labels = (spark.read.parquet(f"{folder}/{x}.parquet") for x in ("documents", "labels"))
+    found = crf.identify(docs, crf.fit(docs)).where("held_out").join(docs.select("doc_id", "lang"), "doc_id").where("lang is not null and n_words > 0")
+    right = found.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0]
+    assert right >= 0.98, right
+    found = cc.classify(docs, cc.fit(docs, labels)).where("held_out").join(labels, "doc_id").groupBy("quality").agg(F.avg("predicted")).collect()
+    share = {r[0]: r[1] for r in found}
+    assert share[1] >= 0.9 and share[0] <= 0.25, share
+
+
 def test_decoding_has_no_contradiction():
     rng = random.Random(1)
     for _ in range(200):
