@@ -107,14 +107,16 @@ def decontaminate(
 
     Words are runs of ASCII digits, letters (A-Z lowered) and characters beyond ASCII. n_hit counts a document's words
     inside any occurrence of a window, n_items the items with such windows. Null or wordless texts: zeros, the digest of
-    nothing, not contaminated; null or wordless items: no window. Repeated rows are told apart by id and text, so equal
+    nothing, not contaminated; null or wordless items: no window. An item without an id hits words like others, and
+    counts and is named as the item "null"; items that share an id count once. Repeated rows are told apart by id and text, so equal
     rows get equal results, one each; a null id is an id. An empty table of items leaves every document clean. Other
     columns are not read.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), *keep)
-    key = F.struct("doc_id", F.xxhash64("_text"), F.octet_length("_text"))
-    keyed = rows.select(F.xxhash64(key).alias("_key"), split_text(F.col("_text")).alias("_words"))
-    base = rows.select(F.xxhash64(key).alias("_key"), "doc_id", *keep, split_text(F.col("_text")).alias("_parts"))
+    # the id itself and not only a hash: texts of different ids are never taken for one
+    key = F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.col("doc_id").isNull().alias("none"), F.xxhash64("_text").alias("hash"), F.octet_length("_text").alias("size"))
+    keyed = rows.select(key.alias("_key"), split_text(F.col("_text")).alias("_words"))
+    base = rows.select(key.alias("_key"), "doc_id", *keep, split_text(F.col("_text")).alias("_parts"))
     base = base.select("_key", "doc_id", *keep, n_words(F.col("_parts")).alias("n_words"))
     hits = matches(keyed, item_windows(items, window, item_id, item_text), broadcast_rows)
     none = F.sha2(F.lit(""), 256)
@@ -125,7 +127,7 @@ def decontaminate(
     spans = hits.select("_key", "first", (F.col("first") + F.col("n")).alias("end")).distinct()
     new = F.greatest(F.lit(0), F.col("end") - F.greatest("first", F.coalesce(F.max("end").over(before), F.lit(0))))
     hit = spans.withColumn("_new", new).groupBy("_key").agg(F.sum("_new").alias("n_hit"))
-    named = hits.groupBy("_key").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("_items"))
+    named = hits.groupBy("_key").agg(F.sort_array(F.collect_set(F.coalesce(F.col("item_id").cast("string"), F.lit("null")))).alias("_items"))
     return base.join(hit, "_key", "left").join(named, "_key", "left").select(
         "doc_id",
         *keep,

@@ -76,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_quality_classifier, op8_token_store, op9_html_extraction, op10_sentencepiece,
     )
 }
+_BLANK_WORD = r"[^\x20\x09-\x0D]+"
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -97,9 +98,20 @@ WITH RECURSIVE steps(i, k, c) AS (
   UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM steps WHERE k < 8),
 crcs AS (SELECT list(c ORDER BY i) AS t FROM steps WHERE k = 8),
 bytes AS (SELECT doc_id, source, coalesce(text, '') AS body, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT) AS b FROM documents),
-sized AS (SELECT doc_id, source, strlen(body) + 16 AS size, xor(list_reduce(list_prepend(4294967295, b), lambda a, x: xor(t[(xor(a, x) & 255) + 1], a >> 8)), 4294967295) AS text_crc32, md5('17|' || doc_id) AS key FROM bytes, crcs),
+hashed AS (SELECT doc_id, source, body, xor(list_reduce(list_prepend(4294967295, b), lambda a, x: xor(t[(xor(a, x) & 255) + 1], a >> 8)), 4294967295) AS text_crc32 FROM bytes, crcs),
+sized AS (SELECT doc_id, source, strlen(body) + 16 AS size, text_crc32, md5('17|' || coalesce(doc_id::VARCHAR, 'null') || '|' || text_crc32 || '|' || (strlen(body) + 16)) AS key FROM hashed),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY key, doc_id, size, text_crc32) - 1 AS r, count(*) OVER (PARTITION BY source) AS n, count(*) OVER () AS total FROM sized),
 placed AS (SELECT *, row_number() OVER (ORDER BY (2 * r + 1) / (2.0::DOUBLE * n), source, r) - 1 AS pos FROM ranked)
 SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, source, 'rows' AS law, (pos * {SHARDS} // total)::INT AS shard,
   (pos - (pos * {SHARDS} // total * total + {SHARDS} - 1) // {SHARDS})::BIGINT AS slot, NULL::INT AS grown_shard FROM placed""",
+    # every pair of documents with a shingle in common, then everything that is reachable: for small tables
+    "op6_near_dedup": f"""
+WITH RECURSIVE docs AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_BLANK_WORD}') AS words FROM documents),
+sets AS (SELECT DISTINCT doc_id, words[s + 1:s + 5] AS shingle FROM docs, unnest(range(greatest(1, len(words)::BIGINT - 4))) AS r(s) WHERE len(words) > 0),
+sizes AS (SELECT doc_id, count(*)::BIGINT AS n FROM sets GROUP BY doc_id),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM sets a JOIN sets b USING (shingle) WHERE a.doc_id <> b.doc_id GROUP BY x, y),
+links AS (SELECT x, y FROM common JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * shared >= 75 * (p.n + q.n - shared)),
+reached AS (SELECT doc_id AS x, doc_id AS y FROM docs UNION SELECT r.x, l.y FROM reached r JOIN links l ON r.y = l.x),
+roots AS (SELECT x AS doc_id, min(y) AS component_id FROM reached GROUP BY x)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM roots LEFT JOIN sizes USING (doc_id)""",
 }
