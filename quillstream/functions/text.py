@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+# What counts as a token, a segment, a Roman numeral, an identifier and a separator.
 #: A token is a run of ASCII digits, a run of ASCII letters, or one other character that is no white space.
 TOKEN = r"([0-9]+|[A-Za-z]+|\S)"
 SEGMENT = r"([0-9]+|[A-Za-z]+)"
@@ -24,15 +25,11 @@ def _nfkc(texts: pd.Series) -> pd.Series:
 
 
 def normalised(df: DataFrame, text_col: str, out: str = "text") -> DataFrame:
-    """Adds the text in compatibility composition, stripped. Only distinct texts beyond ASCII go through Python.
-
-    Null gives the empty text. The rare texts are joined back, so rows of plain text never leave the JVM.
-    """
+    """Adds the text in compatibility composition, stripped. Only texts beyond ASCII are read by Python; null gives ''."""
     plain = F.coalesce(F.col(text_col), F.lit(""))
     beyond = F.octet_length(plain) != F.length(plain)
-    odd = df.where(beyond).select(F.col(text_col).alias("_raw")).distinct().withColumn("_normal", _nfkc("_raw"))
-    joined = df.join(odd, df[text_col] == odd["_raw"], "left")
-    return joined.withColumn(out, stripped(F.coalesce("_normal", plain))).drop("_raw", "_normal")
+    # the worker gets nulls for plain texts
+    return df.withColumn(out, stripped(F.coalesce(_nfkc(F.when(beyond, plain)), plain)))
 
 
 def stripped(text: Column) -> Column:

@@ -73,18 +73,20 @@ def decide(scored: DataFrame, settings: Resolution) -> DataFrame:
 def resolve(parsed: DataFrame, vocabulary: DataFrame, settings: Resolution) -> DataFrame:
     """parsed (exam_id, kind, variants, ...) with COLUMNS and is_confusable; null where there is nothing to resolve.
 
-    Texts repeat far more often than they differ: distinct variant lists are scored once, then joined back.
+    Texts repeat far more often than they differ: distinct variant lists are scored once, then joined back. Rows without
+    a reading join on a key of their own, so that they do not meet in one task.
     """
-    name = F.when(F.col("kind") == "MARKER", F.xxhash64("exam_id", F.transform("variants", lambda v: F.concat(text.key(v["segments"]), F.lit("/"), v["noise_stripped"], F.lit("/"), v["trimmed"]))))
-    marked = parsed.withColumn("reading", name)
-    readings = marked.where("reading is not null").select("reading", "exam_id", "variants").dropDuplicates(["reading"])
-    found = decide(scores(readings, vocabulary, settings), settings)
+    name = F.xxhash64("exam_id", F.transform("variants", lambda v: F.concat(text.key(v["segments"]), F.lit("/"), v["noise_stripped"], F.lit("/"), v["trimmed"])))
+    simple = [c for c, kind in parsed.dtypes if kind in ("string", "int", "bigint", "boolean")]
+    marked = parsed.withColumn("_is", F.col("kind") == "MARKER").withColumn("reading", F.when(F.col("_is"), name).otherwise(F.xxhash64(*simple)))
+    readings = marked.where("_is").select("reading", "exam_id", "variants").dropDuplicates(["reading"])
+    found = decide(scores(readings, vocabulary, settings), settings).withColumn("_is", F.lit(True))
     unsure = vocabulary.where(F.size("confusable_with") > 0).select("exam_id", F.col("canonical").alias("question"), F.lit(True).alias("is_confusable"))
-    out = marked.join(found, "reading", "left").join(_small(unsure), ["exam_id", "question"], "left")
+    out = marked.join(found, ["reading", "_is"], "left").join(_small(unsure), ["exam_id", "question"], "left")
     some = (F.col("kind") == "MARKER") & F.col("outcome").isNull()  # a list without targets
     return (
         out.withColumn("is_confusable", F.coalesce("is_confusable", F.lit(False)))
         .withColumn("outcome", F.when(some, "NO_MATCH").otherwise(F.col("outcome")))
         .withColumn("method", F.coalesce("method", F.lit("NONE")))
-        .drop("reading")
+        .drop("reading", "_is")
     )

@@ -23,12 +23,32 @@ def identifiers(spark: SparkSession) -> DataFrame:
     return vocabulary.build(spark.createDataFrame(rows, VOCABULARY_ENTRIES))
 
 
+#: Forms of stand-in texts, picked by l_partkey % 12: six plain ones of head, number and tail, and six odd ones.
+_HEADS = ("Ans ", "Q.No ", "s ", "", "Section ", "QNo")
+_TAILS = (")", ".", "", " From")
+_SUBS = ("(b)(1)", "(ii)", "-a", "(a) (xii)", ".1.2", " or 7", "(b)(ii)", "[c]iv")
+_LONE = ("Q", "Ans", "Section", "Name", "---", "", "Q.No.", "xQ")
+_BEYOND = ("é ", "→", "“", "日 ")
+_MISREAD = ("l", "O", "I", "S", "z")
+
+
+def _pick(values: tuple[str, ...], at: str):
+    return F.get(F.array(*map(F.lit, values)), F.col(at) % len(values))
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observations from lineitem: a page for each order."""
     df = table(spark, sf_dir, "lineitem")
-    heads = F.array(*map(F.lit, ("Ans ", "Q.No ", "s ", "", "Section ", "QNo")))
-    tails = F.array(*map(F.lit, (")", ".", "", " From")))
-    raw = F.concat(F.get(heads, F.col("l_orderkey") % 6), (F.col("l_partkey") % 60).cast("string"), F.get(tails, F.col("l_suppkey") % 4))
+    form, number = F.col("l_partkey") % 12, (F.col("l_partkey") % 60).cast("string")
+    raw = (
+        F.when(form == 6, F.concat(number, _pick(_SUBS, "l_suppkey")))
+        .when(form == 7, _pick(_LONE, "l_suppkey"))
+        .when(form == 8, F.concat((F.col("l_partkey") * 37 % 100_000).cast("string"), _pick(_TAILS, "l_suppkey")))
+        .when(form == 9, F.concat(_pick(_BEYOND, "l_suppkey"), number))
+        .when(form == 10, F.concat(F.lit("1"), number, F.lit("(a)")))
+        .when(form == 11, F.concat((F.col("l_partkey") % 6).cast("string"), _pick(_MISREAD, "l_suppkey"), F.lit("(b)")))
+        .otherwise(F.concat(_pick(_HEADS, "l_orderkey"), number, _pick(_TAILS, "l_suppkey")))
+    )
     return df.select(
         F.concat(F.lit("S"), (F.col("l_orderkey") % 500).cast("string")).alias("script_id"),
         F.lit("EXAM").alias("exam_id"),
@@ -41,10 +61,16 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-LINES = """
+def _picked(values: tuple[str, ...], at: str) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + f"][({at} % {len(values)} + 1)::INT]"
+
+
+LINES = f"""
 lines AS (
   SELECT 'S' || (l_orderkey % 500) AS script_id, 'EXAM' AS exam_id, (l_orderkey // 500)::INT AS page_index, (l_linenumber * 100000 + l_partkey % 100000)::INT AS candidate_pos,
-    ['Ans ', 'Q.No ', 's ', '', 'Section ', 'QNo'][(l_orderkey % 6 + 1)::INT] || (l_partkey % 60) || [')', '.', '', ' From'][(l_suppkey % 4 + 1)::INT] AS raw,
+    CASE l_partkey % 12 WHEN 6 THEN (l_partkey % 60) || {_picked(_SUBS, "l_suppkey")} WHEN 7 THEN {_picked(_LONE, "l_suppkey")} WHEN 8 THEN (l_partkey * 37 % 100000) || {_picked(_TAILS, "l_suppkey")}
+      WHEN 9 THEN {_picked(_BEYOND, "l_suppkey")} || (l_partkey % 60) WHEN 10 THEN '1' || (l_partkey % 60) || '(a)' WHEN 11 THEN (l_partkey % 6) || {_picked(_MISREAD, "l_suppkey")} || '(b)'
+      ELSE {_picked(_HEADS, "l_orderkey")} || (l_partkey % 60) || {_picked(_TAILS, "l_suppkey")} END AS raw,
     (60 + l_orderkey % 41) / 100.0::DOUBLE AS recognition_confidence,
     ((l_partkey % 3) * 5)::INT AS x, (235 + 74 * l_linenumber + l_partkey % 7)::INT AS y, (20 + l_partkey % 80)::INT AS width, (30 + l_suppkey % 50)::INT AS height,
     (50 + l_suppkey % 50) / 100.0::DOUBLE AS detection_confidence

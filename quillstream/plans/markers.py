@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillstream import __version__
 from quillstream.config import Settings
 from quillstream.functions import distance, geometry, text
-from quillstream.operators import gate, grammar, resolve, start
+from quillstream.operators import gate, grammar, read, start
 
 PREPROCESSING_VERSION = f"quillstream-{__version__}/layout-1/ink-1"
 PARSER_VERSION = f"quillstream-{__version__}"
@@ -59,10 +59,9 @@ def classified(observations: DataFrame, pages: DataFrame, vocabulary: DataFrame,
     df = df.withColumn("position_valid", valid).withColumn("_inside", inside)
     df = df.withColumn("recognition_confidence_raw", F.col("recognition_confidence"))
     df = df.withColumn("recognition_confidence", distance.calibrated(F.col("recognition_confidence_raw"), calibration or []))
-    df = grammar.parse(text.normalised(df, "raw"), settings.grammar, grammar.at_edge(F.col("box")["x"], F.col("dpi")))
+    df = read.read(df, vocabulary, settings, grammar.at_edge(F.col("box")["x"], F.col("dpi")))
     odd = gate.implausible(F.coalesce("raw", F.lit("")), F.col("box")["width"], F.col("box")["height"], settings.detection)
     df = df.withColumn("discard_reason", gate.discarded(F.col("_inside"), F.col("kind"), odd)).drop("_inside")
-    df = resolve.resolve(df, vocabulary, settings.resolution)
     df = gate.header_tokens(df, settings.grammar)
     df = start.next_band(df.withColumn("discard_reason", F.when(F.col("is_header"), "HEADER_TOKEN").otherwise(F.col("discard_reason"))))
     df = df.withColumn("flags", text.in_order_once(F.col("parse_flags"), F.coalesce("resolution_flags", F.array().cast("array<string>"))))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillstream.config import Detection, Gate, Grammar, Layout, Region, Resolution, Settings, Start
 from quillstream.functions import distance, geometry, text
-from quillstream.operators import consolidate, detect, gate, grammar, layout, resolve, start, vocabulary
+from quillstream.operators import consolidate, detect, gate, grammar, layout, read, resolve, start, vocabulary
 from quillstream.plans import adapters, markers, report
 from quillstream.plans.adapters import BOXES, DPI, LINES, SHEETS, TURNS, table
 from quillstream.schema import VOCABULARY_ENTRIES
@@ -754,8 +754,7 @@ def flagship(spark, sf_dir):
     """Order priorities as markers, parsed, resolved and gated; every one has trailing text. 1 is a parent, so no target."""
     df = table(spark, sf_dir, "orders")
     df = df.select(F.col("o_orderpriority").alias("raw"), F.lit("EXAM").alias("exam_id"), ((70 + F.col("o_orderkey") % 31) / F.lit(100.0)).alias("recognition_confidence"))
-    parsed = grammar.parse(df, Grammar(), F.lit(False), "raw")
-    rows = resolve.resolve(parsed, adapters.identifiers(spark), _SETTINGS)
+    rows = read.read(df, adapters.identifiers(spark), Settings(), F.lit(False))
     rows = rows.withColumn("flags", text.in_order_once(F.col("parse_flags"), F.coalesce("resolution_flags", F.array().cast("array<string>"))))
     known = {"discard_reason": F.lit(None).cast("string"), "position_valid": F.lit(True), "landmarks_found": F.lit(True), "is_colour": F.lit(True), "start_method": F.lit("LANDMARK_LINE"), "start_confidence": F.lit(0.95)}
     rows = gate.decide(rows.withColumns(known), Gate())
