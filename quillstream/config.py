@@ -90,6 +90,7 @@ class Detection:
     merge_gap_mm: float = 6.0
     padding_mm: float = 1.0
     max_single_aspect: float = 1.3
+    method: str = "margin_components"
     tile_lines: int = 4
     tile_overlap: int = 1
     nms_iou: float = 0.3
@@ -97,14 +98,17 @@ class Detection:
     def __post_init__(self) -> None:
         # merging by islands equals greedy merging only for gaps of 0 or more
         _check(self.merge_gap_mm >= 0, "merge_gap_mm must not be negative")
+        _check(self.tile_overlap < self.tile_lines, "tiles must be longer than their overlap")
 
 
 @dataclass(frozen=True)
 class Layout:
-    min_rule_share: float = 0.25
-    min_line_share: float = 0.30
+    max_rule_x_share: float = 0.25
+    min_rule_share: float = 0.30
+    edge_mm: float = 1.0
+    max_header_share: float = 0.20
+    min_line_share: float = 0.25
     rule_width_mm: float = 1.0
-    max_rule_x_share: float = 0.20
     min_pitch_mm: float = 6.0
     max_pitch_mm: float = 13.0
     min_lines: int = 5

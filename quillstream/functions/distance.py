@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstream.config import Resolution
@@ -70,3 +73,57 @@ def calibrated(raw: Column, points: list[tuple[float, float]]) -> Column:
         if x1 > x0:
             out = out.when(raw <= x1, y0 + (raw - x0) * ((y1 - y0) / (x1 - x0)))
     return out.otherwise(F.lit(float(points[-1][1])))
+
+
+#: Costs that a re-estimated confusion may have.
+LEAST_COST, MOST_COST = 0.1, 1.0
+ALIGNED = "observed string, expected string"
+
+
+def _aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Characters of observed and expected texts side by side on a cheapest path of unit costs; '' for none."""
+    for df in batches:
+        out: list[tuple[str, str]] = []
+        for seen, wanted in zip(df["observed"], df["expected"]):
+            seen, wanted = (seen or "").lower(), (wanted or "").lower()
+            costs = [list(range(len(wanted) + 1))]
+            for i, c in enumerate(seen, 1):
+                row = [i]
+                for j, d in enumerate(wanted, 1):
+                    row.append(min(costs[-1][j - 1] + (c != d), costs[-1][j] + 1, row[-1] + 1))
+                costs.append(row)
+            i, j = len(seen), len(wanted)
+            while i or j:
+                if i and j and costs[i][j] == costs[i - 1][j - 1] + (seen[i - 1] != wanted[j - 1]):
+                    i, j = i - 1, j - 1
+                    out.append((seen[i], wanted[j]))
+                elif i and costs[i][j] == costs[i - 1][j] + 1:
+                    i -= 1
+                    out.append((seen[i], ""))
+                else:
+                    j -= 1
+                    out.append(("", wanted[j]))
+        yield pd.DataFrame(out, columns=["observed", "expected"])
+
+
+def estimated_confusions(pairs: DataFrame, least: int = 5) -> DataFrame:
+    """(observed, expected, n, cost) from pairs of texts (observed, expected): how often a character was read for another.
+
+    The cost falls from MOST_COST as the share of the observed character that meant the other grows. Equal characters,
+    characters that were missed and pairs seen fewer times than least are left out. Equal pairs are counted once and
+    weighed by their number, so texts are aligned once each.
+    """
+    distinct = pairs.groupBy("observed", "expected").agg(F.count(F.lit(1)).alias("_n"))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            for n, own in df.groupby("_n"):
+                for part in _aligned(iter([own])):
+                    yield part.assign(n=int(n))
+
+    found = distinct.mapInPandas(run, f"{ALIGNED}, n long").where("observed <> ''")
+    counts = found.groupBy("observed", "expected").agg(F.sum("n").alias("n"))
+    total = counts.groupBy("observed").agg(F.sum("n").alias("_all"))
+    share = F.col("n") / F.col("_all")
+    cost = F.round(F.greatest(F.lit(LEAST_COST), F.lit(MOST_COST) - share), 2)
+    rows = counts.join(total, "observed").where((F.col("observed") != F.col("expected")) & (F.col("n") >= least))
+    return rows.select("observed", "expected", "n", cost.alias("cost"))

@@ -76,6 +76,11 @@ def hull(a: Column, b: Column) -> Column:
     return box(left, top, F.greatest(x2(a), x2(b)) - left, F.greatest(y2(a), y2(b)) - top)
 
 
+def union(boxes: Column) -> Column:
+    """The hull of an array of boxes; null for an empty one."""
+    return F.aggregate(boxes, F.get(boxes, F.lit(0)), hull)
+
+
 def vertical_overlap(a: Column, b: Column) -> Column:
     """Shared height over the smaller height; negative for boxes apart."""
     return (F.least(y2(a), y2(b)) - F.greatest(a["y"], b["y"])) / F.greatest(F.lit(1), F.least(a["height"], b["height"]))

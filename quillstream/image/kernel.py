@@ -7,12 +7,18 @@ implementation's pixels: it is tested on drawn pages.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
 from quillstream.config import Settings
+from quillstream.image import codec
+from quillstream.operators.layout import BOTTOM_PITCHES
+
+#: Rows at the edges of a scan that hold no rules. A fixed value.
+EDGE_ROWS = 3
 
 
 def mm(value: float, dpi: float) -> int:
@@ -133,39 +139,67 @@ def clustered(values: np.ndarray, gap: int = 3) -> list[int]:
     return [int(round(float(p.mean()))) for p in parts]
 
 
-def grid(seen: list[int], pitch: float, snap: float) -> list[int]:
-    """Lines from the first seen on, a pitch at a time, snapped to seen ones; stops a tolerance beyond the last."""
-    out, at, tolerance = [seen[0]], float(seen[0]), snap * pitch
-    while at + pitch <= seen[-1] + tolerance:
+def grid(seen: list[int], pitch: float, snap: float, header: int | None = None, height: int | None = None) -> list[int]:
+    """What layout.completed_grid gives for the same page."""
+    lines, reach = np.array(seen, float), snap * pitch
+    ends = ([lines.max() + reach] if len(lines) else []) + ([height - BOTTOM_PITCHES * pitch] if height is not None else [])
+    at = header if header is not None else seen[0] if seen else None
+    out = [] if at is None or not ends else [at]
+    while out and at + pitch <= min(ends):
         at += pitch
-        near = min(seen, key=lambda v: abs(v - at))
-        at = float(near) if abs(near - at) <= tolerance else at
-        out.append(int(round(at)))
+        if len(lines):
+            near = lines[np.abs(lines - at).argmin()]
+            at = near if abs(near - at) <= reach else at
+        out.append(int(round(float(at))))
     return out
 
 
+def margin_rule(ink: np.ndarray, dpi: float, settings) -> int | None:
+    """x of the margin rule: the strongest upright strip near the left edge, without the scan's own dark edge."""
+    height, width = ink.shape
+    share = int(width * settings.max_rule_x_share)
+    length = open_runs(ink[:, :share], max(10, height // 10), 0).sum(0).astype(float)
+    length[: max(1, mm(settings.edge_mm, dpi))] = 0
+    strip = max(3, mm(settings.rule_width_mm, dpi))
+    sums = np.convolve(length, np.ones(strip), "same") if share else np.zeros(0)
+    if sums.max(initial=0) < settings.min_rule_share * height or not sums.any():
+        return None
+    peak = int(sums.argmax())
+    around = np.arange(max(0, peak - strip), min(share, peak + strip + 1))
+    return int(round(float(np.average(around, weights=length[around])))) if length[around].any() else peak
+
+
+def header_rule(ink: np.ndarray, settings) -> int | None:
+    """y of the header's rule: the first row in the top part that long level runs fill by half."""
+    height, width = ink.shape
+    level = open_runs(ink[: int(height * settings.max_header_share)], max(10, width // 3), 1).sum(1)
+    rows = np.flatnonzero(level >= 0.5 * width)
+    found = clustered(rows[rows > EDGE_ROWS])
+    return found[0] if found else None
+
+
+def ruled_rows(ink: np.ndarray, rule: int, settings) -> list[int]:
+    """y of printed lines right of the margin rule; short runs count, so that writing across a line does not hide it."""
+    height, width = ink.shape
+    area = ink[:, min(width - 1, rule + 10) : max(rule + 11, width - 10)]
+    if area.shape[1] < 50:
+        return []
+    level = open_runs(area, max(10, int(area.shape[1] * 0.15)), 1).sum(1)
+    rows = np.flatnonzero(level >= settings.min_line_share * area.shape[1])
+    return clustered(rows[(rows > EDGE_ROWS) & (rows < height - EDGE_ROWS)])
+
+
 def landmarks(image: np.ndarray, dpi: float, settings) -> dict:
-    """Margin rule, header and ruled lines of an upright page."""
-    g = gray(image)
-    ink = adaptive_ink(g)
-    height, width = g.shape
-    upright = open_runs(ink, max(10, mm(8, dpi)), 0)
-    columns = np.convolve(upright.sum(0), np.ones(max(3, mm(settings.rule_width_mm, dpi))), "same")
-    limit = int(width * settings.max_rule_x_share)
-    rule = None
-    if limit and columns[:limit].max(initial=0) >= settings.min_rule_share * height:
-        peak = int(columns[:limit].argmax())
-        around = np.arange(max(0, peak - mm(1, dpi)), min(width, peak + mm(1, dpi) + 1))
-        weight = upright[:, around].sum(0)
-        rule = int(round(float((around * weight).sum() / weight.sum()))) if weight.sum() else peak
-    level = open_runs(ink, max(10, mm(15, dpi)), 1)
-    rows = np.flatnonzero(level.sum(1) >= settings.min_line_share * width)
-    seen = clustered(rows)
+    """Margin rule, header and ruled lines of an upright page. Lines need a rule, a pitch, and to be min_lines or more."""
+    ink = adaptive_ink(gray(image))
+    rule, header = margin_rule(ink, dpi, settings), header_rule(ink, settings)
+    seen = ruled_rows(ink, rule, settings) if rule is not None else []
     apart = np.diff(seen)
     apart = apart[(apart >= mm(settings.min_pitch_mm, dpi)) & (apart <= mm(settings.max_pitch_mm, dpi))]
     pitch = float(np.median(apart)) if len(apart) >= 3 else None
-    lines = grid(seen, pitch, settings.snap_share) if pitch and len(seen) >= settings.min_lines else []
-    return {"found": rule is not None and len(lines) >= 2, "margin_rule_x": rule, "header_y": lines[0] if lines else None, "ruled_line_ys": lines, "line_pitch_px": pitch}
+    lines = grid(seen, pitch, settings.snap_share, header, len(ink)) if pitch else []
+    lines = lines if len(lines) >= settings.min_lines else []
+    return {"found": rule is not None and len(lines) >= 2, "margin_rule_x": rule, "header_y": header, "ruled_line_ys": lines, "line_pitch_px": pitch}
 
 
 def skew_degrees(image: np.ndarray, dpi: float, settings) -> float:
@@ -200,6 +234,65 @@ def rotated(image: np.ndarray, degrees: float) -> np.ndarray:
     return np.rint(top * (1 - v) + low * v).astype(np.uint8)
 
 
+def work_to_canonical(shape: tuple[int, ...], degrees: float) -> list[float]:
+    """The map (a, b, tx, c, d, ty) from pixels of rotated(image, degrees) to pixels of image."""
+    h, w = shape[:2]
+    c, s = float(np.cos(np.radians(degrees))), float(np.sin(np.radians(degrees)))
+    return [c, s, w / 2 - c * w / 2 - s * h / 2, -s, c, h / 2 + s * w / 2 - c * h / 2]
+
+
+@dataclass
+class Margin:
+    """The strip of a page that holds markers: x is the page's, y counts from top."""
+
+    gray: np.ndarray
+    ink: np.ndarray
+    top: int
+
+
+def margin_region(student: np.ndarray, marks: dict, dpi: float, settings: Settings) -> Margin:
+    """The strip left of the margin rule and a little beyond, below the header; the rule and printed lines are whitened."""
+    height, width = student.shape
+    rule, lines, r = marks["margin_rule_x"], marks["ruled_line_ys"], settings.region
+    right = rule + mm(r.spill_mm, dpi) if rule is not None else mm(r.fallback_mm, dpi)
+    above = max(0, lines[0] - int(marks["line_pitch_px"] or 0)) if lines else 0
+    top = marks["header_y"] + mm(r.top_mm, dpi) if marks["header_y"] is not None else above
+    top = max(0, min(top, height - 10))
+    strip = student[top:, : min(max(right, 10), width)].copy()
+    if rule is not None:
+        half = max(1, mm(r.rule_half_mm, dpi))
+        strip[:, max(0, rule - half) : rule + half + 1] = 255
+    ink = strip < settings.ink.dark
+    printed = open_runs(ink, max(8, mm(3, dpi)), 1)
+    strip[printed] = 255
+    return Margin(strip, ink & ~printed, top)
+
+
+def valuer_boxes(mask: np.ndarray, dpi: float) -> np.ndarray:
+    """Boxes of marks in a valuer's ink: gaps of a few pixels are closed, specks left out."""
+    found = components(erode(dilate(mask, 9), 9)) if mask.any() else np.zeros((0, 5), np.int64)
+    return found[found[:, 4] >= 2.0 * (dpi / 25.4) ** 2]
+
+
+def crop(margin: np.ndarray, box: tuple[int, int, int, int], dpi: float, padding_mm: float) -> np.ndarray:
+    """A box cut out with some padding, on a white border that is wider at the sides."""
+    x, y, w, h = box
+    pad = max(2, mm(padding_mm, dpi))
+    part = margin[max(0, y - pad) : y + h + pad, max(0, x - pad) : x + w + pad]
+    border = max(4, len(part) // 4)
+    return np.pad(part, ((border // 2, border // 2), (border, border)), constant_values=255)
+
+
+def perceptual_hash(image: np.ndarray) -> int:
+    """64 bits of which is darker, a cell or its right neighbour, on a grid of 8 x 9 cells; near pages have near hashes."""
+    g = gray(image).astype(float)
+    rows, columns = (np.linspace(0, n, k + 1).astype(int) for n, k in zip(g.shape, (8, 9)))
+    sums = np.add.reduceat(np.add.reduceat(g, rows[:-1], 0), columns[:-1], 1)
+    cells = sums / np.outer(np.maximum(1, np.diff(rows)), np.maximum(1, np.diff(columns)))
+    bits = np.packbits(cells[:, 1:] > cells[:, :-1])
+    return int.from_bytes(bits.tobytes(), "big", signed=True)
+
+
 def page_facts(image: np.ndarray, dpi: float, settings: Settings) -> dict:
     """All scalars of a page: colour, skew, landmarks, candidates, valuer boxes, band ink and the component count."""
     colour = is_colour(image, settings.ink.colour_spread)
@@ -212,19 +305,11 @@ def page_facts(image: np.ndarray, dpi: float, settings: Settings) -> dict:
     run = max(10, mm(8, dpi))
     clean = dark & ~open_runs(dark, run, 1) & ~open_runs(dark, 3 * run, 0)
     rule, lines = marks["margin_rule_x"], marks["ruled_line_ys"]
-    edge = rule + mm(settings.region.spill_mm, dpi) if rule is not None else mm(settings.region.fallback_mm, dpi)
-    top = max(0, (marks["header_y"] or 0) + mm(settings.region.top_mm, dpi))
-    margin = clean[top:, :edge].copy()
-    if rule is not None:
-        half = max(1, mm(settings.region.rule_half_mm, dpi))
-        margin[:, max(0, rule - half) : rule + half + 1] = False
-    found = components(margin)
-    d = settings.detection
-    found = found[(found[:, 4] >= d.min_area_mm2 * (dpi / 25.4) ** 2) & (found[:, 3] <= mm(d.max_height_mm, dpi))]
-    found = found[found[:, 0] < rule] if rule is not None else found
-    found[:, 1] += top
-    red = components(dilate(valuer[:, :edge], 9))
-    red = red[red[:, 4] >= 2.0 * (dpi / 25.4) ** 2]
+    margin = margin_region(student, marks, dpi, settings)
+    found = components(margin.ink)
+    found[:, 1] += margin.top
+    red = valuer_boxes(valuer[margin.top :, : margin.ink.shape[1]], dpi)
+    red[:, 1] += margin.top
     ink = []
     if rule is not None and lines:
         pitch = marks["line_pitch_px"] or float(np.median(np.diff(lines)))
@@ -236,17 +321,25 @@ def page_facts(image: np.ndarray, dpi: float, settings: Settings) -> dict:
     small = components(block_mean(clean[(marks["header_y"] or 0) :].astype(float), 2) >= 0.5)
     least = settings.triage.min_area_mm2 * (dpi / 25.4 / 2) ** 2
     n = int(((small[:, 4] >= least) & (small[:, 2:4].min(1) >= 2)).sum()) if len(small) else 0
-    return {"is_colour": colour, "skew_deg": round(skew, 3), "deskewed": turned, **marks, "candidates": found[:, :5].tolist(), "valuer_boxes": red[:, :4].tolist(), "band_ink": ink, "components": n}
+    return {
+        "is_colour": colour, "skew_deg": round(skew, 3), "deskewed": turned, **marks, "candidates": found[:, :5].tolist(), "valuer_boxes": red[:, :4].tolist(),
+        "band_ink": ink, "components": n, "work_to_canonical": work_to_canonical(image.shape, skew if turned else 0.0), "template_hash": perceptual_hash(image),
+        "region": codec.png(margin.gray), "region_top": margin.top, "image_width": image.shape[1], "image_height": image.shape[0],
+    }
 
 
 SCHEMA = (
     "script_id string, page_index int, is_colour boolean, skew_deg double, deskewed boolean, found boolean, margin_rule_x int, header_y int,"
-    " ruled_line_ys array<int>, line_pitch_px double, candidates array<array<int>>, valuer_boxes array<array<int>>, band_ink array<double>, components int"
+    " ruled_line_ys array<int>, line_pitch_px double, candidates array<array<int>>, valuer_boxes array<array<int>>, band_ink array<double>, components int,"
+    " work_to_canonical array<double>, template_hash long, region binary, region_top int, image_width int, image_height int"
 )
 
 
 def analysed(pages: DataFrame, settings: Settings) -> DataFrame:
-    """SCHEMA for pages (script_id, page_index, data, image_height, image_width, dpi); data holds BGR bytes."""
+    """SCHEMA for pages (script_id, page_index, data, image_height, image_width, dpi); data holds BGR bytes.
+
+    region is the margin as a PNG, from which crops are cut once candidates are merged.
+    """
     columns = [c.split()[0] for c in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -10,11 +10,13 @@ from quillstream.config import Detection
 from quillstream.functions import geometry
 
 PAGE = ("script_id", "page_index")
+#: Rows of pixels that a tile has at least. A fixed value.
+LEAST_TILE = 10
 
 
-def component_filter(df: DataFrame, dpi: float, settings: Detection, rule_x: Column, thin_mm: float = 0.6, tall_mm: float = 10.0) -> DataFrame:
+def component_filter(df: DataFrame, dpi: Column | float, settings: Detection, rule_x: Column, thin_mm: float = 0.6, tall_mm: float = 10.0) -> DataFrame:
     """Drops specks, boxes too high, ruled-line rests (thin and tall) and what begins at or beyond the rule."""
-    area = settings.min_area_mm2 * (dpi / 25.4) ** 2
+    area = settings.min_area_mm2 * ((dpi if isinstance(dpi, Column) else F.lit(dpi)) / 25.4) ** 2
     b = F.col("box")
     thin, tall = geometry.mm_to_px(thin_mm, dpi), geometry.mm_to_px(tall_mm, dpi)
     return df.where(
@@ -25,14 +27,14 @@ def component_filter(df: DataFrame, dpi: float, settings: Detection, rule_x: Col
     )
 
 
-def merged_filter(df: DataFrame, dpi: float, settings: Detection) -> DataFrame:
+def merged_filter(df: DataFrame, dpi: Column | float, settings: Detection) -> DataFrame:
     """Drops merged candidates that are too low or narrow, and slivers at the page edge."""
     b = F.col("box")
     sliver = (b["x"] <= 1) & (b["width"] <= geometry.mm_to_px(1.5, dpi))
     return df.where((b["height"] >= geometry.mm_to_px(settings.min_height_mm, dpi)) & (b["width"] >= 2) & ~sliver)
 
 
-def margin_filter(df: DataFrame, dpi: float, rule_x: Column, pitch: Column, region_width: Column) -> DataFrame:
+def margin_filter(df: DataFrame, dpi: Column | float, rule_x: Column, pitch: Column, region_width: Column) -> DataFrame:
     """Text-detector boxes: left of the rule, no higher than 1.8 lines, not in the padding."""
     b = F.col("box")
     left = F.coalesce(b["x"] < rule_x - geometry.mm_to_px(1.0, dpi), F.lit(True))
@@ -66,7 +68,7 @@ def merge_by_line(df: DataFrame, gap_px: Column | int) -> DataFrame:
     return out.withColumn("polygon", F.when(F.col("fragments") == 1, F.col("polygon"))).drop("island")
 
 
-def merge_by_overlap(df: DataFrame, gap_px: int, least: float = 0.3) -> DataFrame:
+def merge_by_overlap(df: DataFrame, gap_px: Column | int, least: float = 0.3) -> DataFrame:
     """Merging on pages without ruled lines: boxes that share enough height, pair by pair until none is left.
 
     The outcome depends on the order of merges, so each page's few candidates are merged in Python, in (y, x) order.
@@ -80,7 +82,7 @@ def merge_by_overlap(df: DataFrame, gap_px: int, least: float = 0.3) -> DataFram
                 a, b = rows[i], rows[j]
                 lap = min(a["y"] + a["height"], b["y"] + b["height"]) - max(a["y"], b["y"])
                 gap = max(a["x"], b["x"]) - min(a["x"] + a["width"], b["x"] + b["width"])
-                if lap / max(1, min(a["height"], b["height"])) >= least and gap <= gap_px:
+                if lap / max(1, min(a["height"], b["height"])) >= least and gap <= a["gap"]:
                     x, y = min(a["x"], b["x"]), min(a["y"], b["y"])
                     a["width"] = max(a["x"] + a["width"], b["x"] + b["width"]) - x
                     a["height"] = max(a["y"] + a["height"], b["y"] + b["height"]) - y
@@ -93,7 +95,7 @@ def merge_by_overlap(df: DataFrame, gap_px: int, least: float = 0.3) -> DataFram
             i += 1
         return pd.DataFrame(rows, columns=list(page.columns))
 
-    flat = df.select(*PAGE, "candidate_pos", *(F.col("box")[k].alias(k) for k in ("x", "y", "width", "height")), "detection_confidence", F.lit(1).alias("fragments"))
+    flat = df.select(*PAGE, "candidate_pos", *(F.col("box")[k].alias(k) for k in ("x", "y", "width", "height")), "detection_confidence", F.lit(1).alias("fragments"), (gap_px if isinstance(gap_px, Column) else F.lit(gap_px)).cast("int").alias("gap"))
     merged = flat.groupBy(*PAGE).applyInPandas(run, flat.schema)
     return merged.select(*PAGE, geometry.box(*(F.col(k) for k in ("x", "y", "width", "height"))).alias("box"), "detection_confidence", "fragments")
 
@@ -122,10 +124,33 @@ def numbered(df: DataFrame) -> DataFrame:
     return df.withColumn("number", F.row_number().over(come))
 
 
-def tiles(pages: DataFrame, settings: Detection) -> DataFrame:
-    """(PAGE, tile, top, bottom): runs of ruled lines that overlap, as a text detector reads them."""
-    step = settings.tile_lines - settings.tile_overlap
-    lines = F.col("ruled_line_ys")
-    starts = F.sequence(F.lit(0), F.greatest(F.size(lines) - settings.tile_overlap - 1, F.lit(0)), F.lit(step))
-    df = pages.where(F.size(lines) > 0).select(*PAGE, "ruled_line_ys", F.posexplode(starts).alias("tile", "_at"))
-    return df.select(*PAGE, "tile", F.element_at(lines, F.col("_at") + 1).alias("top"), F.element_at(lines, F.least(F.col("_at") + settings.tile_lines, F.size(lines))).alias("bottom"))
+def tiles(pages: DataFrame, settings: Detection, default_mm: float = 9.4) -> DataFrame:
+    """(PAGE, tile, top, bottom) of a page's region: strips of tile_lines pitches that overlap by tile_overlap of them.
+
+    pages: PAGE, dpi, region_height, line_pitch_px. Without a pitch default_mm stands for it. The last tile is the first
+    that reaches the region's end; strips lower than LEAST_TILE are left out.
+    """
+    pitch = F.coalesce(F.col("line_pitch_px"), geometry.mm_to_px(default_mm, F.col("dpi")).cast("double"))
+    tall = F.floor(pitch * settings.tile_lines).cast("int")
+    step = F.greatest(F.lit(1), tall - F.floor(pitch * settings.tile_overlap).cast("int"))
+    rows = pages.select(*PAGE, F.col("region_height").alias("_height"), tall.alias("_tall"), step.alias("_step"))
+    last = F.ceil(F.greatest(F.lit(0), F.col("_height") - F.col("_tall")) / F.col("_step")).cast("int")
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), last)).alias("tile")).withColumn("top", F.col("tile") * F.col("_step"))
+    rows = rows.withColumn("bottom", F.least(F.col("_height"), F.col("top") + F.col("_tall")))
+    return rows.where(F.col("bottom") - F.col("top") >= LEAST_TILE).select(*PAGE, "tile", "top", "bottom")
+
+
+def of_tiles(found: DataFrame, pages: DataFrame, settings: Detection) -> DataFrame:
+    """Candidates from all tiles of a page as one set: overlaps suppressed, then the margin filter.
+
+    found: PAGE, tile, polygon (region pixels), detection_confidence. pages: PAGE, dpi, margin_rule_x, line_pitch_px,
+    region_width.
+    """
+    boxed = found.withColumn("box", geometry.polygon_box(F.col("polygon")))
+    order = Window.partitionBy(*PAGE).orderBy("tile", F.col("box")["y"], F.col("box")["x"], F.col("detection_confidence").desc(), F.col("polygon").cast("string"))
+    boxed = boxed.withColumn("candidate_pos", F.row_number().over(order))
+    kept = suppressed(boxed.join(pages.select(*PAGE, "region_width"), [*PAGE]).where(F.col("box")["x"] < F.col("region_width")), settings)
+    kept = kept.join(boxed.select(*PAGE, "candidate_pos", "polygon"), [*PAGE, "candidate_pos"])
+    facts = kept.join(pages.select(*PAGE, "dpi", "margin_rule_x", "line_pitch_px", "region_width"), [*PAGE])
+    near = margin_filter(facts, F.col("dpi"), F.col("margin_rule_x"), F.col("line_pitch_px"), F.col("region_width"))
+    return near.select(*PAGE, "candidate_pos", "box", "detection_confidence", "polygon")

@@ -25,30 +25,44 @@ def median_pitch(df: DataFrame, keys: tuple[str, ...], value: str, low: Column |
     return df.groupBy(*keys).agg(F.when(F.count("_d") >= least, F.percentile("_d", F.lit(0.5))).alias("pitch"))
 
 
-def completed_grid(seen: Column, pitch: Column, settings: Layout) -> Column:
-    """Line positions from the first seen one on: each step is a pitch, snapped to a seen line within a share of it.
+#: What stays free below the last ruled line, in pitches. A fixed value.
+BOTTOM_PITCHES = 0.3
 
-    seen ascends. The walk ends a tolerance beyond the last seen line; it visits one position for each line.
+
+def completed_grid(seen: Column, pitch: Column, settings: Layout, header: Column | None = None, height: Column | None = None) -> Column:
+    """Line positions from the header, or else the first seen one: each step is a pitch, snapped to the nearest seen line
+    within a share of it.
+
+    seen ascends. The walk ends a tolerance beyond the last seen line, and BOTTOM_PITCHES above the page's bottom; it
+    visits one position for each line. Null without header and lines.
     """
     tolerance = settings.snap_share * pitch
-    last = F.element_at(seen, -1)
-    start = F.struct(F.array(F.element_at(seen, 1)).alias("lines"), F.element_at(seen, 1).cast("double").alias("at"), F.lit(False).alias("done"))
+    none = F.lit(None).cast("int")
+    begin = F.coalesce(header if header is not None else none, F.get(seen, F.lit(0))).cast("int")
+    bottom = (height if height is not None else none) - BOTTOM_PITCHES * pitch
+    last = F.least(F.when(F.size(seen) > 0, F.array_max(seen) + tolerance), bottom)
+    start = F.struct(F.array(begin).alias("lines"), begin.cast("double").alias("at"), F.lit(False).alias("done"))
 
     def step(acc: Column, _: Column) -> Column:
         expected = acc["at"] + pitch
         near = F.filter(seen, lambda v: F.abs(v - expected) <= tolerance)
         pick = F.array_min(F.transform(near, lambda v: F.struct(F.abs(v - expected).alias("d"), v.alias("v"))))["v"]
         value = F.coalesce(pick, F.bround(expected).cast("int"))
-        done = acc["done"] | (expected > last + tolerance)
+        done = acc["done"] | (expected > last)
         return F.struct(
             F.when(done, acc["lines"]).otherwise(F.concat(acc["lines"], F.array(value))).alias("lines"),
             F.when(done, acc["at"]).otherwise(F.coalesce(pick.cast("double"), expected)).alias("at"),
             done.alias("done"),
         )
 
-    most = F.ceil((last - F.element_at(seen, 1)) / (pitch * (1 - settings.snap_share))).cast("int") + 2
+    most = F.ceil((last - begin) / (pitch * (1 - settings.snap_share))).cast("int") + 2
     walked = F.aggregate(F.sequence(F.lit(1), F.greatest(most, F.lit(1))), start, step)["lines"]
-    return F.when((F.size(seen) > 0) & (pitch > 0), walked)
+    return F.when(begin.isNotNull() & last.isNotNull() & (pitch > 0), walked)
+
+
+def ink_ratio(df: DataFrame, keys: tuple[str, ...], is_ink: Column) -> DataFrame:
+    """(keys, ink): the share of a band's cells that are ink."""
+    return df.groupBy(*keys).agg(F.avg(is_ink.cast("int")).alias("ink"))
 
 
 def rule_position(df: DataFrame, keys: tuple[str, ...], at: str, value: str, width: int) -> DataFrame:

@@ -39,6 +39,20 @@ def page_lines(pages: DataFrame) -> DataFrame:
     return pages.select("script_id", "page_index", line.alias("line")).orderBy("script_id", "page_index")
 
 
+def script_report(pages: DataFrame, markers: DataFrame, flags: DataFrame) -> DataFrame:
+    """(script_id, part, line): the lines of a script's report, in order: its pages, its markers, counts and flags."""
+    head = lambda n, title: F.struct(F.lit(n).alias("a"), F.lit(-1).alias("b"), F.lit(0).alias("c"), F.lit(title).alias("line"))
+    scripts = pages.select("script_id").distinct()
+    heads = scripts.select("script_id", F.explode(F.array(*(head(n, t) for n, t in enumerate(("PAGES", "MARKERS", "SUMMARY"))))).alias("x"))
+    page = page_lines(pages).select("script_id", F.struct(F.lit(0).alias("a"), F.col("page_index").alias("b"), F.lit(0).alias("c"), "line").alias("x"))
+    marker = marker_lines(markers).select("script_id", F.struct(F.lit(1).alias("a"), F.col("page_index").alias("b"), F.col("marker_y").alias("c"), "line").alias("x"))
+    counts = status_counts(markers, "script_id").select("script_id", F.struct(F.lit(2).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("c"), F.format_string("%s=%d", "status", "n").alias("line")).alias("x"))
+    detail = flags.select("script_id", F.posexplode("flag_details").alias("at", "line"))
+    detail = detail.select("script_id", F.struct(F.lit(2).alias("a"), F.lit(1).alias("b"), F.col("at").alias("c"), "line").alias("x"))
+    every = heads.unionByName(page).unionByName(marker).unionByName(counts).unionByName(detail)
+    return every.select("script_id", "x.*").orderBy("script_id", "a", "b", "c", "line").select("script_id", F.get(F.array(*map(F.lit, ("PAGES", "MARKERS", "SUMMARY"))), F.col("a")).alias("part"), "line")
+
+
 def exit_code(pages: DataFrame) -> int:
     """1 if a page has failed or a script has no pages, else 0."""
     return int(pages.isEmpty() or not pages.where(F.col("processing_status").startswith("FAILED")).isEmpty())

@@ -1,12 +1,15 @@
-"""Recognisers behind an interface: texts for image crops, in batches, one model for each worker."""
+"""Recognisers and text detectors behind an interface, in batches, one model for each worker."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from quillstream.image import codec
+
 #: A maker is called once in a worker; what it makes takes a list of encoded crops and gives (text, confidence) for each.
 Recogniser = Callable[[list[bytes]], list[tuple[str, float]]]
 ENGINES: dict[str, Callable[..., Recogniser]] = {}
@@ -46,3 +49,42 @@ def recognised(crops: DataFrame, engine: str, batch: int = 8, **options: object)
             yield keys.assign(raw=[t for t, _ in found], recognition_confidence=[float(c) for _, c in found])
 
     return crops.mapInPandas(run, "script_id string, page_index int, candidate_pos int, raw string, recognition_confidence double")
+
+
+#: A maker is called once in a worker; what it makes takes a gray image and gives (polygon, confidence) for each text in it.
+Detector = Callable[["np.ndarray"], list[tuple[list[list[float]], float]]]
+DETECTORS: dict[str, Callable[..., Detector]] = {}
+
+
+def register_detector(name: str, maker: Callable[..., Detector]) -> None:
+    DETECTORS[name] = maker
+
+
+def scripted_detector(found: list[tuple[list[list[float]], float]] | None = None) -> Detector:
+    """The same polygons for every tile that they fit in; for tests and replays."""
+    return lambda tile: [(p, c) for p, c in found or [] if max(y for _, y in p) <= tile.shape[0]]
+
+
+register_detector("scripted", scripted_detector)
+
+DETECTIONS = "script_id string, page_index int, tile int, polygon array<array<double>>, detection_confidence double"
+
+
+def detected(tiles: DataFrame, detector: str, **options: object) -> DataFrame:
+    """DETECTIONS for tiles (script_id, page_index, tile, top, bottom, region): polygons in pixels of the region.
+
+    A tile is padded with white on its right, as wide as itself, since detectors want images that are not too narrow.
+    """
+    maker = DETECTORS[detector]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = maker(**options)
+        for df in batches:
+            rows = []
+            for r in df.itertuples():
+                part = codec.read(bytes(r.region))[r.top : r.bottom]
+                part = np.pad(part, ((0, 0), (0, part.shape[1])), constant_values=255)
+                rows += [(r.script_id, r.page_index, r.tile, [[float(x), float(y + r.top)] for x, y in p], float(c)) for p, c in model(part)]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in DETECTIONS.split(", ")])
+
+    return tiles.select("script_id", "page_index", "tile", "top", "bottom", "region").mapInPandas(run, DETECTIONS)

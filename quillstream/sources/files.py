@@ -93,6 +93,29 @@ def decoded(pages: DataFrame, decoder: str, render_dpi: float = 200.0, attempts:
     return pages.select("script_id", "page_index", "content").mapInPandas(run, schema)
 
 
+def page_images(spark: SparkSession, path: str) -> DataFrame:
+    """(script_id, page_index, content) of the images in a folder that are named <script>-P<number>, as PNG or PNM."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.{png,ppm,pgm,PNG,PPM,PGM}").load(path)
+    stem = F.regexp_extract("path", r"([^/]*)\.[^./]*$", 1)
+    rows = found.select(F.regexp_extract(stem, r"^(.*)-P\d+$", 1).alias("_script"), F.regexp_extract(stem, r"-P(\d+)$", 1).alias("_page"), "content")
+    named = rows.where("_script <> '' and _page <> ''")
+    return named.select(text.script_id(F.col("_script")).alias("script_id"), F.col("_page").cast("int").alias("page_index"), "content")
+
+
+def _load_image(data: bytes, page_index: int, dpi: float) -> tuple[bytes, int, int, float, str]:
+    from quillstream.image import codec, kernel
+
+    try:
+        image = kernel.normalised(codec.read(data))
+    except codec.ImageError as error:
+        raise PdfReadError(str(error)) from error
+    return image.tobytes(), image.shape[1], image.shape[0], dpi, "image"
+
+
+#: A file is one page; what it was scanned at is the render resolution of the settings.
+register_decoder("image", lambda data: 1, _load_image)
+
+
 def embedded_pages(objects: DataFrame, least_coverage: float) -> DataFrame:
     """Pages whose only image object covers enough of the page, upright and unmirrored.
 

@@ -19,6 +19,33 @@ def job_id(df: DataFrame, version: str) -> DataFrame:
     return df.withColumn("job_id", F.substring(F.sha2(F.concat_ws("|", "script_id", F.col("page_index").cast("string"), F.lit(version)), 256), 1, 16))
 
 
+#: Where a page job may go from each of its states; a retryable failure is queued again while attempts are left.
+MOVES = {"QUEUED": ("PROCESSING",), "PROCESSING": ("COMPLETED", "FAILED_RETRYABLE", "FAILED_PERMANENT"), "FAILED_RETRYABLE": ("QUEUED", "FAILED_PERMANENT")}
+
+
+def job_states(events: DataFrame, max_attempts: int) -> DataFrame:
+    """(job_id, status, attempts, rejected) after all events (job_id, seq, status), in order of seq.
+
+    A job begins as QUEUED. An event that MOVES does not allow is rejected and changes nothing; a retryable failure of
+    the last attempt is permanent. A repeated final event is no move. Each job's few events are folded in one row.
+    """
+    start = F.struct(F.lit("QUEUED").alias("status"), F.lit(0).alias("attempts"), F.lit(0).alias("rejected"))
+    allowed = F.create_map(*(x for k, v in MOVES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
+
+    def step(acc, event):
+        fits = F.coalesce(F.array_contains(F.try_element_at(allowed, acc["status"]), event["status"]), F.lit(False))
+        attempts = acc["attempts"] + (fits & (event["status"] == "PROCESSING")).cast("int")
+        status = F.when((event["status"] == "FAILED_RETRYABLE") & (acc["attempts"] >= max_attempts), "FAILED_PERMANENT").otherwise(event["status"])
+        again = acc["status"] == event["status"]
+        return F.struct(
+            F.when(fits, status).otherwise(acc["status"]).alias("status"), attempts.alias("attempts"),
+            (acc["rejected"] + (~fits & ~again).cast("int")).alias("rejected"),
+        )
+
+    jobs = events.groupBy("job_id").agg(F.sort_array(F.collect_list(F.struct("seq", "status"))).alias("_events"))
+    return jobs.select("job_id", F.aggregate("_events", start, step).alias("s")).select("job_id", "s.*")
+
+
 def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     count, pages, failed = state.get if state.exists else (0, [], [])
     pages, failed = set(pages), set(failed)

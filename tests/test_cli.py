@@ -39,6 +39,54 @@ def test_run(spark, tmp_path):
     assert document["script_id"] == "s" and [p["markers"][0]["question"] for p in document["pages"]] == ["1", "2"]
 
 
+def test_scan(spark, tmp_path, capsys):
+    from test_images_and_sources import drawn
+
+    from quillstream.config import Settings
+    from quillstream.image import codec
+    from quillstream.sources import engines
+
+    folder = tmp_path / "images"
+    folder.mkdir()
+    pages = {1: drawn(), 2: drawn(marks=[(20, 400, 40, 50)]), 3: drawn(marks=[(20, 640, 40, 50), (20, 1010, 40, 50)])}
+    for n, page in pages.items():
+        (folder / f"s one-P{n:03d}.png").write_bytes(codec.png(page))
+    (folder / "s one-P004.png").write_bytes(b"no image")
+    (folder / "notes.png").write_bytes(b"not a page")
+    (tmp_path / "q.txt").write_text("1\n2\n3\n")
+
+    def maker():
+        def model(crops):
+            from quillstream.image import codec
+
+            sizes = [codec.read(c).shape for c in crops]
+            return [("Ans 2", 0.97) if h > w * 0.6 and w < 200 else ("", 0.1) for h, w in sizes]
+
+        return model
+
+    engines.register_engine("by size", maker)
+    out = str(tmp_path / "out")
+    settings = Settings()
+    assert cli.scan(spark, str(folder), str(tmp_path / "q.txt"), out, settings, "by size", shown=True, overlays=True) == 1  # a page has failed
+    printed = capsys.readouterr().out
+    assert "SCRIPT s_one" in printed and "PAGES" in printed and "p004 ANSWER       FAILED_PERMANENT" in printed
+    rows = spark.read.parquet(f"{out}/markers").orderBy("page_index", "marker_y").collect()
+    found = [(r["page_index"], r["question"], r["status"]) for r in rows if r["status"] != "DISCARDED"]
+    assert [(p, q) for p, q, _ in found] == [(2, "2"), (3, "2"), (3, "2")], rows
+    assert all("DUPLICATE_IN_SCRIPT" in r["review_reasons"] for r in rows if r["status"] != "DISCARDED")
+    assert abs(rows[0]["marker_y"] - 400) <= 3 and rows[0]["question_start_y"] is not None
+    picture = codec.read((tmp_path / "out/s_one/overlays/page_002.png").read_bytes())
+    assert picture.shape == (1288, 744, 3)
+    # the text detector's path, over tiles
+    box = [[20.0, 10.0], [62.0, 10.0], [62.0, 60.0], [20.0, 60.0]]
+    other = cli.load_settings(None, {"detection": {"method": "text_detector"}, "booklet": {"page_roles": {1: "COVER", 4: "COVER"}}})
+    assert cli.scan(spark, str(folder), str(tmp_path / "q.txt"), out, other, "by size", detector_options={"found": [(box, 0.8)]}) == 0
+    both = spark.read.parquet(f"{out}/markers")
+    assert both.select("processing_version").distinct().count() == 2
+    tiled = both.where(f"processing_version = '{other.processing_version()}'")
+    assert tiled.where("page_index = 1").isEmpty() and tiled.where("page_index = 2").count() >= 8
+
+
 def test_json_logs(tmp_path):
     log = logs.configure("INFO", "json", str(tmp_path / "log"))
     log.info("page %d", 3, extra={"script_id": "s"})

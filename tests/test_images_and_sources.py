@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from quillstream import config
 from quillstream.config import Detection, Settings, load_settings
-from quillstream.functions import geometry
-from quillstream.image import kernel
+from quillstream.functions import ctc, distance, geometry
+from quillstream.image import codec, kernel
 from quillstream.operators import detect
-from quillstream.plans import markers, report
+from quillstream.plans import markers, report, scan
 from quillstream.sources import engines, files, sinks
 
 
@@ -24,12 +24,178 @@ def drawn(rule=185, pitch=74, lines=30, marks=(), red=()):
     page[100:2500, rule - 1 : rule + 2] = 150
     for x, y, w, h in marks:
         page[y : y + h, x : x + 4] = page[y : y + h, x + w - 4 : x + w] = (120, 40, 30)
-        page[y : y + 4, x : x + w] = page[y + h - 4 : y + h, x : x + w] = (120, 40, 30)
+        for t in range(h):  # no level strokes, which would count as printed lines
+            at = x + 2 + t * (w - 8) // h
+            page[y + t, at : at + 5] = (120, 40, 30)
     for x, y, w, h in red:
         page[y : y + h, x : x + w] = (40, 40, 220)
     return page
 
 
+@pytest.mark.parametrize("rule", [60, 100, 185])
+def test_landmarks_with_a_header(rule):
+    page = drawn(rule)
+    page[:200] = np.where(page[:200] == 150, 250, page[:200])
+    page[160:163] = 120  # a header rule above the first line
+    page[:, :3] = 20  # the scan's dark edge
+    marks = kernel.landmarks(page, 200.0, Settings().layout)
+    assert marks["found"] and abs(marks["margin_rule_x"] - rule) <= 2 and abs(marks["header_y"] - 161) <= 2
+    lines = marks["ruled_line_ys"]
+    assert lines[0] == marks["header_y"] and abs(lines[1] - 235) <= 2 and abs(lines[-1] - (235 + 29 * 74)) <= 2
+
+
+def test_rule_is_sought_in_the_left_quarter_only():
+    settings = Settings().layout
+    assert kernel.landmarks(drawn(340), 200.0, settings)["margin_rule_x"] is not None  # 23 % of the width
+    assert kernel.landmarks(drawn(400), 200.0, settings) == {"found": False, "margin_rule_x": None, "header_y": 236, "ruled_line_ys": [], "line_pitch_px": None}
+    short = drawn(185)
+    short[100:2300, 184:188] = short[100:2300, 200:204]  # what is left is no long run
+    assert kernel.landmarks(short, 200.0, settings)["margin_rule_x"] is None
+
+
+def test_grid_stops_above_the_bottom():
+    assert kernel.grid([100, 200, 302], 100.0, 0.25, None, 2000) == [100, 200, 302]
+    assert kernel.grid([200, 302], 100.0, 0.25, 95, 2000) == [95, 200, 302]
+    assert kernel.grid([100, 200, 300, 990], 100.0, 0.25, None, 1000) == [100, 200, 300, 400, 500, 600, 700, 800, 900]
+    assert kernel.grid([], 100.0, 0.25, 50, 480) == [50, 150, 250, 350, 450] and kernel.grid([], 100.0, 0.25) == []
+
+
+def test_crop_and_region():
+    page = drawn(marks=[(20, 400, 40, 50)])
+    s = Settings()
+    marks = kernel.landmarks(page, 200.0, s.layout)
+    margin = kernel.margin_region(kernel.gray(page), marks, 200.0, s)
+    assert margin.top == marks["header_y"] + 16 and margin.gray.shape[1] == marks["margin_rule_x"] + 47
+    assert (margin.gray[:, marks["margin_rule_x"] - 5 : marks["margin_rule_x"] + 6] == 255).all() and not margin.ink[:100].any()
+    cut = kernel.crop(margin.gray, (20, 400 - margin.top, 40, 50), 200.0, 1.0)
+    border = (50 + 16) // 4
+    assert cut.shape == (50 + 16 + 2 * (border // 2), 40 + 16 + 2 * border) and (cut[:, :border] == 255).all()
+    edge = kernel.crop(margin.gray, (0, 0, 10, 8), 200.0, 0.0)  # two pixels of padding at least, none beyond the strip
+    assert edge.shape == (10 + 4, 12 + 8)
+
+
+def test_valuer_boxes_close_gaps_but_do_not_grow():
+    mask = np.zeros((200, 200), bool)
+    mask[50:80, 20:50] = mask[50:80, 55:90] = True  # 5 pixels apart
+    mask[150:156, 150:156] = True  # a speck that growing would carry over the limit
+    assert kernel.valuer_boxes(mask, 200.0).tolist() == [[20, 50, 70, 30, 70 * 30]]
+
+
+def test_deskew_map_leads_back():
+    page = drawn(marks=[(20, 400, 40, 50)])
+    tilted = kernel.rotated(page, 1.5)
+    facts = kernel.page_facts(tilted, 200.0, Settings())
+    assert facts["deskewed"]
+    a, b, tx, c, d, ty = facts["work_to_canonical"]
+    work = kernel.rotated(tilted, facts["skew_deg"])
+    rng = np.random.default_rng(1)
+    for x, y in zip(rng.integers(300, 1100, 20), rng.integers(400, 2100, 20)):
+        u, v = a * x + b * y + tx, c * x + d * y + ty
+        assert abs(int(work[y, x, 0]) - int(tilted[int(round(v)), int(round(u)), 0])) <= 110
+
+
+def test_images_as_bytes():
+    rng = np.random.default_rng(3)
+    for shape in ((5, 7), (9, 4, 3), (1, 1)):
+        image = rng.integers(0, 256, shape, dtype=np.uint8)
+        assert (codec.read(codec.png(image)) == image).all()
+    raw = rng.integers(0, 256, (6, 5 * 3), dtype=np.uint8)
+    lines = []
+    for y, kind in enumerate((0, 1, 2, 3, 4, 4)):  # every filter, as the format defines it
+        line, above = raw[y].astype(int), raw[y - 1].astype(int) if y else np.zeros(15, int)
+        left, corner = (np.concatenate((np.zeros(3, int), x[:-3])) for x in (line, above))
+        p = left + above - corner
+        near = np.where((abs(p - left) <= abs(p - above)) & (abs(p - left) <= abs(p - corner)), left, np.where(abs(p - above) <= abs(p - corner), above, corner))
+        guess = (np.zeros(15, int), left, above, (left + above) // 2, near, near)[kind]
+        lines.append(np.concatenate(([kind], (line - guess) % 256)))
+    assert (codec._unfiltered(np.array(lines).astype(np.uint8), 3) == raw).all()
+    assert codec.read(b"P5\n# note\n2 1\n255\n\x01\x02").tolist() == [[1, 2]] and codec.read(b"P6 1 1 255\n\x01\x02\x03").tolist() == [[[3, 2, 1]]]
+    for bad in (b"", b"P5 2 2 255\n\x01", codec.png(np.zeros((2, 2), np.uint8))[:40], codec.PNG):
+        with pytest.raises(codec.ImageError):
+            codec.read(bad)
+
+
+def test_hashes_of_printed_pages(spark):
+    page, blank = drawn(), np.full((2576, 1488, 3), 250, np.uint8)
+    blank[600:1400, 200:900] = 60
+    noisy = (page.astype(int) + np.random.default_rng(0).integers(-3, 4, page.shape)).clip(0, 255).astype(np.uint8)
+    h = [kernel.perceptual_hash(x) for x in (blank, np.roll(blank, 4, 1), blank[:, ::-1])]
+    assert bin((h[0] ^ h[1]) & (1 << 64) - 1).count("1") <= 6 < bin((h[0] ^ h[2]) & (1 << 64) - 1).count("1")
+    assert isinstance(kernel.perceptual_hash(noisy), int)
+    facts = spark.createDataFrame([("s", 1, "COVER", h[1]), ("s", 2, "COVER", h[2]), ("s", 3, "ANSWER", 5)], "script_id string, page_index int, page_role string, template_hash long")
+    templates = spark.createDataFrame([("COVER", h[0])], "page_role string, template_hash long")
+    got = {r["page_index"]: r["is_misplaced"] for r in scan.misplaced(facts, templates, 6).collect()}
+    assert got == {1: False, 2: True, 3: False}
+
+
+def test_tiles_cover_the_region(spark):
+    pages = spark.createDataFrame([("s", i, 200.0, h, p) for i, (h, p) in enumerate([(1000, 74.0), (296, 74.0), (297, 74.0), (5, 74.0), (700, None)])], "script_id string, page_index int, dpi double, region_height int, line_pitch_px double")
+    got = {}
+    for r in detect.tiles(pages, Detection()).orderBy("page_index", "tile").collect():
+        got.setdefault(r["page_index"], []).append((r["top"], r["bottom"]))
+    assert got == {0: [(0, 296), (222, 518), (444, 740), (666, 962), (888, 1000)], 1: [(0, 296)], 2: [(0, 296), (222, 297)], 4: [(0, 296), (222, 518), (444, 700)]}
+
+
+def test_ctc_by_enumeration():
+    import itertools
+
+    rng = np.random.default_rng(5)
+    frames = rng.random((5, 3))
+    frames /= frames.sum(1, keepdims=True)
+    want = {}
+    for path in itertools.product(range(3), repeat=5):
+        joined = tuple(k for k, _ in itertools.groupby(path) if k)
+        want[joined] = want.get(joined, 0.0) + np.prod([frames[t, k] for t, k in enumerate(path)])
+    for target, p in want.items():
+        assert ctc.log_likelihood(frames, list(target)) == pytest.approx(np.log(p))
+    assert ctc.log_likelihood(frames, [1] * 4) == -np.inf and ctc.log_likelihood(frames[:0], []) == 0.0
+
+
+def test_ctc_prefers_the_right_target(spark):
+    alphabet = "0123456789b()"
+    rows = np.full((6, len(alphabet) + 1), 0.01)
+    for t, c in enumerate("10b1"):
+        rows[t, alphabet.index(c) + 1] = 0.8
+    rows[4:, 0] = 0.9
+    readings = spark.createDataFrame([(1, "E", rows.tolist())], "reading long, exam_id string, frames array<array<double>>")
+    targets = spark.createDataFrame([("E", "10(b)(1)", ["10", "b", "1"]), ("E", "1", ["1"]), ("E", "x", ["x"])], "exam_id string, question string, segments array<string>")
+    found = ctc.decided(ctc.scored(readings, targets, alphabet), Settings().resolution).first()
+    assert found["question"] == "10(b)(1)" and found["outcome"] == "RESOLVED" and found["probability"] > 0.99
+
+
+def test_estimated_confusions(spark):
+    rows = [("l0", "10")] * 30 + [("10", "10")] * 10 + [("lo", "lo")] * 10 + [("1)", "1")] * 20 + [("a", "ab")] * 9 + [(None, "1"), ("z", "2")]
+    got = {(r["observed"], r["expected"]): (r["n"], r["cost"]) for r in distance.estimated_confusions(spark.createDataFrame(rows, "observed string, expected string")).collect()}
+    assert got == {("l", "1"): (30, 0.25), (")", ""): (20, 0.1)}
+
+
+def test_job_states(spark):
+    from quillstream.streaming import tracker
+
+    events = {
+        "a": ["QUEUED", "PROCESSING", "COMPLETED", "COMPLETED", "QUEUED"],
+        "b": ["PROCESSING", "FAILED_RETRYABLE", "QUEUED", "PROCESSING", "FAILED_RETRYABLE", "QUEUED"],
+        "c": ["COMPLETED", "PROCESSING"],
+    }
+    df = spark.createDataFrame([(j, i, s) for j, own in events.items() for i, s in enumerate(own)], "job_id string, seq int, status string")
+    got = {r["job_id"]: (r["status"], r["attempts"], r["rejected"]) for r in tracker.job_states(df, 2).collect()}
+    assert got == {"a": ("COMPLETED", 1, 1), "b": ("FAILED_PERMANENT", 2, 1), "c": ("PROCESSING", 1, 1)}
+
+
+def test_other_scripts_of_a_bucket_survive(spark, tmp_path):
+    schema = "script_id string, page_index int, marker_y int, processing_version string, status string"
+    path = str(tmp_path / "m")
+    sinks.write_markers(spark.createDataFrame([(f"s{i}", 1, 5, v, "ACCEPTED") for i in range(9) for v in ("v1", "v2")], schema), path, 2)
+    sinks.write_markers(spark.createDataFrame([("s3", 1, 5, "v1", "DISCARDED"), ("s3", 2, 5, "v1", "DISCARDED")], schema), path, 2)
+    rows = spark.read.parquet(path).collect()
+    assert len(rows) == 19 and sorted(r["status"] for r in rows if r["script_id"] == "s3") == ["ACCEPTED", "DISCARDED", "DISCARDED"]
+    path = str(tmp_path / "d")
+    for own in ((("a", 1), ("b", 1)), (("a", 2),)):
+        docs = spark.createDataFrame([(i, json.dumps({"script_id": i, "n": n})) for i, n in own], "script_id string, document string")
+        sinks.write_documents(docs, path, "v")
+    assert sorted(json.loads(r[0])["n"] for r in spark.read.text(path).collect()) == [1, 2]
+
+
 @pytest.mark.parametrize("rule", [100, 185])
 def test_landmarks(rule):
     facts = kernel.page_facts(drawn(rule, marks=[(20, 400, 40, 50)], red=[(70 if rule > 150 else 60, 1000, 20, 40)]), 200.0, Settings())
@@ -243,9 +409,10 @@ def test_grid_expression_equals_the_walk(spark):
 
     rng = random.Random(5)
     rows = []
-    for i in range(60):
-        seen = sorted({200 + 74 * k + rng.randint(-6, 6) for k in range(rng.randint(1, 25)) if rng.random() < 0.7} | {200})
-        rows.append((i, seen))
-    df = spark.createDataFrame(rows, "id int, seen array<int>")
-    got = df.select("id", layout.completed_grid(F.col("seen"), F.lit(74.0), Settings().layout).alias("lines")).orderBy("id").collect()
-    assert [r["lines"] for r in got] == [kernel.grid(seen, 74.0, 0.25) for _, seen in rows]
+    for i in range(80):
+        seen = sorted({200 + 74 * k + rng.randint(-6, 6) for k in range(rng.randint(1, 25)) if rng.random() < 0.7} | ({200} if i % 4 else set()))
+        rows.append((i, seen, rng.choice([None, 126, 200]), rng.choice([None, 900, 1900])))
+    df = spark.createDataFrame(rows, "id int, seen array<int>, header int, height int")
+    lines = layout.completed_grid(F.col("seen"), F.lit(74.0), Settings().layout, F.col("header"), F.col("height"))
+    got = df.select("id", lines.alias("lines")).orderBy("id").collect()
+    assert [r["lines"] or [] for r in got] == [kernel.grid(seen, 74.0, 0.25, header, height) for _, seen, header, height in rows]
