@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstream.config import Detection, Gate, Grammar, Layout, Region, Resolution, Settings, Start
+from quillstream.config import Detection, Gate, Grammar, Layout, Region, Resolution, Settings
 from quillstream.functions import distance, geometry, text
 from quillstream.operators import consolidate, detect, gate, grammar, layout, read, resolve, start, vocabulary
 from quillstream.plans import adapters, markers, report
@@ -256,10 +256,10 @@ def d04_question_start(spark, sf_dir):
     return rows.select("script_id", "page_index", "candidate_pos", "lines_below", "start_y", "start_confidence")
 
 
-@query(f"WITH RECURSIVE {START} SELECT script_id, page_index, count(*) FILTER (status <> 'DISCARDED') AS n, count(*) FILTER (status = 'DISCARDED') AS n_discarded FROM done GROUP BY ALL")
+@query(f"WITH RECURSIVE {START} SELECT script_id, page_index, count(*) FILTER (status <> 'DISCARDED')::INT AS marker_count FROM done GROUP BY ALL")
 def a13_marker_counts(spark, sf_dir):
-    rows = _classified(spark, sf_dir)
-    return rows.groupBy("script_id", "page_index").agg(F.count_if(F.col("status") != "DISCARDED").alias("n"), F.count_if(F.col("status") == "DISCARDED").alias("n_discarded"))
+    pages = _pages(spark, adapters.lines(spark, sf_dir)).select("script_id", "page_index")
+    return consolidate.page_counts(pages, _classified(spark, sf_dir))
 
 
 @query(f"WITH RECURSIVE {START} SELECT coalesce(question, '-') AS question, status, count(*) AS n FROM done GROUP BY ALL")
@@ -273,11 +273,31 @@ def x04_review_rates(spark, sf_dir):
     return report.review_rates(_classified(spark, sf_dir))
 
 
-@query(None)
+_VERSION = Settings().processing_version()
+_CONSTANTS = {
+    "ocr_engine": "scripted", "ocr_model": "none", "ocr_model_version": "0", "preprocessing_version": markers.PREPROCESSING_VERSION, "grammar_version": Grammar().version,
+    "parser_version": markers.PARSER_VERSION, "question_list_version": "unversioned", "config_version": _VERSION, "processing_version": _VERSION, "source": "AUTOMATIC",
+}
+
+
+@query(f"""WITH RECURSIVE {START}, d AS (
+  SELECT d.*, r.candidates, r.vkey, p.segments, format('{{}}-P{{:03d}}', d.script_id, d.page_index) AS page_id, coalesce(d.method, 'NONE') AS resolution_method
+  FROM done d JOIN parsed p ON p.raw = d.raw AND p.edge = (d.x <= 4) LEFT JOIN resolved r ON r.raw = d.raw AND r.edge = (d.x <= 4))
+SELECT sha1(script_id || '|' || page_id || '|{_VERSION}|' || band || '|' || (x // 39) || '|' || y)[1:16] AS marker_result_id, script_id, exam_id, page_id, page_index, candidate_pos, band AS line_index,
+  raw AS raw_ocr_text, CASE WHEN kind = 'MARKER' THEN segments[1] || array_to_string(list_transform(segments[2:], lambda s: '(' || s || ')'), '') END AS parsed_marker, vkey AS normalized_marker, question, coalesce(candidates, '') AS candidates,
+  resolution_method, array_to_string(list_concat(parse_flags, list_filter([CASE WHEN ns > 0 THEN 'NOISE_STRIPPED' END, CASE WHEN tr > 0 AND NOT list_contains(parse_flags, 'LINE_TRIMMED') THEN 'LINE_TRIMMED' END], lambda f: f IS NOT NULL)), ',') AS parse_flags,
+  round_even(detection_confidence, 4) AS detection_confidence, round_even(recognition_confidence, 4) AS recognition_confidence, round_even(recognition_confidence, 4) AS recognition_confidence_raw,
+  round_even(confidence, 4)::DOUBLE AS resolution_confidence, round_even(margin, 4)::DOUBLE AS resolution_margin, 1488 AS image_width, 2800 AS image_height, 200.0::DOUBLE AS dpi,
+  x AS marker_x, y AS marker_y, width AS marker_width, height AS marker_height, CASE WHEN discard_reason IS NULL THEN 100 END AS question_start_x, CASE WHEN discard_reason IS NULL THEN start_y::INT END AS question_start_y,
+  CASE WHEN discard_reason IS NULL THEN 'LANDMARK_LINE' END AS question_start_method, CASE WHEN discard_reason IS NULL THEN start_confidence::DOUBLE END AS question_start_confidence, status, reasons AS review_reasons, discard_reason,
+  {", ".join(f"'{v}' AS {k}" for k, v in _CONSTANTS.items())} FROM d""")
 def d12_marker_rows(spark, sf_dir):
     observations = adapters.lines(spark, sf_dir)
     pages = _pages(spark, observations)
-    return markers.assembled(markers.classified(observations, pages, adapters.identifiers(spark), Settings()), pages, Settings()).drop("marker_polygon")
+    rows = markers.assembled(markers.classified(observations, pages, adapters.identifiers(spark), Settings()), pages, Settings()).drop("marker_polygon")
+    named = F.array_join(F.transform("candidate_list", lambda c: c["question_id"]), ",").alias("candidates")
+    lists = [F.array_join(c, ",").alias(c) for c in ("parse_flags", "review_reasons")]
+    return rows.select(*(c for c in rows.columns if c not in ("candidate_list", "parse_flags", "review_reasons")), named, *lists)
 
 
 # ---- geometry and scalars --------------------------------------------------------------------
@@ -399,12 +419,17 @@ def s02_digests(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(t, 256).alias("digest"), text.content_version(t).alias("version"))
 
 
-@query(f"""WITH {BOXES} SELECT script_id, page_index, round(width / ((width + height) / 72.0), 2) AS dpi FROM boxes QUALIFY count(*) OVER (PARTITION BY script_id, page_index) = 1 AND area >= 20""")
+@query(f"""WITH {BOXES}, objects AS (SELECT *, candidate_pos - (candidate_pos % 5 = 0)::INT AS page FROM boxes WHERE candidate_pos % 7 <> 0)
+SELECT 'S' AS script_id, page AS page_index, round_even(width / ((width + height)::DOUBLE / 72), 2) AS dpi FROM objects
+QUALIFY count(*) OVER (PARTITION BY page) = 1 AND area >= 20 AND candidate_pos % 11 <> 0 AND candidate_pos % 13 <> 0""")
 def s05_embedded_pages(spark, sf_dir):
-    b = F.col("box")
+    """Pages of one object or two, some turned, some mirrored, some nested too deep to count."""
+    b, at = F.col("box"), F.col("candidate_pos")
+    unlike = lambda n, other: F.when(at % n == 0, other)
     objects = adapters.boxes(spark, sf_dir).select(
-        "script_id", "page_index", F.lit(1.0).alias("a"), F.lit(0.0).alias("b"), F.lit(0.0).alias("c"), F.lit(1.0).alias("d"), F.col("area").alias("coverage"),
-        b["width"].alias("px_width"), F.lit(0.0).alias("left_pt"), (b["width"] + b["height"]).cast("double").alias("right_pt"), F.lit(1).alias("depth"),
+        F.lit("S").alias("script_id"), unlike(5, at - 1).otherwise(at).alias("page_index"), F.lit(1.0).alias("a"), unlike(11, 0.01).otherwise(0.0).alias("b"), F.lit(0.0).alias("c"),
+        unlike(13, -1.0).otherwise(1.0).alias("d"), F.col("area").alias("coverage"), b["width"].alias("px_width"), F.lit(0.0).alias("left_pt"),
+        (b["width"] + b["height"]).cast("double").alias("right_pt"), unlike(7, 3).otherwise(1).alias("depth"),
     )
     from quillstream.sources.files import embedded_pages
 
@@ -471,12 +496,31 @@ def w03_merge_fragments(spark, sf_dir):
     return rows.select("script_id", "page_index", "band", "box.*", F.col("detection_confidence").alias("confidence"), "fragments")
 
 
-@query(None)
+@query(f"""WITH RECURSIVE {BOXES}, pages AS (SELECT script_id, page_index, list(struct_pack(x := x, y := y, w := width, h := height, c := detection_confidence, n := 1) ORDER BY y, x, candidate_pos) AS items FROM boxes GROUP BY ALL),
+walk(script_id, page_index, items, go) AS (
+  SELECT script_id, page_index, items, true FROM pages
+  UNION ALL
+  SELECT script_id, page_index, CASE WHEN p IS NULL THEN items ELSE list_concat(items[1:p.i - 1], [struct_pack(x := least(items[p.i].x, items[p.j].x), y := least(items[p.i].y, items[p.j].y),
+      w := greatest(items[p.i].x + items[p.i].w, items[p.j].x + items[p.j].w) - least(items[p.i].x, items[p.j].x), h := greatest(items[p.i].y + items[p.i].h, items[p.j].y + items[p.j].h) - least(items[p.i].y, items[p.j].y),
+      c := least(items[p.i].c, items[p.j].c), n := items[p.i].n + items[p.j].n)], items[p.i + 1:p.j - 1], items[p.j + 1:]) END, p IS NOT NULL
+  FROM (SELECT *, list_filter(flatten(list_transform(range(1, len(items) + 1), lambda i: list_transform(range(i + 1, len(items) + 1), lambda j:
+      CASE WHEN (least(items[i].y + items[i].h, items[j].y + items[j].h) - greatest(items[i].y, items[j].y)) / greatest(1, least(items[i].h, items[j].h))::DOUBLE >= 0.3
+        AND greatest(items[i].x, items[j].x) - least(items[i].x + items[i].w, items[j].x + items[j].w) <= 6 THEN struct_pack(i := i, j := j) END))), lambda q: q IS NOT NULL)[1] AS p FROM walk WHERE go))
+SELECT script_id, page_index, o.x::INT AS x, o.y::INT AS y, o.w::INT AS width, o.h::INT AS height, o.c AS detection_confidence, o.n AS fragments
+FROM (SELECT script_id, page_index, unnest(items) AS o FROM walk WHERE NOT go)""")
 def w03_merge_by_overlap(spark, sf_dir):
     return detect.merge_by_overlap(adapters.boxes(spark, sf_dir), 6).select("script_id", "page_index", "box.*", "detection_confidence", "fragments")
 
 
-@query(None)
+@query(f"""WITH RECURSIVE {BOXES}, r AS (SELECT *, row_number() OVER (PARTITION BY script_id, page_index ORDER BY detection_confidence DESC, candidate_pos) AS k FROM boxes),
+walk(script_id, page_index, k, kept, pick) AS (
+  SELECT script_id, page_index, k, [struct_pack(bx := x, b_y := y, bw := width, bh := height)], candidate_pos FROM r WHERE k = 1
+  UNION ALL
+  SELECT script_id, page_index, k, CASE WHEN clash THEN kept ELSE list_append(kept, struct_pack(bx := x, b_y := y, bw := width, bh := height)) END, CASE WHEN NOT clash THEN candidate_pos END FROM (
+    SELECT r.*, w.kept, len(list_filter(list_transform(w.kept, lambda b: struct_pack(n := greatest(0, least(b.bx + b.bw, r.x + r.width) - greatest(b.bx, r.x)) * greatest(0, least(b.b_y + b.bh, r.y + r.height) - greatest(b.b_y, r.y)), u := b.bw * b.bh + r.width * r.height)),
+      lambda o: o.n / (o.u - o.n)::DOUBLE >= 0.3)) > 0 AS clash
+    FROM walk w JOIN r ON r.script_id = w.script_id AND r.page_index = w.page_index AND r.k = w.k + 1))
+SELECT script_id, page_index, pick AS candidate_pos FROM walk WHERE pick IS NOT NULL""")
 def j06_suppression(spark, sf_dir):
     return detect.suppressed(adapters.boxes(spark, sf_dir), Detection()).select("script_id", "page_index", "candidate_pos")
 
@@ -528,14 +572,23 @@ def a21_skew(spark, sf_dir):
 
 @query(f"WITH {SIGNAL} SELECT vec_id, round(avg((v > 0.1)::INT), 6) AS ink, avg((v > 0.1)::INT) >= 0.5 AS enough FROM signal GROUP BY vec_id")
 def a22_ink_ratio(spark, sf_dir):
-    ink = F.avg((F.col("v") > 0.1).cast("int"))
-    return _signal(spark, sf_dir).groupBy("vec_id").agg(F.round(ink, 6).alias("ink"), (ink >= 0.5).alias("enough"))
+    rows = layout.ink_ratio(_signal(spark, sf_dir), ("vec_id",), F.col("v") > 0.1)
+    return rows.select("vec_id", F.round("ink", 6).alias("ink"), (F.col("ink") >= 0.5).alias("enough"))
 
 
-@query(None)
+@query(f"""WITH RECURSIVE {BOXES}, pages AS (SELECT page_index, list_sort(list_distinct(list(y))) AS seen, CASE WHEN page_index % 3 = 0 THEN 20 END AS header, CASE WHEN page_index % 2 = 0 THEN 1500 END AS height FROM boxes GROUP BY page_index),
+ends AS (SELECT page_index, seen, coalesce(header, seen[1]) AS first, least(list_max(seen) + 18.5, height - 0.3 * 74) AS stop FROM pages),
+walk(page_index, i, here, line) AS (
+  SELECT page_index, 0, first::DOUBLE, first::INT FROM ends
+  UNION ALL
+  SELECT page_index, i + 1, coalesce(pick, here + 74), coalesce(pick, round_even(here + 74, 0))::INT FROM (
+    SELECT w.*, list_sort(list_transform(list_filter(e.seen, lambda v: abs(v - (w.here + 74)) <= 18.5), lambda v: struct_pack(d := abs(v - (w.here + 74)), v := v)))[1].v AS pick
+    FROM walk w JOIN ends e USING (page_index) WHERE w.here + 74 <= e.stop))
+SELECT page_index, string_agg(line::VARCHAR, ',' ORDER BY i) AS lines FROM walk GROUP BY page_index""")
 def w06_line_grid(spark, sf_dir):
     rows = adapters.boxes(spark, sf_dir).groupBy("page_index").agg(F.sort_array(F.collect_set(F.col("box")["y"])).alias("seen"))
-    return rows.select("page_index", F.array_join(layout.completed_grid(F.col("seen"), F.lit(74.0), Layout()), ",").alias("lines"))
+    header, height = F.when(F.col("page_index") % 3 == 0, F.lit(20)), F.when(F.col("page_index") % 2 == 0, F.lit(1500))
+    return rows.select("page_index", F.array_join(layout.completed_grid(F.col("seen"), F.lit(74.0), Layout(), header, height), ",").alias("lines"))
 
 
 @query(f"WITH {SHEETS} SELECT script_id, page_index, CASE WHEN components <= 2 THEN 'BLANK' WHEN components <= 40 THEN 'SPARSE' ELSE 'NORMAL' END AS content_class FROM sheets")
@@ -543,6 +596,133 @@ def a17_content_class(spark, sf_dir):
     return adapters.sheets(spark, sf_dir).select("script_id", "page_index", layout.content_class(F.col("components"), 2, 40).alias("content_class"))
 
 
+@query(f"""WITH {BOXES}, l AS (SELECT candidate_pos, CASE WHEN candidate_pos % 7 <> 0 THEN x END AS rule, CASE WHEN candidate_pos % 3 <> 0 THEN y END AS header, CASE WHEN candidate_pos % 5 = 0 THEN []::INT[] ELSE [y, y + 74, y + 148] END AS lines FROM boxes)
+SELECT candidate_pos, round_even(0.8::DOUBLE * rule + -0.6::DOUBLE * coalesce(lines[len(lines) // 2 + 1], 0) + 5.0::DOUBLE, 0)::INT AS margin_rule_x,
+  round_even(0.6::DOUBLE * coalesce(rule, 0) + 0.8::DOUBLE * header + -7.0::DOUBLE, 0)::INT AS header_y,
+  array_to_string(list_transform(lines, lambda v: round_even(0.6::DOUBLE * coalesce(rule, 0) + 0.8::DOUBLE * v + -7.0::DOUBLE, 0)::INT), ',') AS lines, 74.13::DOUBLE AS line_pitch_px, 0.124::DOUBLE AS skew_deg FROM l""")
+def p21_layout_to_canonical(spark, sf_dir):
+    at, b = F.col("candidate_pos"), F.col("box")
+    lines = F.when(at % 5 == 0, F.array().cast("array<int>")).otherwise(F.array(b["y"], b["y"] + 74, b["y"] + 148))
+    shape = F.struct(
+        F.lit(True).alias("found"), F.when(at % 7 != 0, b["x"]).alias("margin_rule_x"), F.when(at % 3 != 0, b["y"]).alias("header_y"), lines.alias("ruled_line_ys"),
+        F.lit(74.126).alias("line_pitch_px"), F.lit(0.1239).alias("skew_deg"),
+    )
+    m = F.array(*map(F.lit, (0.8, -0.6, 5.0, 0.6, 0.8, -7.0)))
+    rows = adapters.boxes(spark, sf_dir).select("candidate_pos", shape.alias("shape")).select("candidate_pos", layout.to_canonical(F.col("shape"), m).alias("c"))
+    return rows.select("candidate_pos", "c.margin_rule_x", "c.header_y", F.array_join("c.ruled_line_ys", ",").alias("lines"), "c.line_pitch_px", "c.skew_deg")
+
+
+# ---- pixels ----------------------------------------------------------------------------------
+# Embeddings stand in for pictures of 8 x 8 cells, of which the brightness is the value's size.
+
+
+def _per_picture(spark, sf_dir, kernel_of, schema: str):
+    """kernel_of(picture) gives rows; schema names them after vec_id. The kernels of quillstream.image run in workers."""
+
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+
+        names = ["vec_id", *(x.split()[0] for x in schema.split(", "))]
+        for df in batches:
+            rows = [(i, *r) for i, v in zip(df["vec_id"], df["embedding"]) for r in kernel_of(np.floor(np.abs(np.asarray(v, float)) * 400).reshape(8, 8))]
+            yield pd.DataFrame(rows, columns=names)
+
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    return rows.mapInPandas(run, f"vec_id long, {schema}")
+
+
+CELLS = """cells AS (SELECT vec_id, i // 8 AS r, i % 8 AS c, floor(abs(e::DOUBLE) * 400) AS v FROM (SELECT vec_id, unnest(range(64)) AS i, unnest(embedding) AS e FROM embeddings))"""
+
+
+@query(f"""WITH {CELLS}, edges AS (SELECT *, CASE WHEN v > 30 AND NOT coalesce(lag(v > 30) OVER (PARTITION BY vec_id, r ORDER BY c), false) THEN 1 ELSE 0 END AS new FROM cells),
+runs AS (SELECT *, sum(new) OVER (PARTITION BY vec_id, r ORDER BY c) AS run FROM edges),
+long AS (SELECT *, count(*) OVER (PARTITION BY vec_id, r, run) AS n FROM runs WHERE v > 30)
+SELECT vec_id, r::INT AS y, c::INT AS x FROM long WHERE n >= 3""")
+def i02_opening(spark, sf_dir):
+    from quillstream.image import kernel
+
+    return _per_picture(spark, sf_dir, lambda g: zip(*(a.tolist() for a in kernel.open_runs(g > 30, 3, 1).nonzero())), "y int, x int")
+
+
+@query(f"WITH {CELLS} SELECT vec_id, (r // 2)::INT AS y, (c // 2)::INT AS x, avg(v)::DOUBLE AS mean FROM cells GROUP BY ALL")
+def i11_area_resize(spark, sf_dir):
+    from quillstream.image import kernel
+
+    return _per_picture(spark, sf_dir, lambda g: [(y, x, float(m)) for y, row in enumerate(kernel.block_mean(g, 2)) for x, m in enumerate(row)], "y int, x int, mean double")
+
+
+@query(f"""WITH {CELLS}, near AS (SELECT a.vec_id, a.r, a.c, a.v, sum(b.v) AS s FROM cells a, (SELECT unnest([-1, 0, 1]) AS dr), (SELECT unnest([-1, 0, 1]) AS dc), cells b
+  WHERE b.vec_id = a.vec_id AND b.r = least(7, greatest(0, a.r + dr)) AND b.c = least(7, greatest(0, a.c + dc)) GROUP BY ALL)
+SELECT vec_id, r::INT AS y, c::INT AS x FROM near WHERE 9 * v < s - 9 * 15.5""")
+def i01_adaptive_ink(spark, sf_dir):
+    from quillstream.image import kernel
+
+    return _per_picture(spark, sf_dir, lambda g: zip(*(a.tolist() for a in kernel.adaptive_ink(g, 3, 15.5).nonzero())), "y int, x int")
+
+
+@query(f"""WITH RECURSIVE {CELLS}, ink AS (SELECT vec_id, r, c FROM cells WHERE v > 60),
+near AS (SELECT a.vec_id, a.r * 8 + a.c AS p, b.r * 8 + b.c AS q FROM ink a JOIN ink b ON a.vec_id = b.vec_id AND abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1),
+reached AS (SELECT vec_id, p, p AS q FROM near UNION SELECT t.vec_id, t.p, n.q FROM reached t JOIN near n ON n.vec_id = t.vec_id AND n.p = t.q),
+named AS (SELECT vec_id, p, min(q) AS root FROM reached GROUP BY ALL)
+SELECT vec_id, min(p % 8)::INT AS x, min(p // 8)::INT AS y, (max(p % 8) - min(p % 8) + 1)::INT AS width, (max(p // 8) - min(p // 8) + 1)::INT AS height, count(*)::INT AS area FROM named GROUP BY vec_id, root""")
+def a16_components(spark, sf_dir):
+    from quillstream.image import kernel
+
+    return _per_picture(spark, sf_dir, lambda g: kernel.components(g > 60).tolist(), "x int, y int, width int, height int, area int")
+
+
+@query(f"""WITH {BOXES}, c AS (SELECT candidate_pos, least(160, x + width + 8) - greatest(0, x - 8) AS w, least(1900, y + height + 8) - greatest(0, y - 8) AS h FROM boxes WHERE x < 152 AND y < 1892)
+SELECT candidate_pos, (w + 2 * greatest(4, h // 4))::INT AS crop_width, (h + 2 * (greatest(4, h // 4) // 2))::INT AS crop_height FROM c""")
+def p16_crops(spark, sf_dir):
+    schema = "candidate_pos int, crop_width int, crop_height int"
+
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+
+        from quillstream.image import kernel
+
+        strip = np.zeros((1900, 160), np.uint8)
+        for df in batches:
+            shapes = [kernel.crop(strip, (b["x"], b["y"], b["width"], b["height"]), DPI, Detection().padding_mm).shape for b in df["box"]]
+            yield pd.DataFrame({"candidate_pos": df["candidate_pos"], "crop_width": [w for _, w in shapes], "crop_height": [h for h, _ in shapes]})
+
+    return adapters.boxes(spark, sf_dir).where("box.x < 152 and box.y < 1892").select("candidate_pos", "box").mapInPandas(run, schema)
+
+
+@query(f"""WITH {SHEETS}, t AS (SELECT script_id, page_index, (200 + components % 900 * 3)::INT AS h, CASE WHEN page_index % 4 = 0 THEN 296 ELSE 4 * (60 + page_index) END AS tall,
+  CASE WHEN page_index % 4 = 0 THEN 222 ELSE 3 * (60 + page_index) END AS step FROM sheets)
+SELECT script_id, page_index, k::INT AS tile, (k * step)::INT AS top, least(h, k * step + tall)::INT AS bottom FROM t, unnest(range(ceil(greatest(0, h - tall) / step::DOUBLE)::BIGINT + 1)) AS r(k) WHERE least(h, k * step + tall) - k * step >= 10""")
+def i10_tiles(spark, sf_dir):
+    pages = adapters.sheets(spark, sf_dir).select(
+        "script_id", "page_index", F.lit(DPI).alias("dpi"), (200 + F.col("components") % 900 * 3).cast("int").alias("region_height"),
+        F.when(F.col("page_index") % 4 != 0, (60 + F.col("page_index")).cast("double")).alias("line_pitch_px"),
+    )
+    return detect.tiles(pages, Detection())
+
+
+_STATES = ("QUEUED", "PROCESSING", "COMPLETED", "FAILED_RETRYABLE", "FAILED_PERMANENT", "PROCESSING", "FAILED_RETRYABLE")
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT event_id // 6 AS job_id, event_id % 6 AS seq, {adapters._picked(_STATES, "(event_id * 5 + event_id // 6)")} AS s FROM events),
+walk(job_id, seq, status, attempts, rejected) AS (
+  SELECT DISTINCT job_id, (SELECT min(seq) FROM e) - 1, 'QUEUED', 0, 0 FROM e
+  UNION ALL
+  SELECT job_id, seq, CASE WHEN fits AND s = 'FAILED_RETRYABLE' AND attempts >= 2 THEN 'FAILED_PERMANENT' WHEN fits THEN s ELSE status END, attempts + (fits AND s = 'PROCESSING')::INT, rejected + (NOT fits AND s <> status)::INT FROM (
+    SELECT w.job_id, e.seq, w.status, w.attempts, w.rejected, e.s, CASE w.status WHEN 'QUEUED' THEN e.s = 'PROCESSING' WHEN 'PROCESSING' THEN e.s IN ('COMPLETED', 'FAILED_RETRYABLE', 'FAILED_PERMANENT')
+      WHEN 'FAILED_RETRYABLE' THEN e.s IN ('QUEUED', 'FAILED_PERMANENT') ELSE false END AS fits FROM walk w JOIN e ON e.job_id = w.job_id AND e.seq = w.seq + 1))
+SELECT job_id, status, attempts, rejected FROM walk QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY seq DESC) = 1""")
+def x02_job_states(spark, sf_dir):
+    from quillstream.streaming import tracker
+
+    at = F.col("event_id")
+    events = table(spark, sf_dir, "events").select(
+        F.expr("event_id div 6").alias("job_id"), (at % 6).alias("seq"), F.get(F.array(*map(F.lit, _STATES)), ((at * 5 + F.expr("event_id div 6")) % len(_STATES)).cast("int")).alias("status")
+    )
+    return tracker.job_states(events, 2)
+
+
 # ---- scripts ---------------------------------------------------------------------------------
 
 
@@ -613,12 +793,28 @@ def d05_consolidate(spark, sf_dir):
     return rows.select("script_id", "page_index", "question", "status", F.array_join("review_reasons", ",").alias("reasons"))
 
 
-@query(None)
+@query(f"""WITH {LATE}, {SHEETS.strip()},
+own AS (SELECT * REPLACE (replace(script_id, 'D', 'C') AS script_id) FROM sheets),
+scripts AS (SELECT DISTINCT script_id FROM own),
+firsts AS (SELECT script_id, min(page_index) AS first_page FROM own WHERE page_role = 'ANSWER' AND processing_status = 'PROCESSED' AND content_class IN ('NORMAL', 'SPARSE') GROUP BY ALL),
+looked AS (SELECT *, EXISTS (SELECT 1 FROM ordered o WHERE o.script_id = f.script_id) AS marked,
+  EXISTS (SELECT 1 FROM turns t WHERE t.script_id = f.script_id AND t.page_index = f.first_page AND t.status IN ('ACCEPTED', 'REVIEW_REQUIRED', 'UNRESOLVED')) AS here FROM firsts f),
+found AS (
+  SELECT script_id, 0 AS phase, min(seq) AS seq, 'DUPLICATE_QUESTION' AS flag, 'Question ' || question || ' appears ' || count(*) || ' times (pages ' || string_agg(page_index::VARCHAR, ', ' ORDER BY seq) || ')' AS detail
+  FROM ordered GROUP BY script_id, question HAVING count(*) > 1
+  UNION ALL SELECT n.script_id, 1, n.seq, 'OUT_OF_ORDER', 'Question ' || n.question || ' (page ' || n.page_index || ') after ' || h.question || ' (page ' || h.page_index || ')' FROM named n JOIN ordered h ON h.script_id = n.script_id AND h.seq = n.after_seq
+  UNION ALL SELECT script_id, 2, 0, 'ANSWER_COUNT_MISMATCH', count(DISTINCT question) || ' distinct questions found; rules allow 3..5' FROM scripts LEFT JOIN ordered USING (script_id) GROUP BY script_id HAVING count(DISTINCT question) NOT BETWEEN 3 AND 5
+  UNION ALL SELECT script_id, 3, 0, CASE WHEN marked THEN 'POSSIBLE_MISSED_MARKER' ELSE 'NO_MARKERS' END, CASE WHEN marked THEN 'First written answer page (' || first_page || ') has no marker' ELSE 'Answer pages contain writing but no question markers were found' END FROM looked WHERE NOT (marked AND here)
+  UNION ALL SELECT script_id, 4, 0, 'INCOMPLETE', 'Pages failed: [' || string_agg(page_index::VARCHAR, ', ' ORDER BY page_index) || ']' FROM own WHERE processing_status LIKE 'FAILED%' GROUP BY script_id),
+flags AS (SELECT script_id, string_agg(flag, ',' ORDER BY phase) AS flags FROM (SELECT DISTINCT script_id, phase, flag FROM found) GROUP BY script_id),
+details AS (SELECT script_id, string_agg(detail, '; ' ORDER BY phase, seq, flag, detail) AS flag_details FROM found GROUP BY script_id)
+SELECT script_id, coalesce(flags, '') AS flags, coalesce(flag_details, '') AS flag_details FROM scripts LEFT JOIN flags USING (script_id) LEFT JOIN details USING (script_id)""")
 def d07_script_flags(spark, sf_dir):
     words = vocabulary.build(spark.createDataFrame([("EXAM", "1", i, str(i + 1), None) for i in range(8)], VOCABULARY_ENTRIES))
     rules = spark.createDataFrame([("EXAM", 3, 5)], "exam_id string, min_answers int, max_answers int")
     pages = adapters.sheets(spark, sf_dir).withColumn("script_id", F.regexp_replace("script_id", "D", "C"))
-    return consolidate.script_flags(pages, adapters.turns(spark, sf_dir), words, rules)
+    found = consolidate.script_flags(pages, adapters.turns(spark, sf_dir), words, rules)
+    return found.select("script_id", F.array_join("flags", ",").alias("flags"), F.array_join("flag_details", "; ").alias("flag_details"))
 
 
 # ---- vocabulary ------------------------------------------------------------------------------
@@ -673,14 +869,10 @@ def d11_targets(spark, sf_dir):
 # ---- more of the way to the gate -------------------------------------------------------------
 
 
-@query(f"WITH RECURSIVE {SCORES} SELECT raw, edge, question, rank::INT AS rank FROM ranked")
+@query(f"WITH RECURSIVE {SCORES} SELECT raw, edge, question, rank::INT AS rank FROM ranked WHERE rank <= 5")
 def a05_ranking(spark, sf_dir):
-    from pyspark.sql import Window
-
-    parsed = _parsed(spark, sf_dir).where("kind = 'MARKER'").withColumn("exam_id", F.lit("EXAM")).withColumn("reading", F.struct("raw", "edge"))
-    s = resolve.scores(parsed, adapters.identifiers(spark), _SETTINGS)
-    order = Window.partitionBy("reading").orderBy(F.desc("score"), F.desc("exact"), "ord")
-    return s.select("reading.raw", "reading.edge", "question", F.row_number().over(order).alias("rank"))
+    rows = _resolved(spark, sf_dir).where("kind = 'MARKER'").select("raw", "edge", F.posexplode("candidates").alias("at", "c"))
+    return rows.select("raw", "edge", F.col("c.question_id").alias("question"), (F.col("at") + 1).alias("rank"))
 
 
 @query(f"WITH RECURSIVE {SCORES} SELECT raw, edge, concat_ws(',', CASE WHEN ns > 0 THEN 'NOISE_STRIPPED' END, CASE WHEN tr > 0 THEN 'LINE_TRIMMED' END) AS flags FROM resolved")
@@ -688,10 +880,10 @@ def a09_variant_flags(spark, sf_dir):
     return _resolved(spark, sf_dir).where("kind = 'MARKER'").select("raw", "edge", F.array_join("resolution_flags", ",").alias("flags"))
 
 
-@query(f"WITH {PARSED}, {VOCABULARY} SELECT raw, edge, canonical FROM parsed p JOIN words w ON array_to_string(p.segments, '|') = w.key WHERE kind = 'MARKER'".replace("SELECT raw, edge, canonical", "SELECT p.raw AS raw, edge, canonical"))
+@query(f"WITH RECURSIVE {SCORES} SELECT raw, edge, question FROM best WHERE exact")
 def j02_exact_key_match(spark, sf_dir):
-    words = adapters.identifiers(spark).select("key", "canonical")
-    return _parsed(spark, sf_dir).where("kind = 'MARKER'").withColumn("key", text.key(F.col("segments"))).join(F.broadcast(words), "key").select("raw", "edge", "canonical")
+    parsed = _parsed(spark, sf_dir).where("kind = 'MARKER'").withColumn("exam_id", F.lit("EXAM")).withColumn("reading", F.struct("raw", "edge"))
+    return resolve.scores(parsed, adapters.identifiers(spark), _SETTINGS).where("exact").select("reading.raw", "reading.edge", "question")
 
 
 @query(f"WITH RECURSIVE {GATED} SELECT script_id, page_index, candidate_pos, coalesce(discard_reason = 'HEADER_TOKEN', false) AS is_header FROM headed WHERE kind = 'PREFIX_ONLY'")
@@ -716,11 +908,16 @@ def p23_shown_question(spark, sf_dir):
     return _classified(spark, sf_dir).select("script_id", "page_index", "candidate_pos", report.shown_question(F.col("question"), best, F.col("status")).alias("shown"))
 
 
-@query("SELECT exam, q, n::BIGINT AS n FROM (SELECT 'E' || (s_suppkey % 3) AS exam, (s_suppkey % 40)::VARCHAR AS q, count(*) AS n FROM supplier GROUP BY ALL) WHERE n > 1")
+@query("""SELECT exam_id, ord, raw, 'DUPLICATE' AS error FROM (
+  SELECT 'E' || (s_suppkey % 2) AS exam_id, s_suppkey::INT AS ord, (s_suppkey % 3 + 1) || CASE WHEN s_suppkey % 4 = 0 THEN '(a)' ELSE '' END AS raw FROM supplier)
+QUALIFY row_number() OVER (PARTITION BY exam_id, raw ORDER BY ord) > 1""")
 def o08_repeated_keys(spark, sf_dir):
     k = F.col("s_suppkey")
-    rows = table(spark, sf_dir, "supplier").select(F.concat(F.lit("E"), (k % 3).cast("string")).alias("exam"), (k % 40).cast("string").alias("q"))
-    return rows.groupBy("exam", "q").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    raw = F.concat((k % 3 + 1).cast("string"), F.when(k % 4 == 0, "(a)").otherwise(""))
+    rows = table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("E"), (k % 2).cast("string")).alias("exam_id"), F.lit("1").alias("version"), k.cast("int").alias("ord"), raw.alias("raw"), F.lit(None).cast("boolean").alias("explicit_target")
+    )
+    return vocabulary.errors(rows)
 
 
 @query(f"WITH {BOXES} SELECT candidate_pos, round(x * 72 / 200.0::DOUBLE, 6) AS px, round(800 - y * 72 / 200.0::DOUBLE, 6) AS py FROM boxes")
@@ -730,11 +927,10 @@ def x09_pdf_points(spark, sf_dir):
     return adapters.boxes(spark, sf_dir).select("candidate_pos", F.round(p["x"], 6).alias("px"), F.round(p["y"], 6).alias("py"))
 
 
-@query(f"""WITH {BOXES} SELECT script_id, page_index, count(*) AS n, least(min(x), 1000) AS x, max(x + width) - min(x) AS width, min(y) AS y, max(y + height) - min(y) AS height FROM boxes GROUP BY ALL""")
+@query(f"""WITH {BOXES} SELECT script_id, page_index, count(*) AS n, min(x) AS x, max(x + width) - min(x) AS width, min(y) AS y, max(y + height) - min(y) AS height FROM boxes GROUP BY ALL""")
 def p11_union_of_a_page(spark, sf_dir):
-    b = F.col("box")
-    rows = adapters.boxes(spark, sf_dir).groupBy("script_id", "page_index")
-    return rows.agg(F.count(F.lit(1)).alias("n"), F.min(b["x"]).alias("x"), (F.max(geometry.x2(b)) - F.min(b["x"])).alias("width"), F.min(b["y"]).alias("y"), (F.max(geometry.y2(b)) - F.min(b["y"])).alias("height"))
+    rows = adapters.boxes(spark, sf_dir).groupBy("script_id", "page_index").agg(F.count(F.lit(1)).alias("n"), F.collect_list("box").alias("_all"))
+    return rows.select("script_id", "page_index", "n", geometry.union(F.col("_all")).alias("u")).select("script_id", "page_index", "n", "u.*")
 
 
 @query("""SELECT count(*) AS n, count(predicted) / count(*)::DOUBLE AS recall, avg((predicted = truth)::INT) AS resolved_right,
@@ -748,6 +944,27 @@ def x04_acceptance(spark, sf_dir):
     return report.acceptance(rows, df.select(key, F.col("quality").cast("string").alias("true_question")))
 
 
+@query("""WITH auto AS (SELECT doc_id::VARCHAR AS id, (doc_id % 5)::VARCHAR AS question, CASE WHEN doc_id % 3 > 0 THEN 'ACCEPTED' ELSE 'REVIEW_REQUIRED' END AS status FROM labels),
+reviews AS (SELECT doc_id::VARCHAR AS id, ['CONFIRM', 'CORRECT', 'REJECT', 'ADD'][(doc_id // 4 % 4 + 1)::INT] AS action, (doc_id % 6)::VARCHAR AS q, doc_id % 7 AS t FROM labels WHERE doc_id % 4 = 0
+  UNION ALL SELECT doc_id::VARCHAR, ['CORRECT', 'REJECT'][(doc_id // 8 % 2 + 1)::INT], (doc_id % 4)::VARCHAR, 3 FROM labels WHERE doc_id % 8 = 0),
+last AS (SELECT * FROM reviews QUALIFY row_number() OVER (PARTITION BY id ORDER BY t DESC, action) = 1)
+SELECT a.id AS marker_result_id, CASE WHEN action = 'CORRECT' THEN q ELSE question END AS question, CASE WHEN action = 'REJECT' THEN 'REJECTED' WHEN action IS NOT NULL THEN 'ACCEPTED' ELSE status END AS status,
+  CASE WHEN action = 'CORRECT' THEN 'REVIEWER_CORRECTED' WHEN action = 'ADD' THEN 'REVIEWER_ADDED' ELSE 'AUTOMATIC' END AS source, CASE WHEN action = 'CORRECT' AND q <> question THEN 'HUMAN_VS_REPROCESS_CONFLICT' ELSE '' END AS reasons
+FROM auto a LEFT JOIN last l USING (id)""")
+def x03_human_override(spark, sf_dir):
+    df = table(spark, sf_dir, "labels").select("doc_id")
+    at, key = F.col("doc_id"), F.col("doc_id").cast("string").alias("marker_result_id")
+    pick = lambda names, n: F.get(F.array(*map(F.lit, names)), (n % len(names)).cast("int"))
+    auto = df.select(
+        key, (at % 5).cast("string").alias("question"), F.when(at % 3 > 0, "ACCEPTED").otherwise("REVIEW_REQUIRED").alias("status"),
+        F.array().cast("array<string>").alias("review_reasons"), F.lit("AUTOMATIC").alias("source"),
+    )
+    one = df.where("doc_id % 4 = 0").select(key, pick(("CONFIRM", "CORRECT", "REJECT", "ADD"), F.expr("doc_id div 4")).alias("action"), F.create_map(F.lit("question"), (at % 6).cast("string")).alias("corrected"), (at % 7).alias("reviewed_at"))
+    two = df.where("doc_id % 8 = 0").select(key, pick(("CORRECT", "REJECT"), F.expr("doc_id div 8")).alias("action"), F.create_map(F.lit("question"), (at % 4).cast("string")).alias("corrected"), F.lit(3).cast("long").alias("reviewed_at"))
+    rows = markers.effective(auto, one.unionByName(two))
+    return rows.select("marker_result_id", "question", "status", "source", F.array_join("review_reasons", ",").alias("reasons"))
+
+
 @query("""SELECT CASE WHEN d <> '1' THEN d END AS question, CASE WHEN d = '1' THEN 'UNRESOLVED' WHEN c < 0.92 THEN 'REVIEW_REQUIRED' ELSE 'ACCEPTED' END AS status, count(*) AS n
 FROM (SELECT o_orderpriority[1] AS d, (70 + o_orderkey % 31) / 100.0 AS c FROM orders) GROUP BY ALL""")
 def flagship(spark, sf_dir):

@@ -44,6 +44,7 @@ def test_scan(spark, tmp_path, capsys):
 
     from quillstream.config import Settings
     from quillstream.image import codec
+    from quillstream.plans import scan as plan
     from quillstream.sources import engines
 
     folder = tmp_path / "images"
@@ -79,12 +80,13 @@ def test_scan(spark, tmp_path, capsys):
     assert picture.shape == (1288, 744, 3)
     # the text detector's path, over tiles
     box = [[20.0, 10.0], [62.0, 10.0], [62.0, 60.0], [20.0, 60.0]]
-    other = cli.load_settings(None, {"detection": {"method": "text_detector"}, "booklet": {"page_roles": {1: "COVER", 4: "COVER"}}})
-    assert cli.scan(spark, str(folder), str(tmp_path / "q.txt"), out, other, "by size", detector_options={"found": [(box, 0.8)]}) == 0
-    both = spark.read.parquet(f"{out}/markers")
-    assert both.select("processing_version").distinct().count() == 2
-    tiled = both.where(f"processing_version = '{other.processing_version()}'")
-    assert tiled.where("page_index = 1").isEmpty() and tiled.where("page_index = 2").count() >= 8
+    other = cli.load_settings(None, {"detection": {"method": "text_detector"}})
+    facts = spark.read.parquet(f"{out}/work/facts").where("page_index = 2")
+    tiled = plan.observations(facts, other, "by size", "q", detector_options={"found": [(box, 0.8)]}).collect()
+    height = codec.read(facts.first()["region"]).shape[0]
+    assert [r["candidate_pos"] for r in sorted(tiled, key=lambda r: r["box"]["y"])] == list(range(1, len(tiled) + 1)) and len(tiled) == -(-(height - 296) // 222) + 1
+    assert {(r["box"]["x"], r["box"]["width"], r["exam_id"], r["detection_confidence"]) for r in tiled} == {(20, 42, "q", 0.8)}
+    assert sorted(r["box"]["y"] for r in tiled)[:2] == [facts.first()["region_top"] + 10, facts.first()["region_top"] + 232]
 
 
 def test_json_logs(tmp_path):
