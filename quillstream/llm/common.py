@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +15,11 @@ from pyspark.sql import functions as F
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_CLASS = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of a Parquet row group of our own tables; a writer holds one in memory.
+ROW_GROUP = 16 << 20
+#: The least time between two releases of a worker's memory.
+RELEASE_SECONDS = 3
+_released = 0.0
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Rows of this remainder are held out from every fit.
 HELD_OUT = 2
@@ -22,22 +30,64 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only where none is set (a single machine), one of our own."""
+    """The folder that driver and executors share. Only on a single machine, where none is set, one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors reach")
         found = "file://" + tempfile.mkdtemp(prefix="quillstream-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> str:
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Rows go to Python a thousand at a time: batches are held several times over, off the heap and in the worker.
 
-    Returns what was set before, for those that need fewer and have their result written when they return.
+    It stays so for the session, as plans run later than they are made; all operators that return such plans agree.
     """
+    spark.conf.set(BATCH_ROWS, rows)
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Fewer rows at a time for what runs inside."""
     before = spark.conf.get(BATCH_ROWS)
     spark.conf.set(BATCH_ROWS, rows)
-    return before
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_ROWS, before)
+
+
+def frugal(run: Callable[[Iterator], Iterator], tidy: Callable[[], None] | None = None) -> Callable[[Iterator], Iterator]:
+    """run for mapInArrow, whose worker gives back what it no longer needs when a task ends: workers wait for the next
+    one and, with the executor's other processes, share its memory. tidy drops what the worker remembers."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            if tidy:
+                tidy()
+            release()
+
+    return wrapped
+
+
+def release() -> None:
+    """Freed memory back to the system, where the C library can do that; every few seconds at most, for short tasks."""
+    global _released
+    if time.monotonic() < _released + RELEASE_SECONDS:
+        return
+    import ctypes
+
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+    _released = time.monotonic()
 
 
 class Workspace:
@@ -59,10 +109,14 @@ class Workspace:
         return df.coalesce(each * cores)
 
     def hold(self, df: DataFrame, name: str, each: int | None = 2) -> DataFrame:
-        """Write df and return what was written; each: files for each core at most, None for one of each partition."""
+        """Write df and return what was written.
+
+        each: files for each core at most, for tables that stay small; None for one of each partition, so that what goes
+        into a task is what adaptive execution puts there, however large the table.
+        """
         if each:
             df = self.few(df, each)
-        df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
+        df.write.mode("overwrite").options(compression="zstd", **{"parquet.block.size": ROW_GROUP}).parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def _files(self, path: str):

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import BATCH_ROWS, Workspace, row_key, small_batches
+from quillstream.llm.common import Workspace, batches_of, frugal, row_key
 
 SHINGLE = 5
 #: Links have 100 * intersection >= PERCENT * union.
@@ -161,7 +161,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                     ["doc_id", "row", "n_shingles", "name", "tokens"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, row long, n_shingles long, name binary, tokens binary")
+    return docs.mapInArrow(frugal(run), "doc_id long, row long, n_shingles long, name binary, tokens binary")
 
 
 def branch(space: Workspace, classes: DataFrame) -> DataFrame:
@@ -173,7 +173,7 @@ def branch(space: Workspace, classes: DataFrame) -> DataFrame:
     done = []
     for level in range(LEVELS):
         sizes = space.hold(rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), f"sizes{level}")
-        rows = space.hold(rows.join(sizes, "node"), f"level{level}")
+        rows = space.hold(rows.join(sizes, "node"), f"level{level}", None)
         space.drop(f"sizes{level}")
         last = level == LEVELS - 1
         done.append(rows.where(F.col("size") <= LEAF).select("tree", "node", "name", "size", F.lit(False).alias("dense")))
@@ -197,7 +197,7 @@ def deepen(space: Workspace, dense: DataFrame, classes: DataFrame) -> DataFrame:
         counts = rows.groupBy("node", "label").agg(F.count(F.lit(1)).alias("n"))
         facts = counts.groupBy("node").agg(F.sum("n").alias("size"), F.max(F.struct("n", "label")).alias("_top"), F.count(F.lit(1)).alias("_labels"))
         facts = facts.where("_labels > 1").select("node", "size", (F.col("size") - F.col("_top.n")).alias("apart"), F.col("_top.label").alias("most"))
-        rows = space.hold(rows.join(space.hold(facts, f"facts{level}"), "node"), f"deep{level}")
+        rows = space.hold(rows.join(space.hold(facts, f"facts{level}"), "node"), f"deep{level}", None)
         ready = (F.col("size") <= LEAF) | (F.col("apart") <= PROBES) | F.lit(level == DEEPEST)
         done.append(rows.where(ready).select("node", "name", "label", "size", "apart", "most"))
         more = rows.where(~ready)
@@ -291,7 +291,7 @@ def _likely(rows: DataFrame, classes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.binary()) for k in (0, 1)], ["a", "b"])
 
     blocks = _blocks(rows, classes, ("n_shingles", "tokens")).select("members")
-    return blocks.mapInArrow(run, "a binary, b binary").distinct()
+    return blocks.mapInArrow(frugal(run), "a binary, b binary").distinct()
 
 
 def _near(rows: DataFrame, classes: DataFrame) -> DataFrame:
@@ -310,7 +310,7 @@ def _near(rows: DataFrame, classes: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], ["node", "block", "name"])
 
     blocks = _blocks(rows, classes, ("n_shingles", "tokens"))
-    return blocks.mapInArrow(run, "node long, block long, name binary")
+    return blocks.mapInArrow(frugal(run), "node long, block long, name binary")
 
 
 def shared(sets: list[np.ndarray]) -> np.ndarray:
@@ -365,7 +365,7 @@ def _linked(rows: DataFrame, prints: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.binary()) for k in (0, 1)], ["a", "b"])
 
     blocks = _blocks(rows, prints, ("prints",)).select("members")
-    return blocks.mapInArrow(run, "a binary, b binary").distinct()
+    return blocks.mapInArrow(frugal(run), "a binary, b binary").distinct()
 
 
 def full_sets(docs: DataFrame, names: DataFrame, classes: DataFrame, prints: bool = False) -> DataFrame:
@@ -385,7 +385,7 @@ def full_sets(docs: DataFrame, names: DataFrame, classes: DataFrame, prints: boo
                 sent.update(new)
                 yield pa.RecordBatch.from_arrays([pa.array(new, pa.binary()), pa.array([as_bytes(found[x]) for x in new], pa.binary())], ["name", column])
 
-    found = texts.select("text").mapInArrow(run, f"name binary, {column} binary")
+    found = texts.select("text").mapInArrow(frugal(run), f"name binary, {column} binary")
     return found.join(names, "name", "left_semi").dropDuplicates(["name"])
 
 
@@ -405,7 +405,7 @@ def confirm(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
     found = full_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct(), classes)
     one = pairs.join(found.select(F.col("name").alias("a"), F.col("members").alias("of_a")), "a")
     two = one.join(found.select(F.col("name").alias("b"), F.col("members").alias("of_b")), "b")
-    return two.select("a", "b", "of_a", "of_b").mapInArrow(check, "a binary, b binary")
+    return two.select("a", "b", "of_a", "of_b").mapInArrow(frugal(check), "a binary, b binary")
 
 
 def components(space: Workspace, links: DataFrame, name: str) -> DataFrame:
@@ -446,15 +446,17 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     row is the row_key of id and text, first_row that of the first row of its group, by id (null last) and key. Rows of
     the empty set are each the first.
     """
-    spark = docs.sparkSession
-    usual = small_batches(spark, 200)  # a batch's row may be a block of LEAF classes with their sets
-    space = Workspace(spark, "near-dedup")
     doc_id, text = F.col(id_col).cast("long"), F.col(text_col)
-    docs = docs.select(doc_id.alias("doc_id"), row_key(doc_id, text).alias("row"), text.alias("text"))
+    with batches_of(docs.sparkSession, 200):  # a batch's row may be a block of LEAF classes with their sets
+        return _groups(docs.select(doc_id.alias("doc_id"), row_key(doc_id, text).alias("row"), text.alias("text")))
+
+
+def _groups(docs: DataFrame) -> DataFrame:
+    space = Workspace(docs.sparkSession, "near-dedup")
     rows = space.hold(sketches(docs), "sketches", None)
     first = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
     full = rows.where("name is not null")
-    classes = space.hold(full.groupBy("name").agg(F.min(first).alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("tokens").alias("tokens")), "classes")
+    classes = space.hold(full.groupBy("name").agg(F.min(first).alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("tokens").alias("tokens")), "classes", None)
     nodes = branch(space, classes)
     labels: DataFrame | None = None
     links: DataFrame | None = None
@@ -466,7 +468,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             own = own.join(labels.select(F.col("node").alias("name"), F.col("root").alias("label")), "name", "left").withColumn("label", F.coalesce("label", "name"))
         if turn:
             mixed = own.groupBy("node").agg(F.min("label").alias("_low"), F.max("label").alias("_high")).where("_low <> _high").select("node")
-            own = space.hold(own.join(space.hold(mixed, f"several{turn}"), "node", "left_semi"), f"mixed{turn}")
+            own = space.hold(own.join(space.hold(mixed, f"several{turn}"), "node", "left_semi"), f"mixed{turn}", None)
         if not last:
             blocks = F.when(F.col("dense"), F.ceil(F.col("size") / LEAF)).otherwise(1)
             sides = own.select("node", F.pmod(F.xxhash64("name", "tree"), blocks).alias("block"), "name", "label", F.lit(True).alias("base"), F.lit(True).alias("probe"))
@@ -474,26 +476,25 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         else:
             leaves = own.where("not dense").select("node", "name", "label", "size", F.lit(0).cast("long").alias("apart"), F.lit(None).cast("binary").alias("most"))
             sides = probed(leaves.unionAll(deepen(space, own.where("dense"), classes)))
-            near = space.hold(_near(sides, classes), "near")
+            near = space.hold(_near(sides, classes), "near", None)
             prints = full_sets(docs, near.select("name").distinct(), classes, prints=True)
             pairs = _linked(sides.join(near, ["node", "block", "name"], "left_semi"), prints)
         pairs = space.hold(pairs, f"pairs{turn}")
         if not pairs.isEmpty():
-            confirmed = space.hold(confirm(docs, pairs, classes), f"links{turn}", 1)
+            confirmed = space.hold(confirm(docs, pairs, classes), f"links{turn}", None)
             links = confirmed if links is None else links.unionAll(confirmed)
             labels = space.hold(components(space, links, f"stars{turn}"), f"labels{turn}", 1)
     of_class = classes.select("name", "first")
     if labels is not None:
         of_class = of_class.join(labels.select(F.col("node").alias("name"), "root"), "name", "left").withColumn("root", F.coalesce("root", "name"))
         least = space.hold(of_class.groupBy("root").agg(F.min("first").alias("first")), "least")
-        of_class = space.hold(of_class.select("name", "root").join(least, "root").select("name", "first"), "firsts")
+        of_class = space.hold(of_class.select("name", "root").join(least, "root").select("name", "first"), "firsts", None)
     own, keep = first.alias("first"), ("doc_id", "row", "n_shingles", "first")
     placed = full.select("doc_id", "row", "n_shingles", "name").join(of_class, "name").select(*keep)
     out = placed.unionAll(rows.where("name is null").select("doc_id", "row", "n_shingles", own))
     out = out.select("doc_id", "row", "n_shingles", F.col("first.doc_id").alias("component_id"), F.col("first.row").alias("first_row"))
-    out = space.hold(out, "groups")
+    out = space.hold(out, "groups", None)
     space.keep("groups")
-    spark.conf.set(BATCH_ROWS, usual)
     return out
 
 
