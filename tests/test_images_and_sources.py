@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 
 import numpy as np
 import pytest
@@ -399,8 +400,13 @@ def test_completed_scripts(spark, tmp_path):
     schema = "script_id string, page_index int, page_count int, processing_status string"
     spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "in"))
     stream = tracker.completed_scripts(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
-    q = stream.writeStream.format("memory").queryName("done_scripts").option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    # a query that waits for timeouts never ends by itself
+    q = stream.writeStream.format("memory").queryName("done_scripts").option("checkpointLocation", str(tmp_path / "c")).outputMode("append").start()
+    for _ in range(120):
+        if spark.table("done_scripts").count():
+            break
+        time.sleep(0.5)
+    q.stop()
     assert [tuple(r) for r in spark.table("done_scripts").collect()] == [("a", 2, 1, True)]
 
 
