@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import digest_sample, held_out, small_batches
+from quillstream.llm.common import digest_sample, frugal, held_out, release, small_batches
 
 BLOCK = 4096
 LEVEL = 3
@@ -129,6 +129,7 @@ def fit(
     content = [_dictionary([x for i, x in enumerate(by[y]) if i % 3 != 2], dictionary_bytes) for y in (1, 0)]
     scorer = Scorer(Model(*content, 1.0, 0.0))
     seen = [(scorer.difference(x), y) for y in (0, 1) for i, x in enumerate(by[y]) if i % 3 == 2]
+    release()
     return Model(*content, *_logistic(*np.array(seen).T))
 
 
@@ -155,4 +156,4 @@ def classify(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_col
             )
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long"), held_out(F.col(id_col)), text_col).mapInArrow(run, SCHEMA)
+    return docs.select(F.col(id_col).cast("long"), held_out(F.col(id_col)), text_col).mapInArrow(frugal(run), SCHEMA)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstream.llm import boosting
-from quillstream.llm.common import small_batches
+from quillstream.llm.common import frugal, small_batches
 
 #: Elements that stand as blocks; others run on in their block's text.
 BLOCKS = frozenset(
@@ -522,4 +522,4 @@ def extract(pages: DataFrame, model: Model, id_col: str = "page_id", url_col: st
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), n_chars], [x.split()[0] for x in SCHEMA.split(", ")])
 
     small_batches(pages.sparkSession)
-    return pages.select(F.col(id_col).cast("long"), url_col, html_col).mapInArrow(run, SCHEMA)
+    return pages.select(F.col(id_col).cast("long"), url_col, html_col).mapInArrow(frugal(run), SCHEMA)

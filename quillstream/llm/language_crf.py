@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import digest_sample, held_out, small_batches
+from quillstream.llm.common import digest_sample, frugal, held_out, release, small_batches
 
 UNDETERMINED = "und"
 BUCKETS = 1 << 16
@@ -188,6 +188,16 @@ def _slopes(emission: np.ndarray, truth: np.ndarray, lengths: np.ndarray, moves:
     return gold - gamma, np.einsum("tbi,tbj->ij", gold[:-1], gold[1:]) - joint.sum((0, 1))
 
 
+def _all_features(words: list[str], lexicon: dict[str, int], at_once: int = 10_000) -> tuple[np.ndarray, np.ndarray]:
+    """(features of all words, how many each has), some words at a time."""
+    flat, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    for first in range(0, len(words), at_once):
+        found, begins = features(words[first : first + at_once], lexicon)
+        flat.append(found.astype(np.int32))
+        sizes.append(np.diff(np.append(begins, len(found))))
+    return np.concatenate(flat), np.concatenate(sizes)
+
+
 def train(samples: list[tuple[list[str], str]], seed: int = 4) -> Model:
     """Maximum likelihood with a weak pull to 0, by Adam on some sequences at a time.
 
@@ -203,8 +213,8 @@ def train(samples: list[tuple[list[str], str]], seed: int = 4) -> Model:
     often = sorted((w for w, n in counts.items() if n >= LEXICON_LEAST), key=lambda w: (-counts[w], w))[:LEXICON_WORDS]
     lexicon = {w: i for i, w in enumerate(often)}
     types = {w: i for i, w in enumerate(counts)}
-    flat, begins = features(list(types), lexicon)
-    sizes = np.diff(np.append(begins, len(flat)))
+    flat, sizes = _all_features(list(types), lexicon)
+    begins = sizes.cumsum() - sizes
     own = [(words, labels.index(lang)) for words, lang in samples]
     passes = max(PASSES, -(-STEPS * STEP_WORDS // counts.total()))
     steps, step = max(STEPS, passes * counts.total() // STEP_WORDS), 0
@@ -258,7 +268,10 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_
     spread = F.array_join(F.array(*(F.substring("_text", at(i), F.lit(RUN_CHARS)) for i in range(FIT_RUNS))), "\n")
     body = F.when(last <= RUN_CHARS * (FIT_RUNS - 1), F.col("_text")).otherwise(spread)
     rows = picked.select("_digest", "_lang", body.alias("_body")).orderBy("_digest", "_lang", "_body").collect()
-    return train([(words_of(r["_body"]), r["_lang"]) for r in rows])
+    once: dict[str, str] = {}  # equal words are one string
+    model = train([([once.setdefault(w, w) for w in words_of(r["_body"])], r["_lang"]) for r in rows])
+    release()
+    return model
 
 
 def runs(tags: np.ndarray, labels: tuple[str, ...]) -> list[tuple[int, int, str]]:
@@ -319,7 +332,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     places = [2 if c == text_col else 3 + others.index(c) for c in keep]
     names = [x.split()[0] for x in SCHEMA.split(", ")] + list(keep)
     schema = ", ".join([SCHEMA, *(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(frugal(run, made.clear), schema)
 
 
 def label_words(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -336,4 +349,4 @@ def label_words(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([ids, *columns], ["doc_id", "first", "end", "lang"])
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "doc_id long, first long, end long, lang string")
+    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(frugal(run), "doc_id long, first long, end long, lang string")

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import BLANK_CLASS, BLANKS, WORD, digest_sample, held_out, let, split_words
+from quillstream.llm.common import BLANK_CLASS, BLANKS, WORD, digest_sample, held_out, let, release, split_words
 
 WINDOW = 8
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -189,7 +189,9 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col:
     marked = digest_sample(marked.where("_low = _high"), "_id", fit_rows)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_body")).join(F.broadcast(marked) if fit_rows <= FIT_ROWS else marked, "_id")
     rows = measure(rows, "_id", "_body", ("_low",)).where(~base_failed()).orderBy(F.md5(F.col("_id").cast("string")), "_id")
-    return cover([{"bad": int(r["_low"] == 0), **{s: r[s] for s in STATS}} for r in rows.select("_low", *STATS).limit(fit_rows).collect()])
+    rules = cover([{"bad": int(r["_low"] == 0), **{s: r[s] for s in STATS}} for r in rows.select("_low", *STATS).limit(fit_rows).collect()])
+    release()
+    return rules
 
 
 def verdict(rules: list[Rule]) -> tuple[Column, Column]:

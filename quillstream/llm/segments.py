@@ -62,9 +62,9 @@ class SegmentCache:
 
     def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 600_000) -> None:
         self.encode, self.limit = encode, limit
-        self._clear()
+        self.clear()
 
-    def _clear(self) -> None:
+    def clear(self) -> None:
         self.keys, self.places = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # hashes in order, and where each is held
         self.checks, self.again = np.zeros(1 << 14, np.uint64), np.zeros(1 << 14, bool)
         self.starts, self.lengths = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
@@ -93,7 +93,7 @@ class SegmentCache:
             keep &= self.places >= np.sort(self.places[keep])[-(self.limit // 2)]
         keys, at = self.keys[keep], self.places[keep]
         checks, lengths, held = self.checks[at], self.lengths[at], self.values[spans(self.starts[at], self.lengths[at])]
-        self._clear()
+        self.clear()
         self._hold(keys, checks, held, lengths)
 
     def gather(self, text: str, code: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import small_batches
+from quillstream.llm.common import frugal, small_batches
 from quillstream.llm.segments import SegmentCache, blocks, encode_block, flat
 
 SPACE = "▁"
@@ -397,7 +397,7 @@ def encode(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", te
                 done += len(texts)
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, SCHEMA)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(frugal(run, lambda: load(path).cache.clear()), SCHEMA)
 
 
 def decode(encoded: DataFrame, model: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

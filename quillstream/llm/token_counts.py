@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import small_batches
+from quillstream.llm.common import frugal, small_batches
 
 RULES = ("largest", "start", "split")
 SCHEMA = "doc_id long, section int, char_start long, char_end long, n_tokens double, n_crossing long, doc_tokens long"
@@ -116,4 +116,4 @@ def section_tokens(
             yield pa.RecordBatch.from_arrays([ids, *rest], names)
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, SCHEMA)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(frugal(run), SCHEMA)

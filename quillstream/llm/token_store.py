@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillstream.llm.common import Workspace, small_batches
+from quillstream.llm.common import ROW_GROUP, Workspace, frugal, small_batches
 from quillstream.llm.segments import SegmentCache, blocks, encode_block, flat
 
 END_ID = 2
@@ -270,7 +270,7 @@ def _staged(docs: DataFrame, path: str, end_id: int) -> DataFrame:
                 kinds = (pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], [x.split()[0] for x in STAGED.split(", ")])
 
-    return docs.mapInArrow(run, STAGED)
+    return docs.mapInArrow(frugal(run, lambda: load(path).cache.clear()), STAGED)
 
 
 def _unpacked(name: bytes, n: int, width: int, payload: bytes) -> np.ndarray:
@@ -311,11 +311,11 @@ class TokenStore:
         """Encode every text of docs and write store, recipes and manifest."""
         small_batches(self.spark)
         staged = _staged(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col), tokenizer or default_tokenizer(), end_id)
-        self.space.few(staged.dropDuplicates(["kind", "key"])).write.partitionBy("kind").option("compression", "none").parquet(self.space.path("store"))
+        staged.dropDuplicates(["kind", "key"]).write.partitionBy("kind").options(compression="none", **{"parquet.block.size": ROW_GROUP}).parquet(self.space.path("store"))
         found = self._read("store").where("kind = 'recipe'").select("doc_id", F.col("n").alias("n_tokens"), F.col("payload").alias("digests"))
         parts = max(1, found.count() // PART_DOCS)
         ordered = found.repartitionByRange(parts, "doc_id", "digests").withColumn("_part", F.spark_partition_id())
-        ordered = self.space.hold(ordered, "ordered")
+        ordered = self.space.hold(ordered, "ordered", None)
         sums = ordered.groupBy("_part").agg(F.sum("n_tokens").alias("_ids"))
         before = F.coalesce(F.sum("_ids").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         sums = sums.select("_part", before.alias("_before"))
@@ -383,11 +383,11 @@ class TokenStore:
                 crcs = joined_crcs(flat.field(1).to_numpy(), sizes, counts)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-        chunks = self.chunks.mapInArrow(unpacked, "digest binary, n_ids long, crc long")
+        chunks = self.chunks.mapInArrow(frugal(unpacked), "digest binary, n_ids long, crc long")
         places = self._placed().join(chunks, "digest", "left")
         parts = F.sort_array(F.collect_list(F.struct("at", F.coalesce("crc", F.raise_error(F.lit("a chunk is missing")).cast("long")).alias("crc"), "n_ids")))
         docs = places.groupBy("start", "doc_id", "n_tokens").agg(parts.alias("parts"))
-        return docs.select("doc_id", "start", "n_tokens", "parts").mapInArrow(folded, "doc_id long, start long, n_tokens long, ids_crc32 long")
+        return docs.select("doc_id", "start", "n_tokens", "parts").mapInArrow(frugal(folded), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
     def documents(self) -> DataFrame:
         """(doc_id, start, ids) for each document, put together again from its chunks."""
@@ -405,7 +405,7 @@ class TokenStore:
         payload = F.coalesce("payload", F.raise_error(F.lit("a chunk is missing")).cast("binary")).alias("payload")
         parts = F.sort_array(F.collect_list(F.struct("at", "digest", "n_ids", "width", payload)))
         docs = places.groupBy("start", "doc_id", "n_tokens").agg(parts.alias("parts"))
-        return docs.select("doc_id", "start", "n_tokens", "parts").mapInArrow(joined, "doc_id long, start long, ids array<int>")
+        return docs.select("doc_id", "start", "n_tokens", "parts").mapInArrow(frugal(joined), "doc_id long, start long, ids array<int>")
 
 
 def store(docs: DataFrame, **options) -> TokenStore:
