@@ -12,8 +12,6 @@ their documents again to be verified.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,46 +55,46 @@ def item_windows(items: DataFrame, window: int, item_id: str, item_text: str) ->
     return starts.select("item_id", "n", F.slice("_all", F.col("first") + 1, F.col("n")).alias("words")).distinct()
 
 
-def _positions(docs: DataFrame, k: int) -> DataFrame:
-    """(_key, _words, pos, shingle) for all positions; _words is not copied before a join in the same stage.
+def _positions(docs: DataFrame, ks: list[int]) -> DataFrame:
+    """(_key, _words, pos, k, shingle) for all positions and lengths; _words is not copied before a join in the same stage.
 
     An outer generator, as for an inner one the optimizer adds a filter that splits every text once more.
     """
-    return docs.select("_key", "_words", F.posexplode_outer("_words").alias("pos", "_w")).select(
-        "_key", "_words", "pos", _shingle(F.col("_words"), F.col("pos"), k).alias("shingle")
-    ).where("shingle is not null")
+    rows = docs.select("_key", "_words", F.posexplode_outer("_words").alias("pos", "_w"))
+    each = F.array(*(F.struct(F.lit(k).alias("k"), _shingle(F.col("_words"), F.col("pos"), k).alias("shingle")) for k in ks))
+    return rows.select("_key", "_words", "pos", F.inline(each)).where("shingle is not null")
 
 
-def matches(docs: DataFrame, windows: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """(_key, item_id, first, n): where the words of docs (_key, _words) have a window of windows."""
+def matches(docs: DataFrame, windows: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame | None:
+    """(_key, item_id, first, n): where the words of docs (_key, _words) have a window of windows; None without windows."""
     windows = windows.withColumn("k", F.least(F.lit(SHINGLE), "n")).withColumn("_id", F.xxhash64("n", "words"))
-    parts = windows.select("_id", "k", "words", F.explode(F.expr("sequence(0, n - k)")).alias("at"))
-    # k is 1 to SHINGLE: one branch for each that occurs
+    # k is 1 to SHINGLE
     sizes = {r.k: r.n for r in windows.groupBy("k").agg(F.sum(F.col("n") - F.col("k") + 1).alias("n")).collect()}
-    found = []
-    for k, rows in sorted(sizes.items()):
-        small = rows <= broadcast_rows
-        hint = F.broadcast if small else (lambda df: df)
-        own = parts.where(F.col("k") == k).withColumn("shingle", _shingle(F.col("words"), F.col("at"), k))
-        where = _positions(docs, k)
-        seen = where.select("shingle").join(hint(own.select("shingle").distinct()), "shingle").groupBy("shingle").count()
-        rarest = Window.partitionBy("_id").orderBy(F.coalesce("count", F.lit(0)), "shingle", "at")
-        prefix = (
-            own.join(seen, "shingle", "left")
-            .withColumn("_rank", F.row_number().over(rarest))
-            .where("_rank = 1 and count is not null")  # a shingle that no document has: neither does one have the window
-            .select("_id", "at", "shingle")
-        )
-        whole = windows.select("_id", "item_id", "n", F.col("words").alias("_window")).join(prefix, "_id")
-        first, fits = F.col("pos") - F.col("at"), "pos >= at and pos - at + n <= size(_words)"
-        same = F.slice("_words", F.col("pos") - F.col("at") + 1, F.col("n")) == F.col("_window")
-        if small:
-            hits = where.join(F.broadcast(whole), "shingle").where(fits).where(same)
-        else:
-            near = where.select("_key", "pos", "shingle").join(whole, "shingle").where("pos >= at")
-            hits = near.join(docs, "_key").where(fits).where(same)
-        found.append(hits.select("_key", "item_id", first.cast("int").alias("first"), F.col("n").cast("int").alias("n")))
-    return reduce(DataFrame.unionAll, found) if found else None
+    if not sizes:
+        return None
+    small = sum(sizes.values()) <= broadcast_rows
+    hint = F.broadcast if small else (lambda df: df)
+    own = windows.select("_id", "k", "words", F.explode(F.expr("sequence(0, n - k)")).alias("at"))
+    shingle = F.coalesce(*(F.when(F.col("k") == k, _shingle(F.col("words"), F.col("at"), k)) for k in sorted(sizes)))
+    own = own.withColumn("shingle", shingle)
+    where = _positions(docs, sorted(sizes))
+    seen = where.select("k", "shingle").join(hint(own.select("k", "shingle").distinct()), ["k", "shingle"]).groupBy("k", "shingle").count()
+    rarest = Window.partitionBy("_id").orderBy(F.coalesce("count", F.lit(0)), "shingle", "at")
+    prefix = (
+        own.join(seen, ["k", "shingle"], "left")
+        .withColumn("_rank", F.row_number().over(rarest))
+        .where("_rank = 1 and count is not null")  # a shingle that no document has: neither does one have the window
+        .select("_id", "at", "k", "shingle")
+    )
+    whole = windows.select("_id", "item_id", "n", F.col("words").alias("_window")).join(prefix, "_id").drop("_id")
+    first, fits = F.col("pos") - F.col("at"), "pos >= at and pos - at + n <= size(_words)"
+    same = F.slice("_words", F.col("pos") - F.col("at") + 1, F.col("n")) == F.col("_window")
+    if small:
+        hits = where.join(F.broadcast(whole), ["k", "shingle"]).where(fits).where(same)
+    else:
+        near = where.select("_key", "pos", "k", "shingle").join(whole, ["k", "shingle"]).where("pos >= at")
+        hits = near.join(docs, "_key").where(fits).where(same)
+    return hits.select("_key", "item_id", first.cast("int").alias("first"), F.col("n").cast("int").alias("n"))
 
 
 def decontaminate(

@@ -24,6 +24,12 @@ def test_spans_and_counts_by_brute_force():
         assert counts.tolist() == want.tolist(), text
 
 
+def test_one_word_of_a_million_letters():
+    encoder, lengths = token_counts.load(token_counts.default_ranks())
+    starts, chars, counts, crossed, total = token_counts.attribute("abcdefgh" * 125_000 + "\n" + "é" * 300_000, encoder, lengths, "largest")
+    assert (len(starts), chars, counts.sum()) == (2, 1_300_001, total)
+
+
 def test_rules_allocate_every_token():
     encoder, lengths = token_counts.load(token_counts.default_ranks())
     text = "line one\n\n\n\n   line two \n\n end"

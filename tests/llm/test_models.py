@@ -51,6 +51,38 @@ def test_languages(docs_of, awkward, nothing):
     assert [(r["lang"], r["doc_id"]) for r in spans] == [("aa", 1), ("bb", 1)] and spans[0]["end"] == spans[1]["first"]
 
 
+def test_ties_and_long_words(docs_of):
+    """Two languages of the same texts: every score ties, and the first label is taken. A word of a million letters is one."""
+    same = [(words, y) for words, _ in samples(n=20) for y in ("bb", "aa")]
+    model = crf.train(same)
+    rows = crf.identify(docs_of([(1, "lorema ipsume"), (2, "x" * 1_000_000), (2, "x" * 1_000_000)]), model).collect()
+    assert [r["n_words"] for r in rows] == [2, 1, 1] and all(0.3 < r["score"] < 0.7 for r in rows if r["doc_id"] == 1)
+    tied = crf.Model(("aa", "bb"), np.zeros((crf.BUCKETS, 2)), np.zeros((2, 2)), {})
+    got = crf.identify(docs_of([(1, "any words"), (2, "1 2 3")]), tied).collect()
+    assert [(r["lang_pred"], r["score"]) for r in got] == [("aa", 0.5), ("und", 0.0)]
+
+
+def test_every_word_of_every_sample_is_fitted():
+    own = [(words, int(y == "aa")) for words, y in samples(n=30)]
+    found = crf.mixed(own, np.random.default_rng(1))
+    assert sorted(w for words, _ in found for w in words) == sorted(w for words, _ in own for w in words)
+    truth = {w: y for words, y in own for w in words}
+    assert all(truth[w] == y for words, ys in found for w, y in zip(words, ys)) and any(len(set(ys)) > 1 for _, ys in found)
+
+
+def test_features_by_brute_force():
+    words = ["a", "né", "lorem", "ipsumdolor"]
+    flat, begins = crf.features(words, {"lorem": 7})
+    own = [set(x.tolist()) for x in np.split(flat, begins[1:])]
+    assert crf.BUCKETS + 7 in own[2] and not any(crf.BUCKETS + 7 in x for i, x in enumerate(own) if i != 2)
+    marked = [f"\x02{w}\x03" for w in words]
+    for m, found in zip(marked, own):
+        grams = {m[i : i + n] for n in range(1, 5) for i in range(len(m) - n + 1)} | {m[:n] for n in range(5, 8) if n <= len(m)} | {m[-n:] for n in range(5, 8) if n <= len(m)}
+        assert len(found - {crf.BUCKETS + 7}) <= len(grams) and len(found) >= len(grams) - 2  # two grams may share a bucket
+    shared = set(crf.features(["loremxyz"], {})[0].tolist()) & own[2]
+    assert len(shared) >= 3  # the same prefix
+
+
 def test_fit_reads_no_held_out_row(docs_of):
     rows = [(i, " ".join(w), y) for i, (w, y) in enumerate(samples(3, 80))]
     docs = docs_of(rows)
@@ -142,7 +174,7 @@ def test_nothing_else_is_lost():
         ("<script>if (a < b) '</p>'</script >kept", ["kept"]),
         ("<title>t<p>x", ["t", "x"]),
         ("<p title=don't>it's</p><p>b", ["it's", "b"]),
-        ("<p title='a>b'>c<p title=\"d>e'>f", ["c", "f"]),
+        ("<p title='a>b'>c<p title=\"d>e'>f", ["c", "e'>f"]),
         ("a<!-- x <p>--> b<!-->c<!--->d<!-- open >e", ["a bcde"]),
         ("1 < 2 <3 &lt;b&gt; &amp;amp; &#xe9; <br>\n x", ["1 < 2 <3 <b> &amp; é x"]),
         ("<p>a <b", ["a"]),
