@@ -50,14 +50,22 @@ def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps what the base limits and the list learned from the labels accept. Null texts go."""
+    """Keeps what the base limits and the list learned from the labels accept.
+
+    Null and empty texts have no words and go; so does every row equal to one that goes. Without labels only the base
+    limits decide. An empty table stays empty. Columns other than COLUMNS are dropped.
+    """
     rules = quality_rules.learn(docs, table(spark, sf_dir, "labels"))
     keep = tuple(c for c in _columns(docs) if c != "doc_id")
     return quality_rules.quality_rules(docs, rules, keep=keep).where("kept").select(*_columns(docs))
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps texts of a clear language. A model that knows no language tells nothing: all texts with letters stay then."""
+    """Keeps texts of a clear language, LEAST_LANGUAGE or more.
+
+    Null and letterless texts go. A model that knows no language (no row says its own, or there is no such column) tells
+    nothing: all texts with letters stay then. Ties of languages change no score. An empty table stays empty.
+    """
     keep = tuple(c for c in _columns(docs) if c != "doc_id")
     labelled = docs if "lang" in docs.columns else docs.withColumn("lang", F.lit(None).cast("string"))
     model = language_crf.fit(labelled)
@@ -66,10 +74,13 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the first row of each group of near-duplicates; of rows equal in id and text, one."""
+    """Keeps the first row of each group of near-duplicates; of rows equal in id and text, one.
+
+    First is the smallest id, null last, and then the smaller row key; of equal rows the one whose other columns come
+    first. Texts without words are like no other and stay. An empty table stays empty.
+    """
     space = Workspace(spark, "dedup-stage")
-    found = near_dedup.groups(docs).select(F.col("row").alias("_row"), (F.col("row") == F.col("first_row")).alias("_first"))
-    found = space.hold(found, "found")
+    found = near_dedup.groups(docs).select(F.col("row").alias("_row"), (F.col("row") == F.col("first_row")).alias("_first"))  # a written table
     gone = found.where("not _first").select("_row")
     repeated = space.hold(found.where("_first").groupBy("_row").count().where("count > 1").select("_row"), "repeated", 1)
     if repeated.isEmpty():
@@ -81,7 +92,11 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps rows without any window of a benchmark item."""
+    """Keeps rows without any window of a benchmark item.
+
+    Null and wordless texts stay, and everything does if no item has a word. Rows equal in id and text share their
+    verdict, texts that share an id do not. An empty table stays empty.
+    """
     space = Workspace(spark, "decontamination-stage")
     keyed = docs.select("doc_id", "text", _row())
     found = decontaminate.decontaminate(keyed, table(spark, sf_dir, "benchmark"), keep=("_row",)).where("contaminated")
@@ -89,7 +104,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of every text."""
+    """The ids of every text, a row for each row: null and empty texts have none. See sentencepiece_fst.encode."""
     return sentencepiece_fst.encode(docs)
 
 
