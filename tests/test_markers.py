@@ -9,6 +9,7 @@ from quillstream.operators import consolidate, gate, grammar, resolve, vocabular
 from quillstream.plans import markers as plan
 from quillstream.schema import EXAM_RULES, LAYOUT, VOCABULARY_ENTRIES
 
+# Readings with what they must give, and a list of identifiers.
 MARKERS = [
     ("10b1", "10b1"), ("10.b.1", "10b1"), ("10 b 1", "10b1"), ("10-b-1", "10b1"), ("10b1)", "10b1"), ("(10b1)", "10b1"),
     ("10 (b) (1)", "10b1"), ("Ans 10b1", "10b1"), ("Ans. 10(b)(1)", "10b1"), ("Q10b1", "10b1"), ("Q.No 10 b 1", "10b1"),
@@ -218,3 +219,24 @@ def test_recorded_run(spark, tmp_path):
     flags = {r["script_id"]: r for r in consolidate.script_flags(pages, done, words, rules).collect()}
     assert flags["Doc0697"]["flags"] == []
     assert flags["Doc0711"]["flag_details"] == ["Question 1 appears 2 times (pages 3, 8)", "Question 1 (page 8) after 5 (page 6)"]
+
+
+def test_normal_form_by_the_standard_library(spark):
+    import unicodedata
+
+    from quillstream.functions import text
+
+    rows = ["１０（ｂ）", "ﬁn  ", "　 x ", "é", "é", "plain", "", None, "№ 5", "²", "ß Ａ"]
+    df = text.normalised(spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "id int, raw string"), "raw")
+    got = {r["id"]: r["text"] for r in df.collect()}
+    assert got == {i: unicodedata.normalize("NFKC", t or "").strip() for i, t in enumerate(rows)}
+
+
+def test_isotonic_points(spark):
+    from quillstream.plans import report
+
+    shares = [(0.105, 2, 10), (0.205, 1, 10), (0.305, 8, 20), (0.405, 3, 10), (0.505, 9, 10)]
+    rows = [(x, i < hits) for x, hits, n in shares for i in range(n)]
+    points = report.isotonic(spark.createDataFrame(rows, "raw double, hit boolean"), "raw", "hit")
+    want = [(0.155, 3 / 20), ((0.305 * 20 + 0.405 * 10) / 30, 11 / 30), (0.505, 0.9)]
+    assert [(round(x, 6), round(y, 6)) for x, y in points] == [(round(x, 6), round(y, 6)) for x, y in want]
