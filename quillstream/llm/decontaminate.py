@@ -61,6 +61,9 @@ def _positions(docs: DataFrame, ks: list[int]) -> DataFrame:
     An outer generator, as for an inner one the optimizer adds a filter that splits every text once more.
     """
     rows = docs.select("_key", "_words", F.posexplode_outer("_words").alias("pos", "_w"))
+    if len(ks) == 1:
+        one = _shingle(F.col("_words"), F.col("pos"), ks[0]).alias("shingle")
+        return rows.select("_key", "_words", "pos", F.lit(ks[0]).alias("k"), one).where("shingle is not null")
     each = F.array(*(F.struct(F.lit(k).alias("k"), _shingle(F.col("_words"), F.col("pos"), k).alias("shingle")) for k in ks))
     return rows.select("_key", "_words", "pos", F.inline(each)).where("shingle is not null")
 
@@ -120,13 +123,19 @@ def decontaminate(
     none = F.sha2(F.lit(""), 256)
     if hits is None:
         return base.select("doc_id", *keep, "n_words", *(F.lit(0).cast("long").alias(c) for c in ("n_hit", "n_items")), none.alias("items_sha256"), F.lit(False).alias("contaminated"))
+    # both from one pass: a text's hits are no more than its words times the items that share a window
+    item = F.coalesce(F.col("item_id").cast("string"), F.lit("null"))
+    found = hits.groupBy("_key").agg(F.sort_array(F.collect_set(F.struct("first", "n"))).alias("_spans"), F.sort_array(F.collect_set(item)).alias("_items"))
     # words under the union of intervals: each adds what lies beyond the furthest end before it
-    before = Window.partitionBy("_key").orderBy("first", "end").rowsBetween(Window.unboundedPreceding, -1)
-    spans = hits.select("_key", "first", (F.col("first") + F.col("n")).alias("end")).distinct()
-    new = F.greatest(F.lit(0), F.col("end") - F.greatest("first", F.coalesce(F.max("end").over(before), F.lit(0))))
-    hit = spans.withColumn("_new", new).groupBy("_key").agg(F.sum("_new").alias("n_hit"))
-    named = hits.groupBy("_key").agg(F.sort_array(F.collect_set(F.coalesce(F.col("item_id").cast("string"), F.lit("null")))).alias("_items"))
-    return base.join(hit, "_key", "left").join(named, "_key", "left").select(
+    start = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("total"))
+
+    def step(acc: Column, x: Column) -> Column:
+        end = x["first"] + x["n"]
+        new = F.greatest(F.lit(0), end - F.greatest(x["first"], acc["end"]))
+        return F.struct(F.greatest(end, acc["end"]).alias("end"), (acc["total"] + new).alias("total"))
+
+    found = found.select("_key", F.aggregate("_spans", start, step)["total"].alias("n_hit"), "_items")
+    return base.join(found, "_key", "left").select(
         "doc_id",
         *keep,
         "n_words",
