@@ -270,7 +270,7 @@ def _staged(docs: DataFrame, path: str, end_id: int) -> DataFrame:
                 kinds = (pa.string(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], [x.split()[0] for x in STAGED.split(", ")])
 
-    return docs.mapInArrow(frugal(run, lambda: load(path).cache.clear()), STAGED)
+    return docs.mapInArrow(frugal(run), STAGED)
 
 
 def _unpacked(name: bytes, n: int, width: int, payload: bytes) -> np.ndarray:
