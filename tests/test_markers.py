@@ -240,3 +240,13 @@ def test_isotonic_points(spark):
     points = report.isotonic(spark.createDataFrame(rows, "raw double, hit boolean"), "raw", "hit")
     want = [(0.155, 3 / 20), ((0.305 * 20 + 0.405 * 10) / 30, 11 / 30), (0.505, 0.9)]
     assert [(round(x, 6), round(y, 6)) for x, y in points] == [(round(x, 6), round(y, 6)) for x, y in want]
+
+
+def test_next_band_does_not_follow_arrival(spark):
+    from quillstream.operators import start
+
+    rows = [(7, 50, 1, 0.57, "a"), (8, 50, 1, 0.75, "b"), (8, 50, 1, 0.57, "c"), (9, 90, 2, 0.9, "d")]
+    kind = "band int, y int, candidate_pos int, detection_confidence double, raw string, script_id string, page_index int, discard_reason string"
+    for order in (rows, rows[::-1], rows[1:] + rows[:1]):
+        df = spark.createDataFrame([(*r, "S", 1, None) for r in order], kind).coalesce(1)
+        assert {r["raw"]: r["next_band"] for r in start.next_band(df).collect()} == {"b": 7, "a": 8, "c": 9, "d": None}
