@@ -89,3 +89,17 @@ def test_stages_return_their_columns(spark, docs_of, awkward, tmp_path):
     folder = tables(spark, awkward, [], tmp_path)
     for _, stage in pipeline.STAGES[:-1]:
         assert stage(spark, awkward, folder).columns == list(pipeline.COLUMNS)
+
+
+def test_held_tables_give_the_drivers_memory_back(spark, monkeypatch):
+    from quillstream.llm import common
+
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    whole = lambda: sum(b.getCollectionCount() for b in beans if b.getName() in ("G1 Old Generation", "PS MarkSweep", "MarkSweepCompact"))
+    space, before = common.Workspace(spark, "memory"), whole()
+    monkeypatch.setattr(common, "_driver_released", -1e9)
+    assert space.hold(spark.range(3), "first", 1).count() == 3
+    assert whole() > before
+    again = whole()
+    assert space.hold(spark.range(3), "second", 1).count() == 3
+    assert whole() == again
