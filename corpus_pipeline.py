@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. What a
 stage decides takes effect on the next one's rows. A decision holds for rows equal in id and text: an id may be null, or
-stand for several texts. A stage's result is written as Parquet and read again.
+stand for several texts. A stage's result is written as Parquet and read again. A stage lets the executors give back what
+those before it left in their heaps, so that its Python workers find memory beside them.
 
 * quality rules: rows that the base limits or the learned list reject go;
 * language ID: texts without letters, and texts of no clear language, go; where no row says its language, none is unclear;
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstream.llm import decontaminate, language_crf, near_dedup, quality_rules, sentencepiece_fst
-from quillstream.llm.common import Workspace, row_key, table
+from quillstream.llm.common import Workspace, release_executors, row_key, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A text whose likeliest language has a smaller mean probability over its words is of no clear language.
@@ -55,6 +56,7 @@ def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts have no words and go; so does every row equal to one that goes. Without labels only the base
     limits decide. An empty table stays empty. Columns other than COLUMNS are dropped.
     """
+    release_executors(spark)
     rules = quality_rules.learn(docs, table(spark, sf_dir, "labels"))
     keep = tuple(c for c in _columns(docs) if c != "doc_id")
     return quality_rules.quality_rules(docs, rules, keep=keep).where("kept").select(*_columns(docs))
@@ -69,6 +71,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     keep = tuple(c for c in _columns(docs) if c != "doc_id")
     labelled = docs if "lang" in docs.columns else docs.withColumn("lang", F.lit(None).cast("string"))
     model = language_crf.fit(labelled)
+    release_executors(spark)
     found = language_crf.identify(docs, model, keep=keep, least=LEAST_LANGUAGE if model.labels else None)
     return (found if model.labels else found.where("n_words > 0")).select(*_columns(docs))
 
@@ -79,6 +82,7 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     First is the smallest id, null last, and then the smaller row key; of equal rows the one whose other columns come
     first. Texts without words are like no other and stay. An empty table stays empty.
     """
+    release_executors(spark)
     space = Workspace(spark, "dedup-stage")
     found = near_dedup.groups(docs).select(F.col("row").alias("_row"), (F.col("row") == F.col("first_row")).alias("_first"))  # a written table
     gone = found.where("not _first").select("_row")
@@ -97,6 +101,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     Null and wordless texts stay, and everything does if no item has a word. Rows equal in id and text share their
     verdict, texts that share an id do not. An empty table stays empty.
     """
+    release_executors(spark)
     space = Workspace(spark, "decontamination-stage")
     keyed = docs.select("doc_id", "text", _row())
     found = decontaminate.decontaminate(keyed, table(spark, sf_dir, "benchmark"), keep=("_row",)).where("contaminated")
@@ -105,6 +110,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of every text, a row for each row: null and empty texts have none. See sentencepiece_fst.encode."""
+    release_executors(spark)
     return sentencepiece_fst.encode(docs)
 
 

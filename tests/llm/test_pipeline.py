@@ -103,3 +103,16 @@ def test_held_tables_give_the_drivers_memory_back(spark, monkeypatch):
     again = whole()
     assert space.hold(spark.range(3), "second", 1).count() == 3
     assert whole() == again
+
+
+def test_stages_give_the_executors_memory_back(spark, docs_of, awkward, tmp_path, monkeypatch):
+    from quillstream.llm import common
+
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()  # one JVM is driver and executor
+    whole = lambda: sum(b.getCollectionCount() for b in beans if b.getName() in ("G1 Old Generation", "PS MarkSweep", "MarkSweepCompact"))
+    folder = tables(spark, awkward, [], tmp_path)
+    monkeypatch.setattr(common, "_driver_released", 1e18)  # the driver's own collections don't count
+    for name, stage in pipeline.STAGES:
+        before = whole()
+        stage(spark, awkward, folder)
+        assert whole() > before, name
